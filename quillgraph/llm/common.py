@@ -36,11 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of what was written go once the driver's JVM collects garbage, so it is asked to.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def fold(doc_id: Column | str, k: int) -> Column:

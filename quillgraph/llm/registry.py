@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, mixing, mpegts, ppm, quality, toxicity
+from . import bagminhash, decontam, langid, licenses, mixing, mpegts, ppm, quality, suffix_dedup, toxicity
 from .common import fold, table, tune
 
 
@@ -15,6 +15,11 @@ def _held_out(k: int):
     return F.coalesce(fold("doc_id", k) == 2, F.lit(False)).alias("held_out")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents")
@@ -62,6 +67,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
