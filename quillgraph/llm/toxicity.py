@@ -55,7 +55,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct(bucket: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.unique(doc.astype(np.int64) << BITS | bucket)
+    key = np.sort(doc.astype(np.int64) << BITS | bucket)
+    key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
     return key & ((1 << BITS) - 1), key >> BITS
 
 
@@ -104,27 +105,25 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int32)
-        n = np.zeros(2, np.int64)
         for x in steps(batches, size=_STEP):
             y = column(x, "label").to_numpy() > 0
             b, doc = distinct(*grams(column(x, "text").to_pylist()))
             for k in (0, 1):
                 total[k] += np.bincount(b[y[doc] == k], minlength=1 << BITS).astype(np.int32)
-                n[k] += (y == k).sum()
         at = np.flatnonzero(total[0] + total[1])
-        cols = [np.append(at, -1).astype(np.int32), np.append(total[1][at], n[1]).astype(np.int64), np.append(total[0][at], n[0]).astype(np.int64)]
+        cols = [at.astype(np.int32), total[1][at].astype(np.int64), total[0][at].astype(np.int64)]
         yield pa.record_batch([pa.array(c) for c in cols], ["bucket", "pos", "neg"])
 
     sums = some.select("text", "label").mapInArrow(count, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    size = sums.where("bucket = -1").first()
-    n_pos, n_neg = (size["pos"], size["neg"]) if size else (0, 0)
+    size = some.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
+    n_pos, n_neg = size[0], size[1]
     if not n_pos or not n_neg:
         some.unpersist()
         p = (n_pos + 0.5) / (n_pos + n_neg + 1)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
     ratio = F.log((F.col("pos") + 1) / F.lit(n_pos + 2)) - F.log((F.col("neg") + 1) / F.lit(n_neg + 2))
     telling = F.abs(ratio) * F.abs(F.col("pos") / F.lit(n_pos) - F.col("neg") / F.lit(n_neg))
-    best = sums.where("bucket >= 0").select("bucket", ratio.alias("r"), telling.alias("t")).orderBy(F.desc("t"), "bucket").limit(n_features).toArrow().sort_by([("bucket", "ascending")])
+    best = sums.select("bucket", ratio.alias("r"), telling.alias("t")).orderBy(F.desc("t"), "bucket").limit(n_features).toArrow().sort_by([("bucket", "ascending")])
     chosen, r = best["bucket"].to_numpy(), best["r"].to_numpy()
     index = spark.sparkContext.broadcast(chosen)
 
