@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -26,6 +29,18 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of fewer rows, for what is run within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def free(spark: SparkSession) -> None:
+    """Let the driver's JVM drop what no plan refers to any more, so that Spark removes its shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # the event of the last query, which holds its plan, may be on its way
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -43,7 +66,8 @@ def materialize(df: DataFrame) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    del df
+    free(spark)
     return spark.read.schema(schema).parquet(path)
 
 
