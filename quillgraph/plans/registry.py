@@ -12,7 +12,7 @@ from quillgraph.sources import tables as T
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("relational", "vectors", "matching", "state", "graphs", "texts")
+MODULES = ("relational", "vectors", "matching", "state", "graphs", "texts", "exports", "chatting", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -28,7 +28,8 @@ def parse(doc: Column) -> Column:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """file, entities, relationships of one JSON file or of all *.json below a folder; files that are no JSON are skipped."""
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    docs = (reader if path.endswith(".json") else reader.option("pathGlobFilter", "*.json")).text(path)
     x = docs.select(F.input_file_name().alias("file"), parse(F.col("value")).alias("x"))
     return x.where("x.entities is not null or x.relationships is not null").select("file", "x.*")
 
