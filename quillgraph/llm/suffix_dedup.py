@@ -39,9 +39,9 @@ LENGTH = 50
 GRAM = 16
 SHALLOW = 32
 #: Bytes of text of a block, and of the segments of which a bucket holds the keys.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 _STEP = 1 << 20
-_EMIT = 6 << 20
+_EMIT = 4 << 20
 
 _BYTE = mix(np.arange(1001, 1257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _P = 0x9E3779B97F4A7C15 | 1
@@ -117,6 +117,7 @@ def pack(kind: int, to: np.ndarray, **cols: np.ndarray) -> list[tuple]:
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
+    pa.default_memory_pool().release_unused()  # of the block or bucket before
     return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], _NAMES)
 
 
