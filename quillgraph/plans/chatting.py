@@ -62,3 +62,10 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
 @query("r7_answer", "SELECT 'done' AS first_line")
 def r7(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(C.answer(_run(spark, d, "show Region id 1")).splitlines()[0],)], "first_line string")
+
+
+@query("r8_engine_query", ND + "SELECT id, name FROM nodes WHERE id = 'Region_1'")
+def r8(spark: SparkSession, d: str) -> DataFrame:
+    from quillgraph.engine import Engine
+
+    return Engine.over(spark, d).query("show Region id 1").select("id", "name")

@@ -321,7 +321,11 @@ def h28(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return asset_pairs(spark, d).select("id", M.fired("Asset", F.col("a"), F.col("b")).alias("rules"), M.confidence("Asset", F.col("a"), F.col("b")).alias("confidence"))
+    """Pairs with what holds and the confidence, each step over the columns of the one before."""
+    a, b = F.col("a"), F.col("b")
+    x = asset_pairs(spark, d).select("id", M.prepare(a).alias("a"), M.prepare(b).alias("b"))
+    x = x.withColumn("rules", M.fired("Asset", a, b))
+    return x.select("id", "rules", M.confidence("Asset", a, b, F.col("rules")).alias("confidence"))
 
 
 _I_NAME = _SIM.format("p_name", "(CASE p_partkey % 3 WHEN 0 THEN p_name || 's' ELSE 'other thing' END)")
@@ -346,3 +350,25 @@ def i4(spark: SparkSession, d: str) -> DataFrame:
 def i2(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return asset_pairs(spark, d).select("id", *[F.round(M.rule_score(k, a, b), 6).alias(k) for k in M.ASSET])
+
+
+@query("h26_arbiter", f"WITH {_I} SELECT id AS new_id, CASE WHEN confidence >= 0.9 THEN id END AS match_id FROM c")
+def h26(spark: SparkSession, d: str) -> DataFrame:
+    from quillgraph.operators import models
+
+    return models.arbitrate(asset_pairs(spark, d).select(F.col("id").alias("new_id"), "id", "a", "b"), "Asset")
+
+
+@query("h27_relation_typing", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'component' WHEN 1 THEN 'reverse_component' ELSE 'none' END AS kind, 0.5::DOUBLE AS confidence FROM part")
+def h27(spark: SparkSession, d: str) -> DataFrame:
+    from quillgraph.operators import models
+
+    longer = "case p_partkey % 3 when {} then concat(p_name, ' wheel') when {} then p_name else 'zzz' end"
+    a, b = _map(name=longer.format(1, 0)), _map(name=longer.format(0, 1))
+    kind = models.relation(a, b, F.lit(0.5))
+    return T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("r")).select("id", "r.kind", "r.confidence")
+
+
+@query("n5_trigram_sets", "SELECT p_partkey, len(" + _TRI.format("p_name") + ")::INTEGER AS n FROM part")
+def n5(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "part").select("p_partkey", F.size(S.trigrams(F.col("p_name"))).alias("n"))

@@ -202,3 +202,25 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
 def d10(spark: SparkSession, d: str) -> DataFrame:
     nested = F.to_json(F.from_json("props", "map<string,int>"))
     return T.table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.regexp_replace(nested, ":", ": ").alias("nested"))
+
+
+@query("a8_read_extractions", "SELECT count(*) AS n_files, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_entities FROM events WHERE event_id < 50")
+def a8(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of JSON documents, some of them in an envelope, read back."""
+    from quillgraph.lineage import cut
+
+    doc = F.when(F.col("event_id") % 2 == 0, '{"extraction_result":{"entities":[{"type":"P","name":"x"}],"relationships":[]}}').otherwise('{"entities":[],"relationships":[]}')
+    docs = cut(T.table(spark, d, "events").where("event_id < 50").select(doc.alias("value")))  # fifty small documents
+    x = docs.select(extraction.parse(F.col("value")).alias("x"))
+    return x.agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.size("x.entities")).alias("n_entities"))
+
+
+@query("a11_attachments")
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a folder up to the size limit."""
+    return extraction.attachments(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "kind")
+
+
+@query("a14_fixture_name", "SELECT event_id, 'extraction_' || strftime(ts, '%Y%m%d%H%M%S') || '_' || substr(md5(props), 1, 8) AS name FROM events")
+def a14(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "events").select("event_id", F.concat(F.lit("extraction_"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("_"), F.substring(F.md5("props"), 1, 8)).alias("name"))

@@ -156,3 +156,12 @@ def v16(spark: SparkSession, d: str) -> DataFrame:
     x = items(spark, d)
     q = x.where("id % 20 = 0")
     return V.IVF(x, lists=8).search(q, 10, probes=6).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("v14_embedding_batches", "SELECT n_nationkey::BIGINT AS id, length(n_name)::DOUBLE AS first FROM nation")
+def v14(spark: SparkSession, d: str) -> DataFrame:
+    """A given embedder (here: the length of the text) in Arrow batches."""
+    from quillgraph.operators import models
+
+    e = models.embedding(F.col("n_name"), embedder=lambda texts: [[float(len(t))] for t in texts])
+    return T.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), e[0].alias("first"))

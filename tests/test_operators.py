@@ -163,3 +163,27 @@ def test_streaming_ingestion(spark, tmp_path):
     got = {r["id"]: (r["name"], r["props"]["v"]) for r in ingest.current(spark, str(out)).collect()}
     assert got == {"a": ("A2", "2"), "b": ("B", "3")}
     assert ingest.embed(ingest.current(spark, str(out)), 4).select(F.size("embedding")).first()[0] == 4
+
+
+def test_models(spark, small):
+    from quillgraph.engine import Engine
+    from quillgraph.operators import models
+
+    def fails(texts):
+        raise OSError
+
+    df = spark.createDataFrame([("ab",), (" ",), (None,)], "t string")
+    assert [r[0] for r in df.select(models.embedding(F.col("t"), embedder=fails)).collect()] == [None] * 3
+    assert [r[0] for r in df.select(models.embedding(F.col("t"), embedder=lambda x: [[1.0]] * len(x))).collect()] == [[1.0], None, None]
+    assert df.select(F.size(models.embedding(F.col("t"), 5))).first()[0] == 5
+    left = [TimeoutError(), ConnectionError()]
+
+    def busy(prompt):
+        if left:
+            raise left.pop()
+        return prompt
+
+    assert models.with_retry(busy, wait=0)("x") == "x"
+    e = Engine(*small)
+    assert e.query("show P id a").count() == 1 and e.query("delete P id a") is None
+    assert e.run("delete P id a").startswith("done") and e.query("show P id a").isEmpty() and "who" in e.run("who")
