@@ -55,7 +55,7 @@ def o3(spark: SparkSession, d: str) -> DataFrame:
 def o4(spark: SparkSession, d: str) -> DataFrame:
     """References written as beacons (scheme://host/Class/id), parsed, and each link once."""
     e = T.edges(spark, d).where("type = 'LOCATED_IN'")
-    b = e.select("src", F.concat(F.lit("weave://localhost/"), F.regexp_replace("dst", "_", "/")).alias("beacon"), "type")
+    b = e.select("src", F.concat(F.lit("ref://localhost/"), F.regexp_replace("dst", "_", "/")).alias("beacon"), "type")
     b = b.unionByName(b)
     end = F.split("beacon", "/")
     return b.select("src", F.concat_ws("_", F.element_at(end, -2), F.element_at(end, -1)).alias("dst"), "type").dropDuplicates()

@@ -26,7 +26,7 @@ def plain(df):
     def cell(v):
         if isinstance(v, (bool, pd.Timestamp, str)):
             return str(v)
-        return None if v is None or v is pd.NaT or v != v else float(v)
+        return None if v is None or pd.isna(v) else float(v)
 
     return sorted(repr([cell(v) for v in r]) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
