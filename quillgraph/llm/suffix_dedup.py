@@ -11,7 +11,8 @@ only segments of one anchor can share a window.
 2. A bucket finds the earliest document of every segment. Copies of a segment are settled by that;
    segments whose anchor also occurs in other segments are called for.
 3. The texts meet the answers in blocks by document; the segments called for are cut out and go
-   to their anchor's bucket.
+   to their anchor's bucket. Those of a hot anchor go window by window to the bucket of each window's
+   own string, after a block has settled what it can.
 4. There the suffixes at every window of these segments are sorted deep-shallow: a multikey
    quicksort by words of eight bytes down to SHALLOW bytes, whose ties (long common prefixes) are put
    in order by a blind trie each. Suffixes with LENGTH bytes in common are one string; it is removed
@@ -38,6 +39,8 @@ from .common import U, buffers, column, materialize, mix, steps
 LENGTH = 50
 GRAM = 16
 SHALLOW = 32
+#: Distinct segments from which an anchor is hot: its segments go on window by window, each to a bucket of its own.
+HOT = 1024
 #: Bytes of text of a block, and of the segments of which a bucket holds the keys.
 BLOCK_BYTES = 6 << 20
 _STEP = 1 << 20
@@ -165,7 +168,7 @@ def keys(docs: DataFrame, n_buckets: int, n_blocks: int) -> DataFrame:
 
 
 def answers(packed: DataFrame, n_blocks: int) -> DataFrame:
-    """For the blocks: the earliest document (doc) of segments that have an earlier one or are called for (a = 1)."""
+    """For the blocks: the earliest document (doc) of segments that have an earlier one or are called for (a = 1, 2 if hot)."""
 
     def apply(t: pa.Table) -> pa.Table:
         out = []
@@ -182,13 +185,13 @@ def answers(packed: DataFrame, n_blocks: int) -> DataFrame:
             low, high = doc[at], doc[np.append(at[1:], len(g)) - 1]
             by = np.argsort(g[at], kind="stable")
             start = np.flatnonzero(np.append(True, np.diff(g[at][by]) != 0))
-            many = np.diff(np.append(start, len(by))) > 1
+            count = np.diff(np.append(start, len(by)))
             spread = np.minimum.reduceat(low[by], start) < np.maximum.reduceat(high[by], start)
-            called = np.empty(len(at), bool)
-            called[by] = np.repeat(many & spread, np.diff(np.append(start, len(by))))
+            called = np.empty(len(at), np.int32)
+            called[by] = np.repeat(((count > 1) & spread).astype(np.int32) * (1 + (count > HOT)), count)
             earliest = doc == low[group]
-            say = ~earliest | called[group]
-            flag = (earliest & called[group]).astype(np.int32)
+            say = ~earliest | (called[group] > 0)
+            flag = np.where(earliest, called[group], 0).astype(np.int32)
             out += pack(ANSWER, np.mod(doc[say], n_blocks), g=g[say], h=h[say], doc=low[group][say], a=flag[say])
         return pa.Table.from_batches([batch(out)])
 
@@ -198,6 +201,34 @@ def answers(packed: DataFrame, n_blocks: int) -> DataFrame:
 # ---- 3: texts and answers -----------------------------------------------------------------------
 
 
+def windows_of(whole: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray, place: np.ndarray, count: np.ndarray, block: int, n_buckets: int) -> list[tuple]:
+    """Packed rows of hot segments, window by window: the earliest document of a string within the block goes to the
+    bucket of the string itself, all others are settled. A string reaches its bucket once for each block at most,
+    but for its repetitions in one document."""
+    of = np.repeat(np.arange(len(count)), count)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    at = place[of] + within
+    h = np.zeros(len(at), np.uint64)
+    for k in range(LENGTH):
+        h = h * U(_P) + _BYTE[whole[at + k]]
+    h = mix(h)
+    order = np.lexsort((doc[of], h))
+    of, within, at, h = of[order], within[order], at[order], h[order]
+    d, r, a = doc[of], row[of], (first[of] + within).astype(np.int32)
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    low = np.repeat(d[start], np.diff(np.append(start, len(h))))
+    later = d > low
+    out = pack(SPAN, np.full(int(later.sum()), block), doc=d[later], row=r[later], a=a[later], b=a[later] + np.int32(LENGTH))
+    go = np.flatnonzero(~later)
+    to = bucket_of(h[go], n_buckets)
+    go, to = go[np.argsort(to, kind="stable")], np.sort(to)
+    ends = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    packed = pack(SEGMENT, to, g=h[go], doc=d[go], row=r[go], a=a[go], b=np.ones(len(go), np.int32))
+    for x, i, j in zip(packed, ends, np.append(ends[1:], len(to))):
+        out.append((*x[:8], whole[at[go[i:j], None] + np.arange(LENGTH)].tobytes()))
+    return out
+
+
 def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
     """SPAN rows of the settled segments, for the blocks, and SEGMENT rows of those called for, for the buckets."""
 
@@ -222,7 +253,7 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
             return pa.Table.from_batches([batch([])])
         ident = identity(g, h)
         low = doc.copy()
-        called = np.zeros(len(doc), bool)
+        called = np.zeros(len(doc), np.int32)
         # the earliest document within the block
         order = np.lexsort((doc, ident))
         at = np.flatnonzero(np.append(True, ident[order][1:] != ident[order][:-1]))
@@ -237,7 +268,7 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
             found = np.minimum(np.searchsorted(known, ident), len(known) - 1)
             hit = known[found] == ident
             low[hit] = np.minimum(low[hit], other[found[hit]])
-            called[hit] = flag[found[hit]] > 0
+            called[hit] = flag[found[hit]]
         done = np.flatnonzero(low < doc)
         out = []
         if len(done):
@@ -246,7 +277,10 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
             at = np.flatnonzero(new)
             b = b[np.append(at[1:], len(b)) - 1]
             out += pack(SPAN, np.full(len(at), block), doc=d[at], row=r[at], a=a[at].astype(np.int32), b=b.astype(np.int32))
-        ask = np.flatnonzero(called & (low == doc))
+        hot = np.flatnonzero((called == 2) & (low == doc))
+        if len(hot):
+            out += windows_of(np.concatenate(datas), doc[hot], row[hot], first[hot], place[hot], (last - first + 1)[hot], block, n_buckets)
+        ask = np.flatnonzero((called == 1) & (low == doc))
         if len(ask):
             to = bucket_of(g[ask], n_buckets)
             order = np.argsort(to, kind="stable")

@@ -100,8 +100,10 @@ def report(df):
     return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.report(df).collect())
 
 
-def test_suffix_dedup_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = np.random.default_rng(5)
     parts = ["".join(rng.choice(list("abcé "), 70)) for _ in range(12)]
     rows = [(int(k), "".join(rng.choice(parts, 4)) + str(k)) for k in rng.permutation(40)]
