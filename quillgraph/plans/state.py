@@ -87,7 +87,7 @@ def b17(spark: SparkSession, d: str) -> DataFrame:
     return X.insert_edges(e, e).select("src", "dst", "type")
 
 
-@query("b18_dry_run", "SELECT (2 * (SELECT count(*) FROM customer) + 2 * (SELECT count(*) FROM supplier))::HUGEINT AS total, (SELECT count(*) FROM supplier)::HUGEINT AS created, (2 * (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier))::HUGEINT AS skipped")
+@query("b18_dry_run", "SELECT (2 * (SELECT count(*) FROM customer) + 2 * (SELECT count(*) FROM supplier))::BIGINT AS total, (SELECT count(*) FROM supplier)::BIGINT AS created, (2 * (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier))::BIGINT AS skipped")
 def b18(spark: SparkSession, d: str) -> DataFrame:
     return X.insert_stats(*_edges(spark, d))
 
