@@ -5,12 +5,11 @@ that the trie has; the chance to escape from a context is d / (n + d) (n occurre
 followers), and symbols that a longer context has are excluded in the shorter ones. The last resort
 is the uniform distribution over what is left of 256 symbols; byte 255, which UTF-8 does not use,
 stands before the start and for the end of a text. As the trie is fixed after training, the code
-length of a byte depends on ORDER + 1 bytes alone: the trie is flattened to a table of (longest
-context, symbol) and texts are scored by look-ups in numpy.
+length of a byte depends on ORDER + 1 bytes alone, its gram.
 
-All training texts are counted. Of each order above 2 the trie has the MAX_CONTEXTS most
-frequent contexts (a documented bound of the model's size, as in any PPM with a memory limit), and
-all of order 2 and less; bytes in other contexts are coded from the longest context it has.
+All training texts are counted and every context is kept. The trie lies in shards by the last three
+bytes of the context; what is shorter (2^24 grams of three bytes at most) every shard has. A block
+of texts asks the shards for the costs of its distinct grams, and meets the answers by block.
 
 The base score counts whole tokens. Counts of the HEAD most frequent tokens go to the executors,
 those of all others are joined, so that any vocabulary is counted exactly.
@@ -26,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, buffers, byte_list, column, fold, materialize, steps
 
 ORDER = 5
-MAX_CONTEXTS = 32768
+#: Bytes of text of a block.
+BLOCK_BYTES = 8 << 20
 #: Tokens whose counts are sent to the executors, of at most HEAD_BYTES bytes each.
 HEAD, HEAD_BYTES = 131072, 64
 END = b""  # no word is empty
 _S = 255
+_SPREAD = 0x9E3779B1
 
 
 def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,91 +79,66 @@ def runs(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.nda
     return x[at], np.diff(np.append(at, len(x))) if n is None else np.add.reduceat(n, at) if len(at) else n
 
 
-class Model:
-    """The trie, flattened: child[node, symbol] of the byte before, and table[node, symbol] of log10 probabilities."""
-
-    def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """levels[k], k = 2..ORDER: grams of k+1 bytes and their counts, in the contexts that are kept (all for 2)."""
-        known = {k: runs(*(np.asarray(x, np.int64) for x in v)) for k, v in levels.items()}
-        g, n = known[2]
-        known[1] = runs(g & 0xFFFF, n)
-        known[0] = runs(known[1][0] & 0xFF, known[1][1])
-        seen = known[0][0]
-        # Symbols that occur, and one class for all others.
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        self.width = a = len(seen) + 1
-        self._counts = {k: self._index(*v) for k, v in known.items()}
-        contexts = {k: self._counts[k][0] for k in range(ORDER + 1)}
-        contexts[0] = np.zeros(1, np.int64)
-        base = np.cumsum([0] + [len(contexts[k]) for k in range(ORDER + 1)])
-        self.child = np.zeros((base[ORDER], a), np.int32)  # 0: none, as no child is the root
-        for k in range(1, ORDER + 1):
-            c, up = contexts[k], contexts[k - 1]
-            tail = c & ((1 << 8 * (k - 1)) - 1)
-            at = np.minimum(np.searchsorted(up, tail), len(up) - 1) if len(up) else np.empty(0, np.int64)
-            ok = up[at] == tail if len(up) else np.zeros(len(c), bool)
-            self.child[base[k - 1] + at[ok], self.symbol[c[ok] >> 8 * (k - 1)]] = (base[k] + np.arange(len(c)))[ok]
-        self.child = self.child.ravel()
-        self.table = np.concatenate([self._cost(contexts[k], k) for k in range(ORDER + 1)]).astype(np.float32).ravel()
-        del self._counts
-
-    def _index(self, g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts, where their followers start, followers as classes, counts; g is sorted."""
-        context = g >> 8
-        at = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.empty(0, np.int64)
-        return context[at], np.append(at, len(context)), self.symbol[g & 255], n
-
-    def _dense(self, k: int, contexts: np.ndarray) -> np.ndarray:
-        known, start, follower, n = self._counts[k]
-        out = np.zeros((len(contexts), self.width))
-        if len(known):
-            at = np.minimum(np.searchsorted(known, contexts), len(known) - 1)
-            at, rows = at[known[at] == contexts], np.flatnonzero(known[at] == contexts)
-            size = start[at + 1] - start[at]
-            i = np.repeat(start[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            out[np.repeat(rows, size), follower[i]] = n[i]
+def shard_of(g, n: int):
+    """The shard of a gram, by the three bytes before its symbol; g is an array or a Column."""
+    if isinstance(g, Column):
+        return F.pmod(F.shiftright(F.shiftright(g, 8).bitwiseAND(0xFFFFFF) * F.lit(_SPREAD), 20), F.lit(n)).cast("int")
+    return ((g >> 8 & 0xFFFFFF) * _SPREAD >> 20) % n
+
+
+def find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in the sorted values, and whether they are there."""
+    if not len(known):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return at, known[at] == x
+
+
+class Trie:
+    """All contexts of a shard: of orders above 2 those whose last three bytes are its own, of 2 and less all there are.
+
+    As followers of a context are followers of every shorter one, what order k excludes is what the
+    context of order k + 1 has: sums over contexts tell how much is left to order k.
+    """
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], g: np.ndarray, n: np.ndarray):
+        """low: grams of three bytes and their counts, of all shards; g, n: those of ORDER + 1 bytes of this one."""
+        grams_ = {ORDER: runs(g, n), 2: runs(*low)}
+        for k in [*range(ORDER - 1, 2, -1), 1, 0]:
+            longer, m = grams_[k + 1]
+            grams_[k] = runs(longer & ((1 << 8 * (k + 1)) - 1), m)
+        self.grams = grams_
+        self.contexts = {}
+        for k, (own, m) in grams_.items():
+            c = own >> 8
+            at = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.empty(0, np.int64)
+            below = np.zeros(len(own), np.int64)
+            if k:  # how often the follower stands after the context without its first byte
+                shorter, m_shorter = grams_[k - 1]
+                below = m_shorter[find(shorter, own & ((1 << 8 * k) - 1))[0]] if len(own) else below
+            total, excluded = (np.add.reduceat(x, at) if len(at) else x for x in (m, below))
+            self.contexts[k] = c[at], total, np.diff(np.append(at, len(c))), excluded
+
+    def cost(self, g: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol after its context, with escapes and exclusion."""
+        out, escape = np.zeros(len(g)), np.zeros(len(g))
+        excluded, kinds_excluded = np.zeros((2, len(g)), np.int64)
+        live = np.arange(len(g))
+        for k in range(ORDER, -1, -1):
+            own = g[live] & ((1 << 8 * (k + 1)) - 1)
+            known, totals, sizes, below = self.contexts[k]
+            at, seen = find(known, own >> 8)
+            pick = lambda x: np.where(seen, x[at], 0) if len(x) else np.zeros(len(live), np.int64)  # noqa: E731, B023
+            total, kinds = pick(totals) - excluded[live], pick(sizes) - kinds_excluded[live]
+            at_gram, hit = find(self.grams[k][0], own)
+            both = np.maximum(total + kinds, 1)
+            out[live[hit]] = escape[live[hit]] + np.log10(self.grams[k][1][at_gram[hit]] / both[hit])
+            escape[live] += np.where(total > 0, np.log10(np.maximum(kinds, 1) / both), 0.0)
+            excluded[live], kinds_excluded[live] = pick(below), pick(sizes)
+            live = live[~hit]
+        out[live] = escape[live] - np.log10(max(1, 256 - len(self.grams[0][0])))
         return out
 
-    def _cost(self, contexts: np.ndarray, order: int, block: int = 2048) -> np.ndarray:
-        """log10 probability of each symbol class after each context of `order` bytes, with escapes and exclusion."""
-        out = np.zeros((len(contexts), self.width))
-        unseen = 256 - (self.width - 1)
-        for a in range(0, len(contexts), block):
-            c = contexts[a : a + block]
-            excluded = np.zeros((len(c), self.width), bool)
-            escape, result = np.zeros(len(c)), np.zeros((len(c), self.width))
-            for k in range(order, -1, -1):
-                n = self._dense(k, c & ((1 << 8 * k) - 1))
-                n[excluded] = 0
-                has = n > 0
-                total, kinds = n.sum(1), has.sum(1)
-                both = np.maximum(total + kinds, 1)
-                row = np.nonzero(has)[0]
-                result[has] = escape[row] + np.log10(n[has] / both[row])
-                escape = escape + np.where(total > 0, np.log10(np.maximum(kinds, 1) / both), 0.0)
-                excluded |= has
-            result[:, -1] = escape - np.log10(max(1, unseen))
-            out[a : a + block] = result
-        return out
-
-    def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        if len(offs) < 2:
-            return np.empty(0)
-        seq, first = padded(data, offs)
-        c, a = self.symbol[seq].astype(np.int32), self.width
-        at = ORDER + np.flatnonzero(coded(seq, first))
-        node = self.child[c[at - 1]]  # below the root
-        live = np.flatnonzero(node)
-        for k in range(2, ORDER + 1):
-            below = self.child[node[live].astype(np.int64) * a + c[at[live] - k]]
-            live, below = live[below > 0], below[below > 0]
-            node[live] = below
-        cost = self.table[node.astype(np.int64) * a + c[at]].astype(np.float64)
-        size = np.diff(offs) + 1
-        return np.add.reduceat(cost, np.cumsum(size) - size)
-
 
 # ---- Training ------------------------------------------------------------------------------------
 
@@ -203,55 +179,110 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(apply, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, max_contexts: int = MAX_CONTEXTS, head: int = HEAD) -> tuple[Model, DataFrame, dict[bytes, int], int, int]:
-    """The trie's model, all token counts, those of the most frequent tokens, N and V."""
+def train(docs: DataFrame, head: int = HEAD) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], DataFrame, dict[bytes, int], int, int]:
+    """All gram counts, those of three bytes (2^24 at most), all token counts, those of the most frequent tokens, N and V."""
     counts = materialize(count(docs))
     gram = counts.where("kind = 1").select(F.conv(F.hex("key"), 16, 10).cast("long").alias("g"), "n")
-    gram = materialize(gram)
-    levels = {}
-    for k in range(2, ORDER + 1):
-        sums = gram.groupBy(F.col("g").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("g")).agg(F.sum("n").alias("n"))
-        if k > 2:
-            context = F.shiftright("g", 8)
-            kept = sums.groupBy(context.alias("c")).agg(F.sum("n").alias("cn")).orderBy(F.desc("cn"), "c").limit(max_contexts).select("c")
-            sums = sums.join(F.broadcast(kept), context == F.col("c"), "left_semi")  # max_contexts numbers
-        t = sums.toArrow()
-        levels[k] = t["g"].to_numpy(), t["n"].to_numpy()
-    model = Model(levels)
+    t = gram.groupBy(F.col("g").bitwiseAND((1 << 24) - 1).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    low = t["g"].to_numpy(), t["n"].to_numpy()
     words_ = counts.where("kind = 0").select("key", "n")
     size = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = words_.where(F.octet_length("key") <= HEAD_BYTES).orderBy(F.desc("n"), "key").limit(head).toArrow()
-    return model, words_, dict(zip(top["key"].to_pylist(), top["n"].to_pylist())), size["n"], size["v"]
-
-
-def score(docs: DataFrame, train_docs: DataFrame, max_contexts: int = MAX_CONTEXTS, head: int = HEAD) -> DataFrame:
+    return gram, low, words_, dict(zip(top["key"].to_pylist(), top["n"].to_pylist())), size["n"], size["v"]
+
+
+# ---- Scoring -------------------------------------------------------------------------------------
+
+
+def asked(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams of a block's texts in order, their order by shard, and each shard with where its own start."""
+    parts = [runs(grams(*buffers(column(b, "text"))))[0] for b in steps(iter(t.combine_chunks().to_batches()))]
+    g = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+    shard = shard_of(g, n)
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(g) else np.empty(0, np.int64)
+    return g, order, shard[start], start
+
+
+def costs(blocks: DataFrame, gram: DataFrame, low: tuple[np.ndarray, np.ndarray], n: int) -> DataFrame:
+    """block, shard, cost: for each block the costs of its distinct grams, in the order of asked()."""
+    shared = blocks.sparkSession.sparkContext.broadcast(low)
+    names = ["shard", "block", "g"]
+
+    def ask(t: pa.Table) -> pa.Table:
+        g, order, shard, start = asked(t, n)
+        # as planes of bytes: the upper ones of numbers in order compress to next to nothing
+        raw = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in np.split(g[order], start[1:])] if len(g) else []
+        block = t["block"][0].as_py() if t.num_rows else 0
+        return pa.table([pa.array(shard, pa.int32()), pa.array([block] * len(raw), pa.int32()), pa.array(raw, pa.binary())], names)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        trie = Trie(shared.value, right["g"].to_numpy(), right["n"].to_numpy())
+        rows = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in left["g"].to_pylist()]
+        all_ = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
+        cost = trie.cost(all_).astype(np.float32)
+        out = [cost[np.searchsorted(all_, x)].tobytes() for x in rows]
+        return pa.table([left["shard"], left["block"], pa.array(out, pa.binary())], ["shard", "block", "cost"])
+
+    asks = blocks.select("block", "text").groupBy("block").applyInArrow(ask, "shard int, block int, g binary")
+    known = gram.select(shard_of(F.col("g"), n).alias("shard"), "g", "n")
+    return asks.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "shard int, block int, cost binary")
+
+
+def look_up(data: np.ndarray, offs: np.ndarray, known: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The sum of the costs of each text's grams."""
+    if len(offs) < 2:
+        return np.empty(0)
+    g = grams(data, offs)
+    order = np.argsort(g)
+    at = np.flatnonzero(np.append(True, np.diff(g[order]) != 0))
+    each = np.empty(len(g))
+    each[order] = np.repeat(cost[np.searchsorted(known, g[order[at]])], np.diff(np.append(at, len(g))))
+    size = np.diff(offs) + 1
+    return np.add.reduceat(each, np.cumsum(size) - size)
+
+
+def score(docs: DataFrame, train_docs: DataFrame, head: int = HEAD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every document row."""
-    model, known, top, n_train, v_train = train(train_docs, max_contexts, head)
-    shared = docs.sparkSession.sparkContext.broadcast((model, top))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    gram, low, known, top, n_train, v_train = train(train_docs, head)
+    shared = docs.sparkSession.sparkContext.broadcast(top)
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(1, -(-total // block_bytes))
+    block = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(n)).cast("int").alias("block")
+    said = materialize(costs(docs.select(block, "text"), gram, low, n))
+
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["row_no", "doc_id", "rest", "times", "n_tokens", "head_known", "head_log", "score", "n_bytes"]
-        for b in steps(batches):
-            trie, table = shared.value
+        table = shared.value
+        g, order, shard, start = asked(left, n)
+        cost, end = np.empty(len(g), np.float32), np.append(start[1:], len(g))
+        by = dict(zip(right["shard"].to_pylist(), right["cost"].to_pylist()))
+        for s, x, y in zip(shard.tolist(), start, end):
+            cost[order[x:y]] = np.frombuffer(by[s], np.float32)
+        out = []
+        for b in steps(iter(left.combine_chunks().to_batches())):
             data, offs = buffers(column(b, "text"))
-            total = trie.score(data, offs)
+            total = look_up(data, offs, g, cost)
             rest, times, n_tokens, n_known, logs = [], [], [], [], []
             for t in byte_list(column(b, "text")):
                 c = Counter(tokens(t))
-                here = [(x, n) for w, n in c.items() if (x := table.get(w))]
+                here = [(x, m) for w, m in c.items() if (x := table.get(w))]
                 k = np.array(here, np.float64).reshape(-1, 2)
                 logs.append(float((np.log10(k[:, 0] + 1) * k[:, 1]).sum()))
                 n_known.append(int(k[:, 1].sum()))
                 n_tokens.append(sum(c.values()))
-                far = [(w, n) for w, n in c.items() if w not in table]
+                far = [(w, m) for w, m in c.items() if w not in table]
                 rest.append([w for w, _ in far])
-                times.append([n for _, n in far])
+                times.append([m for _, m in far])
             cols = [column(b, "row_no"), column(b, "doc_id"), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
             cols += [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(total), pa.array(np.diff(offs))]
-            yield pa.record_batch(cols, names)
+            out.append(pa.record_batch(cols, names))
+        return pa.Table.from_batches(out) if out else pa.table([[]] * len(names), names)
 
     schema = "row_no long, doc_id long, rest array<binary>, times array<long>, n_tokens long, head_known long, head_log double, score double, n_bytes long"
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text").mapInArrow(apply, schema)
+    texts = docs.select(F.monotonically_increasing_id().alias("row_no"), block, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(apply, schema)
     # One row for each rare token of a document, and one without a token that carries what the document has already.
     own = F.struct(F.lit(None).cast("binary").alias("key"), F.lit(0).cast("long").alias("times"), F.struct("doc_id", "n_tokens", "head_known", "head_log", "score", "n_bytes").alias("own"))
     far = F.zip_with("rest", "times", lambda k, t: F.struct(k.alias("key"), t.alias("times"), F.lit(None).cast("struct<doc_id:bigint,n_tokens:bigint,head_known:bigint,head_log:double,score:double,n_bytes:bigint>").alias("own")))

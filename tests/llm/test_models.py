@@ -117,3 +117,18 @@ def test_ppm_on_odd_rows(spark, odd, none):
     assert len(got) == odd.count() and (got.score <= 0).all() and (got.base_score <= 0).all()
     assert ppm.score(none, ppm.training(odd)).isEmpty()
     assert {r["n_known"] for r in ppm.score(odd, none).collect()} == {0}
+
+
+def test_ppm_keeps_every_context_over_many_shards(spark):
+    """More contexts of an order than any one table had room for (32,768), and shards of a part of them each."""
+    rng = np.random.default_rng(3)
+    train = ["".join(map(chr, rng.integers(97, 123, 2500))) for _ in range(24)]
+    assert all(len({t[i : i + k] for t in train for i in range(len(t) - k + 1)}) > 32768 for k in (4, 5))
+    ask = [t[1000:1300] for t in train[::4]] + ["zzz", ""]
+    rows = list(enumerate(train + ask))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = ppm.score(docs.where(f"doc_id >= {len(train)}"), docs.where(f"doc_id < {len(train)}"), block_bytes=200)
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    follow = [t.encode() for t in train]
+    for i, t in rows[len(train) :]:
+        assert got[i] == pytest.approx(naive_ppm(follow, t.encode()), rel=1e-6)
