@@ -4,7 +4,7 @@ Every window of LENGTH bytes has an anchor: the smallest hash of its GRAM-byte s
 windows have equal anchors, so windows of one anchor that follow each other form a segment, and
 only segments of one anchor can share a window.
 
-1. Each task cuts its texts into segments and sends (anchor, hash of the segment, smallest
+1. Each task cuts its texts into segments and sends (anchor, 64-bit hash of the segment, smallest
    document) to the anchor's bucket. What a task can settle itself (a segment that an earlier
    document of the same task has) it does not send there, so that an anchor of very many documents
    arrives once for each task.
@@ -70,7 +70,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, first window, last window, anchor, hash of the bytes) of each segment; windows as places in data."""
     n = len(data)
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     if n < LENGTH:
         return none
     code = _BYTE[data]
@@ -98,11 +98,23 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(code * p[:n], out=run[1:])
     h = mix((run[last + LENGTH] - run[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return text[at], first, last, anchor[at], (h >> U(32)).astype(np.uint32)
+    return text[at], first, last, anchor[at], h
 
 
 def identity(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return mix(g) + mix(h.astype(np.uint64) + U(0x632BE59BD9B4E019))
+    return mix(g) + mix(h + U(0x632BE59BD9B4E019))
+
+
+def copies(g: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which copies (equal anchor and hash) stand together by document, the identities in it, and where a new segment starts."""
+    ident = identity(g, h)
+    for keys_ in ((doc, ident), (doc, h, g, ident)):  # the second only if different segments have one identity
+        order = np.lexsort(keys_)
+        i, a, b = ident[order], g[order], h[order]
+        differ = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if not (differ & (i[1:] == i[:-1])).any():
+            break
+    return order, i, np.append(True, differ)[: len(g)]
 
 
 def bucket_of(g: np.ndarray, n: int) -> np.ndarray:
@@ -137,7 +149,7 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 def unpack(t: pa.Table, kind: int) -> dict[str, np.ndarray]:
     """The columns of all rows of a kind, end to end."""
     t = t.filter(pa.array(t["kind"].to_numpy() == kind))
-    types = {"g": np.uint64, "h": np.uint32, "doc": np.int64, "row": np.int64, "a": np.int32, "b": np.int32, "text": np.uint8}
+    types = {"g": np.uint64, "h": np.uint64, "doc": np.int64, "row": np.int64, "a": np.int32, "b": np.int32, "text": np.uint8}
     read = {"doc": from_planes}
     return {k: np.frombuffer(b"".join(read.get(k, bytes)(x) for x in t[k].to_pylist() if x is not None), v) for k, v in types.items()}
 
@@ -150,10 +162,8 @@ def keys(docs: DataFrame, n_buckets: int, n_blocks: int) -> DataFrame:
 
     def settle(parts: list[tuple]) -> pa.RecordBatch:
         g, h, doc = (np.concatenate(x) for x in zip(*parts))
-        ident = identity(g, h)
-        order = np.lexsort((doc, ident))
-        g, h, doc, ident = g[order], h[order], doc[order], ident[order]
-        new = np.append(True, ident[1:] != ident[:-1])[: len(g)]
+        order, _, new = copies(g, h, doc)
+        g, h, doc = g[order], h[order], doc[order]
         at = np.flatnonzero(new)
         low = np.repeat(doc[at], np.diff(np.append(at, len(doc))))
         rows = pack(KEY, bucket_of(g[new], n_buckets), g=g[new], h=h[new], doc=doc[new])
@@ -188,10 +198,9 @@ def answers(packed: DataFrame, n_blocks: int) -> DataFrame:
         k = unpack(t, KEY)
         g, h, doc = k["g"], k["h"], k["doc"]
         if len(g):
-            ident = identity(g, h)
-            order = np.lexsort((doc, ident))
-            g, h, doc, ident = g[order], h[order], doc[order], ident[order]
-            at = np.flatnonzero(np.append(True, ident[1:] != ident[:-1]))
+            order, _, new = copies(g, h, doc)
+            g, h, doc = g[order], h[order], doc[order]
+            at = np.flatnonzero(new)
             group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(g))))
             low, high = doc[at], doc[np.append(at[1:], len(g)) - 1]
             by = np.argsort(g[at], kind="stable")
@@ -234,7 +243,7 @@ def windows_of(whole: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.nd
     to = bucket_of(h[go], n_buckets)
     go, to = go[np.argsort(to, kind="stable")], np.sort(to)
     ends = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-    packed = pack(SEGMENT, to, g=h[go], doc=d[go], row=r[go], a=a[go], b=np.ones(len(go), np.int32))
+    packed = pack(SEGMENT, to, doc=d[go], row=r[go], a=a[go], b=np.ones(len(go), np.int32))
     for x, i, j in zip(packed, ends, np.append(ends[1:], len(to))):
         out.append((*x[:8], whole[at[go[i:j], None] + np.arange(LENGTH)].tobytes()))
     return out
@@ -266,18 +275,25 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
         low = doc.copy()
         called = np.zeros(len(doc), np.int32)
         # the earliest document within the block
-        order = np.lexsort((doc, ident))
-        at = np.flatnonzero(np.append(True, ident[order][1:] != ident[order][:-1]))
+        order, _, new = copies(g, h, doc)
+        at = np.flatnonzero(new)
         low[order] = np.repeat(doc[order][at], np.diff(np.append(at, len(doc))))
         k = unpack(right, ANSWER)
         if len(k["g"]):
-            known = identity(k["g"], k["h"])
-            order = np.lexsort((k["doc"], known))
-            known, other, flag = known[order], k["doc"][order], k["a"][order]
-            at = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
-            known, other, flag = known[at], other[at], np.maximum.reduceat(flag, at)
+            order, known, new = copies(k["g"], k["h"], k["doc"])
+            other, flag = k["doc"][order], k["a"][order]
+            at = np.flatnonzero(new)
+            known, known_g, known_h = known[at], k["g"][order][at], k["h"][order][at]
+            other, flag = other[at], np.maximum.reduceat(flag, at)
             found = np.minimum(np.searchsorted(known, ident), len(known) - 1)
-            hit = known[found] == ident
+            while True:  # past other segments of the same identity
+                differ = (known_g[found] != g) | (known_h[found] != h)
+                past = np.flatnonzero(differ & (known[found] == ident) & (found < len(known) - 1))
+                past = past[known[found[past] + 1] == ident[past]]
+                if not len(past):
+                    break
+                found[past] += 1
+            hit = ~differ
             low[hit] = np.minimum(low[hit], other[found[hit]])
             called[hit] = flag[found[hit]]
         done = np.flatnonzero(low < doc)
@@ -300,7 +316,7 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
             size = windows + LENGTH - 1
             whole = np.concatenate(datas)
             at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            packed = pack(SEGMENT, to, g=g[ask], doc=doc[ask], row=row[ask], a=first[ask].astype(np.int32), b=windows.astype(np.int32))
+            packed = pack(SEGMENT, to, doc=doc[ask], row=row[ask], a=first[ask].astype(np.int32), b=windows.astype(np.int32))
             for r, a, b in zip(packed, at, np.append(at[1:], len(to))):
                 s = size[a:b]
                 bytes_ = whole[np.repeat(place[ask[a:b]], s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)]

@@ -241,3 +241,22 @@ def test_arrow_helpers():
     assert data.tobytes() == "ü".encode() and offs.tolist() == [0, 0, 2, 2] and common.byte_list(col) == [b"", "ü".encode(), b""]
     b = pa.record_batch([pa.array(["x" * 10] * 10)], ["text"])
     assert [s.num_rows for s in common.steps(iter([b]), size=25)] == [2] * 5
+
+
+def test_suffix_dedup_tells_segments_of_one_anchor_apart(spark):
+    """Unrepeated texts around one phrase whose segments agree in the upper 32 bits of their hash."""
+    texts = [
+        "egzxmykauxxudwuyheprsvzmqdroyiwfxuiunxdpmucxfikbxwekliglppbezwjsfqufltdmbykhunmvoups",
+        "cqlqleoptpcqnnusncgntannghsltikbsviunxdpmucxfikbxwivvvvrhvqfpkxtxskibqxmprhmjfrcapxd",
+        "khjdajbotdlyprtpblxddspkqwznbqksuhiunxdpmucxfikbxwsclncqbbvxiderpxlvwfgsgekhlavdvyhp",
+        "edrzifrvbddbvmswdjprdynstdkqnayqjxiunxdpmucxfikbxwarhjcztgforyzxeumrpqgqfyezlmfieqon",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.report(docs).collect()} == {(i, 0) for i in range(4)}
+
+
+def test_copies_with_one_identity(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "identity", lambda g, h: np.zeros(len(g), np.uint64))
+    g, h, doc = np.array([5, 7, 5, 7, 5], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64), np.arange(5)
+    order, _, new = suffix_dedup.copies(g, h, doc)
+    assert sorted(x.tolist() for x in np.split(order, np.flatnonzero(new)[1:])) == [[0, 4], [1, 3], [2]]
