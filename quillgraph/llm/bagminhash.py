@@ -221,8 +221,10 @@ def links(reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, small:
     known = tested.unionByName(again)
     group = group.withColumn("a", F.least("hub", "doc_id")).withColumn("b", F.greatest("hub", "doc_id")).join(known, ["a", "b"], "left")
     j = F.when(F.col("hub") == F.col("doc_id"), 1.0).otherwise(F.coalesce("j", F.lit(0.0)))
-    group = group.select("hub", "doc_id", j.alias("j"), "root", (F.col("root") != F.col("hub")).alias("minor"))
-    group = materialize(group.where((F.col("j") < threshold) | ~F.col("minor")))  # who is linked to the hub is so to its component
+    group = group.withColumn("j", j)
+    # Who is linked to the hub is so to its component: not minor any more, but a bridge to those who are.
+    minor = ((F.col("root") != F.col("hub")) & (F.col("j") < threshold)).alias("minor")
+    group = materialize(group.select("hub", "doc_id", "j", "root", minor))
     linked = linked.unionByName(again.where(F.col("j") >= threshold))
     more = tile_links(group, texts, threshold, tile)
     with batches_of(reps.sparkSession, 16):  # a row holds two tiles of texts

@@ -260,3 +260,16 @@ def test_copies_with_one_identity(monkeypatch):
     g, h, doc = np.array([5, 7, 5, 7, 5], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64), np.arange(5)
     order, _, new = suffix_dedup.copies(g, h, doc)
     assert sorted(x.tolist() for x in np.split(order, np.flatnonzero(new)[1:])) == [[0, 4], [1, 3], [2]]
+
+
+def test_late_link_to_the_hub_bridges_to_a_further_text(spark):
+    """3 is linked to the main hub 0, whom it met in no bucket; 4 is linked to 3 alone, with whom it meets under hub 1."""
+    base = [f"w{k}" for k in range(120)]
+    changed = {0: [], 1: [10, 20], 2: [15], 3: [60, 70], 4: [60, 70, 90, 100]}
+    texts = {k: " ".join(f"z{i}" if i in c else w for i, w in enumerate(base)) for k, c in changed.items()}
+    assert set(brute_classes(texts).values()) == {0}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bands = [(0, [1]), (1, [1, 2]), (2, [1]), (3, [2]), (4, [2])]
+    linked, roots = bagminhash.links(spark.createDataFrame(bands, "doc_id long, bands array<long>"), docs, 0.8, 2, 4)
+    assert {r["node"]: r["root"] for r in roots.collect()} | {0: 0} == brute_classes(texts)
+    assert (3, 4) in {(r["a"], r["b"]) for r in linked.collect()}
