@@ -130,6 +130,24 @@ def load(block: DataFrame, window: int = WINDOW) -> TestSet:
     return TestSet(list(zip(rows["item_id"].to_pylist(), byte_list(rows["text"].combine_chunks()))), window)
 
 
+def search(rows: DataFrame, part: DataFrame, window: int = WINDOW) -> DataFrame:
+    """row_no, doc_id, n_words and hits in one block of the test set, of rows (row_no, doc_id, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(load(part, window))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, size=SHARD_BYTES):
+            n, hits = matches(shared.value, byte_list(column(b, "text")))
+            yield pa.record_batch([column(b, "row_no"), column(b, "doc_id"), pa.array(n), hits], ["row_no", "doc_id", "n_words", "hits"])
+
+    return rows.mapInArrow(apply, f"row_no string, doc_id long, n_words long, hits array<{HIT}>")
+
+
+def search_all(rows: DataFrame, parts: list[DataFrame], window: int = WINDOW) -> DataFrame:
+    """The same over all blocks, a pass for each; rows are written out, as row_no must not change."""
+    passes = [materialize(search(rows, p, window)) for p in parts]
+    return reduce(DataFrame.unionByName, passes).groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words and hits (maximal matches) of every document row.
 
@@ -137,24 +155,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     block, so that a task never holds more than one; their hits are then put together by row.
     """
     parts = blocks(benchmark, block_bytes)
-    sc = docs.sparkSession.sparkContext
-
-    def search(df: DataFrame, part: DataFrame) -> DataFrame:
-        shared = sc.broadcast(load(part, window))
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in steps(batches, size=SHARD_BYTES):
-                n, hits = matches(shared.value, byte_list(column(b, "text")))
-                yield pa.record_batch([column(b, "row_no"), column(b, "doc_id"), pa.array(n), hits], ["row_no", "doc_id", "n_words", "hits"])
-
-        return df.mapInArrow(apply, f"row_no string, doc_id long, n_words long, hits array<{HIT}>")
-
     if len(parts) == 1:
-        return search(docs.select(F.lit("").alias("row_no"), "doc_id", "text"), parts[0]).drop("row_no")
+        return search(docs.select(F.lit("").alias("row_no"), "doc_id", "text"), parts[0], window).drop("row_no")
     rows = materialize(docs.select(F.uuid().alias("row_no"), "doc_id", "text"))
-    passes = [materialize(search(rows, p)) for p in parts]
-    both = reduce(DataFrame.unionByName, passes).groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
-    return both.drop("row_no")
+    return search_all(rows, parts, window).drop("row_no")
 
 
 def judge(found: DataFrame, share: float = SHARE) -> DataFrame:
@@ -184,13 +188,16 @@ def judge(found: DataFrame, share: float = SHARE) -> DataFrame:
     return found.mapInArrow(apply, f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<{HIT}>")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns (rows of a null id stay if clean themselves)."""
-    parts = blocks(benchmark)
+    parts = blocks(benchmark, block_bytes)
     schema, sc = docs.schema, docs.sparkSession.sparkContext
     if len(parts) > 1:
-        bad = judge(find(docs, benchmark, window), share).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+        # Rows are judged and removed by their own number, which takes the place of the id.
+        rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[docs[c] for c in docs.columns]).alias("own")))
+        found = search_all(rows.select(F.col("number").cast("string").alias("row_no"), F.col("number").alias("doc_id"), "own.text"), parts, window)
+        bad = judge(found, share).where("contaminated").select(F.col("doc_id").alias("number"))
+        return rows.join(bad, "number", "left_anti").select("own.*")
     shared = sc.broadcast(load(parts[0], window))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

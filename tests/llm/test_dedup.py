@@ -273,3 +273,15 @@ def test_late_link_to_the_hub_bridges_to_a_further_text(spark):
     linked, roots = bagminhash.links(spark.createDataFrame(bands, "doc_id long, bands array<long>"), docs, 0.8, 2, 4)
     assert {r["node"]: r["root"] for r in roots.collect()} | {0: 0} == brute_classes(texts)
     assert (3, 4) in {(r["a"], r["b"]) for r in linked.collect()}
+
+
+def test_clean_judges_each_row_over_blocks_of_the_benchmark(spark, monkeypatch):
+    """Null and repeated ids; the rule is the same whether the benchmark fits one block or not."""
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}x{k}" for k in range(40))) for i in range(20)], "item_id long, text string")
+    bad, good = " ".join(f"b3x{k}" for k in range(40)), " ".join(f"c{k}" for k in range(40))
+    docs = spark.createDataFrame([(None, bad), (None, good), (1, bad), (1, good), (2, good)], "doc_id long, text string")
+    real = decontam.blocks
+    for size in (8 << 20, 1000):
+        monkeypatch.setattr(decontam, "blocks", lambda b, *_, n=size: real(b, n))
+        got = decontam.clean(docs, bench).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, good), (1, good), (2, good)]
