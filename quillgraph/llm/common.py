@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -30,17 +28,21 @@ def tune(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of fewer rows, for what is run within."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session, for what is run within."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def batches_of(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of fewer rows, for what is run within."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,27 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def free(spark: SparkSession) -> None:
-    """Let the driver's JVM drop what no plan refers to any more, so that Spark removes its shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)  # the event of the last query, which holds its plan, may be on its way
-    spark.sparkContext._jvm.System.gc()
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The shuffle files of what was written go once the driver's JVM collects garbage, so it is asked to.
+    The shuffle files of what was written are of no more use, so Spark is told to remove them at its end.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    free(spark)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table from materialize() that no plan to come reads."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/quillgraph/" in f}:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def fold(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo k."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -121,6 +122,15 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: the upper ones, mostly alike, compress to next to nothing."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 # ---- Words ---------------------------------------------------------------------------------------
 
 #: A-Z to a-z, every other ASCII byte that is no digit or letter to a space; bytes from 128 on stay.

@@ -7,37 +7,48 @@ is the uniform distribution over what is left of 256 symbols; byte 255, which UT
 stands before the start and for the end of a text. As the trie is fixed after training, the code
 length of a byte depends on ORDER + 1 bytes alone, its gram.
 
-All training texts are counted and every context is kept. The trie lies in shards by the last three
-bytes of the context; what is shorter (2^24 grams of three bytes at most) every shard has. A block
-of texts asks the shards for the costs of its distinct grams, and meets the answers by block.
+All training texts are counted and every context and every token is kept; nothing is cut off.
 
-The base score counts whole tokens. Counts of the HEAD most frequent tokens go to the executors,
-those of all others are joined, so that any vocabulary is counted exactly.
+1. Each task counts the grams and tokens of its texts and sends packed runs of them to the bucket
+   of each gram's or token's own hash, so that a frequent one arrives once for each task.
+2. A bucket sums them up. Its grams go on to shards of the trie, by the last three bytes of the
+   context; what is shorter (2^24 grams of three bytes at most) every shard gets.
+3. A block of texts asks the shards for the costs of its distinct grams and the buckets for the
+   counts of its distinct tokens, and meets the answers by block.
+
+Numbers travel as packed binary columns: no row is made for a single gram or token.
 
 Defined cases: null is the empty text, which has the end token and the end symbol; repeated rows
 of one doc_id are scored as one row each; without training texts every byte costs log10(1/256).
+A block is chosen by a hash of id and text, so that ids of any pattern and copies of one text spread.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, buffers, byte_list, column, fold, materialize, steps
+from .common import LOWER_TABLE, U, buffers, byte_list, column, fold, from_planes, materialize, mix, planes, steps
 
 ORDER = 5
-#: Bytes of text of a block.
+#: Bytes of text of a block, and of training text for each bucket and shard.
 BLOCK_BYTES = 8 << 20
-#: Tokens whose counts are sent to the executors, of at most HEAD_BYTES bytes each.
-HEAD, HEAD_BYTES = 131072, 64
+#: Distinct grams and tokens that a task holds before it sends them on.
+HELD_GRAMS, HELD_TOKENS = 4 << 20, 400_000
 END = b""  # no word is empty
 _S = 255
 _SPREAD = 0x9E3779B1
+GRAM, TOKEN = range(2)
+#: One packed row: of kind, to (bucket, then shard); keys in order and their counts; sums of the tokens.
+PACKED = "kind int, at int, key binary, n binary, total long, kinds long"
+_ARROW = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_NAMES = ["kind", "at", "key", "n", "total", "kinds"]
 
 
 def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +90,27 @@ def runs(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.nda
     return x[at], np.diff(np.append(at, len(x))) if n is None else np.add.reduceat(n, at) if len(at) else n
 
 
-def shard_of(g, n: int):
-    """The shard of a gram, by the three bytes before its symbol; g is an array or a Column."""
-    if isinstance(g, Column):
-        return F.pmod(F.shiftright(F.shiftright(g, 8).bitwiseAND(0xFFFFFF) * F.lit(_SPREAD), 20), F.lit(n)).cast("int")
+def shard_of(g: np.ndarray, n: int) -> np.ndarray:
+    """The shard of a gram, by the three bytes before its symbol."""
     return ((g >> 8 & 0xFFFFFF) * _SPREAD >> 20) % n
 
 
+def bucket_of(g: np.ndarray, n: int) -> np.ndarray:
+    return (mix(g.astype(np.uint64) + U(1)) % U(n)).astype(np.int64)
+
+
+def token_buckets(tokens_: list[bytes], n: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) % n for w in tokens_), np.int64, len(tokens_))
+
+
+def parts(at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by `at` that keeps what is alike in place, and (at, first, end) of each run in it."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+    return order, list(zip(at[first].tolist(), first.tolist(), np.append(first[1:], len(at)).tolist()))
+
+
 def find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of x in the sorted values, and whether they are there."""
     if not len(known):
@@ -150,84 +175,164 @@ def tokens(text: bytes) -> list[bytes]:
     return w
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """kind 0: tokens, kind 1: grams (big-endian), with their counts over all training texts."""
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(_ARROW)], _NAMES)
+
+
+def gram_rows(g: np.ndarray, n: np.ndarray, at: np.ndarray) -> list[tuple]:
+    order, runs_ = parts(at)
+    g, n = g[order], n[order]
+    return [(GRAM, k, planes(g[a:b]), planes(n[a:b]), 0, 0) for k, a, b in runs_]
+
+
+def token_rows(counts: Counter, n_buckets: int) -> list[tuple]:
+    keys = list(counts)
+    order, runs_ = parts(token_buckets(keys, n_buckets))
+    keys = [keys[i] for i in order.tolist()]
+    n = np.fromiter((counts[w] for w in keys), np.int64, len(keys))
+    return [(TOKEN, k, b" ".join(keys[a:b]), planes(n[a:b]), int(n[a:b].sum()), b - a) for k, a, b in runs_]  # no token has a space
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, keys: list[bytes], n) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.int64())], ["kind", "key", "n"])
 
+def count(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Packed runs of the grams and tokens of each task's texts, for the buckets."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_seen: Counter = Counter()
         pending: list[tuple[np.ndarray, np.ndarray]] = []
         for b in steps(batches):
-            data, offs = buffers(column(b, "text"))
-            pending.append(runs(grams(data, offs)))
+            pending.append(runs(grams(*buffers(column(b, "text")))))
             for t in byte_list(column(b, "text")):
                 words_seen.update(tokens(t))
-            if len(words_seen) > 400_000:
-                yield out(0, list(words_seen), list(words_seen.values()))
+            if len(words_seen) > HELD_TOKENS:
+                yield packed(token_rows(words_seen, n_buckets))
                 words_seen = Counter()
             if len(pending) > 16:
-                pending = [runs(*(np.concatenate(x) for x in zip(*pending)))]
-        if words_seen:
-            yield out(0, list(words_seen), list(words_seen.values()))
+                g, n = runs(*(np.concatenate(x) for x in zip(*pending)))
+                pending = [(g, n)]
+                if len(g) > HELD_GRAMS:
+                    yield packed(gram_rows(g, n, bucket_of(g, n_buckets)))
+                    pending = []
+        rows = token_rows(words_seen, n_buckets) if words_seen else []
         if pending:
             g, n = runs(*(np.concatenate(x) for x in zip(*pending)))
-            raw = g.astype(">i8").tobytes()
-            yield out(1, [raw[i : i + 8] for i in range(0, len(raw), 8)], n)
+            rows += gram_rows(g, n, bucket_of(g, n_buckets))
+        yield packed(rows)
 
-    return docs.select("text").mapInArrow(apply, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(apply, PACKED)
 
 
-def train(docs: DataFrame, head: int = HEAD) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], DataFrame, dict[bytes, int], int, int]:
-    """All gram counts, those of three bytes (2^24 at most), all token counts, those of the most frequent tokens, N and V."""
-    counts = materialize(count(docs))
-    gram = counts.where("kind = 1").select(F.conv(F.hex("key"), 16, 10).cast("long").alias("g"), "n")
-    t = gram.groupBy(F.col("g").bitwiseAND((1 << 24) - 1).alias("g")).agg(F.sum("n").alias("n")).toArrow()
-    low = t["g"].to_numpy(), t["n"].to_numpy()
-    words_ = counts.where("kind = 0").select("key", "n")
-    size = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = words_.where(F.octet_length("key") <= HEAD_BYTES).orderBy(F.desc("n"), "key").limit(head).toArrow()
-    return gram, low, words_, dict(zip(top["key"].to_pylist(), top["n"].to_pylist())), size["n"], size["v"]
+def merge(t: pa.Table, n: int) -> pa.Table:
+    """The sums of a bucket: its grams for their shards, its tokens as one row."""
+    kind, found, counts = t["kind"].to_numpy(), [], Counter()
+    for k, key, m in zip(kind.tolist(), t["key"].to_pylist(), t["n"].to_pylist()):
+        if k == GRAM:
+            found.append((from_planes(key), from_planes(m)))
+        else:
+            for w, x in zip(key.split(b" "), from_planes(m).tolist()):
+                counts[w] += x
+    rows = []
+    if found:
+        g, m = runs(*(np.concatenate(x) for x in zip(*found)))
+        rows = gram_rows(g, m, shard_of(g, n))
+    if counts:
+        m = np.fromiter(counts.values(), np.int64, len(counts))
+        rows.append((TOKEN, t["at"][0].as_py(), b" ".join(counts), planes(m), int(m.sum()), len(m)))
+    return pa.Table.from_batches([packed(rows)])
 
 
-# ---- Scoring -------------------------------------------------------------------------------------
+def train(docs: DataFrame, n: int) -> DataFrame:
+    """All counts of the training texts, packed, in n buckets and shards; written out."""
+    return materialize(count(docs, n).groupBy("at").applyInArrow(lambda t: merge(t, n), PACKED))
+
 
+def low_orders(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of three bytes (2^24 at most) and their counts: what every shard needs of the others."""
 
-def asked(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct grams of a block's texts in order, their order by shard, and each shard with where its own start."""
-    parts = [runs(grams(*buffers(column(b, "text"))))[0] for b in steps(iter(t.combine_chunks().to_batches()))]
-    g = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
-    shard = shard_of(g, n)
-    order = np.argsort(shard, kind="stable")
-    shard = shard[order]
-    start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(g) else np.empty(0, np.int64)
-    return g, order, shard[start], start
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = n = np.empty(0, np.int64)
+        for b in batches:
+            both = [(from_planes(x) & 0xFFFFFF, from_planes(m)) for x, m in zip(column(b, "key").to_pylist(), column(b, "n").to_pylist())]
+            if both:
+                x, m = (np.concatenate(y) for y in zip(*both))
+                g, n = runs(np.append(g, x), np.append(n, m))
+        yield pa.record_batch([pa.array(g), pa.array(n)], ["g", "n"])
 
+    t = model.where(F.col("kind") == GRAM).mapInArrow(apply, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    return t["g"].to_numpy(), t["n"].to_numpy()
 
-def costs(blocks: DataFrame, gram: DataFrame, low: tuple[np.ndarray, np.ndarray], n: int) -> DataFrame:
-    """block, shard, cost: for each block the costs of its distinct grams, in the order of asked()."""
-    shared = blocks.sparkSession.sparkContext.broadcast(low)
-    names = ["shard", "block", "g"]
+
+# ---- Scoring -------------------------------------------------------------------------------------
+
+
+class Asked:
+    """What a block's texts ask for: distinct grams by shard, distinct tokens by bucket, the same whenever it is made."""
+
+    def __init__(self, t: pa.Table, n: int):
+        found, words_seen = [], set()
+        for b in steps(iter(t.combine_chunks().to_batches())):
+            found.append(runs(grams(*buffers(column(b, "text"))))[0])
+            for x in byte_list(column(b, "text")):
+                words_seen.update(tokens(x))
+        self.grams = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        self.tokens = sorted(words_seen)
+        self.order, self.shards = parts(shard_of(self.grams, n))
+        self.token_order, self.buckets = parts(token_buckets(self.tokens, n))
+
+    def rows(self) -> Iterator[tuple[int, int, bytes]]:
+        g, words_ = self.grams[self.order], [self.tokens[i] for i in self.token_order.tolist()]
+        for k, a, b in self.shards:
+            yield GRAM, k, planes(g[a:b])
+        for k, a, b in self.buckets:
+            yield TOKEN, k, b" ".join(words_[a:b])
+
+    def told(self, t: pa.Table) -> tuple[np.ndarray, dict[bytes, int]]:
+        """The costs of the grams, and the counts of the tokens that the training texts have."""
+        by = {(k, a): v for k, a, v in zip(t["kind"].to_pylist(), t["at"].to_pylist(), t["value"].to_pylist())}
+        cost, seen = np.empty(len(self.grams), np.float32), np.empty(len(self.tokens), np.int64)
+        for k, a, b in self.shards:
+            cost[self.order[a:b]] = np.frombuffer(by[GRAM, k], np.float32)
+        for k, a, b in self.buckets:
+            seen[self.token_order[a:b]] = from_planes(by[TOKEN, k])
+        return cost, {w: c for w, c in zip(self.tokens, seen.tolist()) if c}
+
+
+def answers(slim: DataFrame, model: DataFrame, low: tuple[np.ndarray, np.ndarray], n: int) -> DataFrame:
+    """block, kind, at, value: for each block the costs and counts it asks for, in its order."""
+    shared = slim.sparkSession.sparkContext.broadcast(low)
+    names = ["block", "kind", "at", "value"]
+    schema = "block int, kind int, at int, value binary"
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+    def table(rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     def ask(t: pa.Table) -> pa.Table:
-        g, order, shard, start = asked(t, n)
-        # as planes of bytes: the upper ones of numbers in order compress to next to nothing
-        raw = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in np.split(g[order], start[1:])] if len(g) else []
-        block = t["block"][0].as_py() if t.num_rows else 0
-        return pa.table([pa.array(shard, pa.int32()), pa.array([block] * len(raw), pa.int32()), pa.array(raw, pa.binary())], names)
+        block = t["block"][0].as_py()
+        return table([(block, *r) for r in Asked(t, n).rows()])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        trie = Trie(shared.value, right["g"].to_numpy(), right["n"].to_numpy())
-        rows = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in left["g"].to_pylist()]
-        all_ = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
-        cost = trie.cost(all_).astype(np.float32)
-        out = [cost[np.searchsorted(all_, x)].tobytes() for x in rows]
-        return pa.table([left["shard"], left["block"], pa.array(out, pa.binary())], ["shard", "block", "cost"])
-
-    asks = blocks.select("block", "text").groupBy("block").applyInArrow(ask, "shard int, block int, g binary")
-    known = gram.select(shard_of(F.col("g"), n).alias("shard"), "g", "n")
-    return asks.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "shard int, block int, cost binary")
+        asks = left.to_pylist()
+        known: dict[int, list[tuple[bytes, bytes]]] = {GRAM: [], TOKEN: []}
+        for k, key, m in zip(right["kind"].to_pylist(), right["key"].to_pylist(), right["n"].to_pylist()):
+            known[k].append((key, from_planes(m)))
+        rows = [from_planes(r["value"]) for r in asks if r["kind"] == GRAM]
+        if rows:
+            of = [(from_planes(key), m) for key, m in known[GRAM]] or [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            trie = Trie(shared.value, *(np.concatenate(x) for x in zip(*of)))
+            all_ = np.unique(np.concatenate(rows))
+            cost = trie.cost(all_).astype(np.float32)
+        seen = {w: c for key, m in known[TOKEN] for w, c in zip(key.split(b" "), m.tolist())}
+        out, grams_ = [], iter(rows)
+        for r in asks:
+            if r["kind"] == GRAM:
+                value = cost[np.searchsorted(all_, next(grams_))].tobytes()
+            else:
+                value = planes(np.array([seen.get(w, 0) for w in r["value"].split(b" ")], np.int64))
+            out.append((r["block"], r["kind"], r["at"], value))
+        return table(out)
+
+    asks = slim.groupBy("block").applyInArrow(ask, schema)
+    return asks.groupBy("at").cogroup(model.groupBy("at")).applyInArrow(answer, schema)
 
 
 def look_up(data: np.ndarray, offs: np.ndarray, known: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -243,68 +348,40 @@ def look_up(data: np.ndarray, offs: np.ndarray, known: np.ndarray, cost: np.ndar
     return np.add.reduceat(each, np.cumsum(size) - size)
 
 
-def score(docs: DataFrame, train_docs: DataFrame, head: int = HEAD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, train_docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every document row."""
-    gram, low, known, top, n_train, v_train = train(train_docs, head)
-    shared = docs.sparkSession.sparkContext.broadcast(top)
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // block_bytes))
-    block = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(n)).cast("int").alias("block")
-    said = materialize(costs(docs.select(block, "text"), gram, low, n))
+    size = F.sum(F.octet_length("text")).alias("n")
+    n, n_train = (max(1, -(-(df.agg(size).first()["n"] or 0) // block_bytes)) for df in (docs, train_docs))
+    n = max(n, n_train)
+    model = train(train_docs, n)
+    sums = model.where(F.col("kind") == TOKEN).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
+    n_tokens, scale = sums["n"], float(np.log10(sums["n"] + sums["v"] + 1))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
+    # Asking and scoring read the same exchange of the texts by block.
+    slim = docs.select(block, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    said = answers(slim, model, low_orders(model), n)
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["row_no", "doc_id", "rest", "times", "n_tokens", "head_known", "head_log", "score", "n_bytes"]
-        table = shared.value
-        g, order, shard, start = asked(left, n)
-        cost, end = np.empty(len(g), np.float32), np.append(start[1:], len(g))
-        by = dict(zip(right["shard"].to_pylist(), right["cost"].to_pylist()))
-        for s, x, y in zip(shard.tolist(), start, end):
-            cost[order[x:y]] = np.frombuffer(by[s], np.float32)
+        asked = Asked(left, n)
+        cost, seen = asked.told(right)
         out = []
         for b in steps(iter(left.combine_chunks().to_batches())):
             data, offs = buffers(column(b, "text"))
-            total = look_up(data, offs, g, cost)
-            rest, times, n_tokens, n_known, logs = [], [], [], [], []
+            model_score = look_up(data, offs, asked.grams, cost)
+            all_, known, base = [], [], []
             for t in byte_list(column(b, "text")):
-                c = Counter(tokens(t))
-                here = [(x, m) for w, m in c.items() if (x := table.get(w))]
-                k = np.array(here, np.float64).reshape(-1, 2)
-                logs.append(float((np.log10(k[:, 0] + 1) * k[:, 1]).sum()))
-                n_known.append(int(k[:, 1].sum()))
-                n_tokens.append(sum(c.values()))
-                far = [(w, m) for w, m in c.items() if w not in table]
-                rest.append([w for w, _ in far])
-                times.append([m for _, m in far])
-            cols = [column(b, "row_no"), column(b, "doc_id"), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            cols += [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(total), pa.array(np.diff(offs))]
-            out.append(pa.record_batch(cols, names))
-        return pa.Table.from_batches(out) if out else pa.table([[]] * len(names), names)
-
-    schema = "row_no long, doc_id long, rest array<binary>, times array<long>, n_tokens long, head_known long, head_log double, score double, n_bytes long"
-    texts = docs.select(F.monotonically_increasing_id().alias("row_no"), block, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(apply, schema)
-    # One row for each rare token of a document, and one without a token that carries what the document has already.
-    own = F.struct(F.lit(None).cast("binary").alias("key"), F.lit(0).cast("long").alias("times"), F.struct("doc_id", "n_tokens", "head_known", "head_log", "score", "n_bytes").alias("own"))
-    far = F.zip_with("rest", "times", lambda k, t: F.struct(k.alias("key"), t.alias("times"), F.lit(None).cast("struct<doc_id:bigint,n_tokens:bigint,head_known:bigint,head_log:double,score:double,n_bytes:bigint>").alias("own")))
-    flat = rows.select("row_no", F.explode(F.concat(F.array(own), far)).alias("x")).select("row_no", "x.key", "x.times", "x.own")
-    # Rows without a token need no partner; a key of their own spreads them over all tasks.
-    key = F.coalesce("key", F.concat(F.lit(b"\x00 "), F.col("row_no").cast("string").cast("binary")))
-    joined = flat.withColumn("key", key).join(known.withColumnRenamed("n", "c"), "key", "left")
-    sums = joined.groupBy("row_no").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("far_known"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times") * F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("far_log"),
-        F.max("own").alias("own"),
-    )
-    scale = float(np.log10(n_train + v_train + 1))
-    return sums.select(
-        "own.doc_id",
-        "own.n_tokens",
-        (F.col("own.head_known") + F.col("far_known")).alias("n_known"),
-        F.lit(int(n_train)).cast("long").alias("train_tokens"),
-        (F.col("own.head_log") + F.col("far_log") - F.col("own.n_tokens") * F.lit(scale)).alias("base_score"),
-        "own.score",
-        "own.n_bytes",
-    )
+                w = tokens(t)
+                c = np.array([seen.get(x, 0) for x in w], np.float64)
+                all_.append(len(w))
+                known.append(int((c > 0).sum()))
+                base.append(float(np.log10(c + 1).sum() - len(w) * scale))
+            cols = [column(b, "doc_id"), all_, known, [n_tokens] * len(all_), base, model_score, np.diff(offs)]
+            out.append(pa.record_batch([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(cols, kinds)], names))
+        return pa.Table.from_batches(out) if out else pa.table([pa.array([], k) for k in kinds], names)
+
+    return slim.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(apply, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 
 def training(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, column, materialize, mix, steps
+from .common import U, buffers, column, from_planes, materialize, mix, planes, steps
 
 LENGTH = 50
 GRAM = 16
@@ -121,15 +121,6 @@ def bucket_of(g: np.ndarray, n: int) -> np.ndarray:
     return (mix(g ^ U(0x2545F4914F6CDD1D)) % U(n)).astype(np.int64)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers as planes of their bytes: the upper ones, mostly alike, compress to next to nothing."""
-    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def from_planes(x: bytes) -> bytes:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).tobytes()
-
-
 def pack(kind: int, to: np.ndarray, **cols: np.ndarray) -> list[tuple]:
     """Packed rows, one for each value of `to`; keys and answers in order of the document."""
     order = np.lexsort((cols["doc"], to)) if kind in (KEY, ANSWER) else np.argsort(to, kind="stable")
@@ -150,7 +141,7 @@ def unpack(t: pa.Table, kind: int) -> dict[str, np.ndarray]:
     """The columns of all rows of a kind, end to end."""
     t = t.filter(pa.array(t["kind"].to_numpy() == kind))
     types = {"g": np.uint64, "h": np.uint64, "doc": np.int64, "row": np.int64, "a": np.int32, "b": np.int32, "text": np.uint8}
-    read = {"doc": from_planes}
+    read = {"doc": lambda x: from_planes(x).tobytes()}
     return {k: np.frombuffer(b"".join(read.get(k, bytes)(x) for x in t[k].to_pylist() if x is not None), v) for k, v in types.items()}
 
 

@@ -102,7 +102,7 @@ def test_ppm_against_brute_force(spark):
     train = ["abracadabra", "abraham", "", "the the theory", "ünï"]
     ask = train + ["abrax", "zzz", "the", None]
     docs = spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in ppm.score(docs, docs.where(f"doc_id < {len(train)}"), head=2).collect()}
+    got = {r["doc_id"]: r for r in ppm.score(docs, docs.where(f"doc_id < {len(train)}")).collect()}
     c = Counter(w for t in train for w in ppm.tokens(t.encode()))
     n, v = sum(c.values()), len(c)
     for i, t in enumerate(ask):
@@ -119,6 +119,20 @@ def test_ppm_on_odd_rows(spark, odd, none):
     assert {r["n_known"] for r in ppm.score(odd, none).collect()} == {0}
 
 
+def test_ppm_tokens_against_brute_force_over_many_buckets(spark):
+    """Rare and frequent tokens, long ones too, alike over many blocks and buckets."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 5000) + " " + "q" * int(rng.integers(1, 300)) for _ in range(80)] + [None, "", "W1 w1\tW2\x0bw3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in ppm.tokens((t or "").encode()))
+    n, v = sum(c.values()), len(c)
+    for r in ppm.score(docs, ppm.training(docs), block_bytes=500).collect():
+        w = ppm.tokens((texts[r["doc_id"]] or "").encode())
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
+
+
 def test_ppm_keeps_every_context_over_many_shards(spark):
     """More contexts of an order than any one table had room for (32,768), and shards of a part of them each."""
     rng = np.random.default_rng(3)
