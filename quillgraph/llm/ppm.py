@@ -25,30 +25,31 @@ A block is chosen by a hash of id and text, so that ids of any pattern and copie
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, U, buffers, byte_list, column, fold, from_planes, materialize, mix, planes, steps
+from .common import LOWER_TABLE, U, buffers, column, fold, from_planes, materialize, mix, planes, steps
 
 ORDER = 5
 #: Bytes of text of a block, and of training text for each bucket and shard.
 BLOCK_BYTES = 8 << 20
 #: Distinct grams and tokens that a task holds before it sends them on.
 HELD_GRAMS, HELD_TOKENS = 4 << 20, 400_000
-END = b""  # no word is empty
 _S = 255
 _SPREAD = 0x9E3779B1
 GRAM, TOKEN = range(2)
-#: One packed row: of kind, to (bucket, then shard); keys in order and their counts; sums of the tokens.
-PACKED = "kind int, at int, key binary, n binary, total long, kinds long"
-_ARROW = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-_NAMES = ["kind", "at", "key", "n", "total", "kinds"]
+#: One packed row: what it is, its bucket (then shard), keys (of tokens: end to end, with their sizes) and counts; sums of the tokens.
+PACKED = "kind int, at int, key binary, size binary, n binary, total long, kinds long"
+_ARROW = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_NAMES = ["kind", "at", "key", "size", "n", "total", "kinds"]
+_LOWER = np.frombuffer(LOWER_TABLE, np.uint8)
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = mix(np.arange(2001, 2257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
 def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +80,37 @@ def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return g[coded(seq, first)]
 
 
+def ranked(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For one stretch of symbols after the other: its distinct grams in order, and which of them each symbol's is.
+
+    The bytes that occur get short codes in their order, so that a gram and its place fit in one number to sort.
+    """
+    seq, first = padded(data, offs)
+    present = np.flatnonzero(np.bincount(seq, minlength=256))
+    bits = max(1, (len(present) - 1).bit_length())
+    code = np.zeros(256, np.uint64)
+    code[present] = np.arange(len(present))
+    x = code[seq]
+    g = x[ORDER:].copy()
+    for k in range(1, ORDER + 1):
+        g |= x[ORDER - k : len(x) - k] << U(bits * k)
+    g = g[coded(seq, first)]
+    free = 64 - bits * (ORDER + 1)
+    size = 1 << min(free, 21)
+    for a in range(0, len(g), size):
+        key = g[a : a + size] << U(free) | np.arange(min(size, len(g) - a), dtype=np.uint64)
+        key.sort()
+        v = key >> U(free)
+        new = np.append(True, v[1:] != v[:-1])
+        which = np.empty(len(key), np.int32)
+        which[(key & U((1 << free) - 1)).astype(np.int64)] = np.cumsum(new) - 1
+        v = v[new]
+        d = np.zeros(len(v), np.int64)
+        for k in range(ORDER + 1):
+            d |= present[(v >> U(bits * k) & U((1 << bits) - 1)).astype(np.int64)] << 8 * k
+        yield d, which
+
+
 def runs(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, sorted, and how often they stand there (or the sums of n)."""
     if n is None:
@@ -99,8 +131,13 @@ def bucket_of(g: np.ndarray, n: int) -> np.ndarray:
     return (mix(g.astype(np.uint64) + U(1)) % U(n)).astype(np.int64)
 
 
-def token_buckets(tokens_: list[bytes], n: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w) % n for w in tokens_), np.int64, len(tokens_))
+def token_buckets(tokens_: pa.Array, n: int) -> np.ndarray:
+    data, offs = buffers(tokens_)
+    size = np.diff(offs)
+    place = np.arange(len(data)) - np.repeat(offs[:-1], size)
+    code = np.append(mix(_BYTE[data] + place.astype(np.uint64)), U(0))
+    h = np.where(size > 0, np.add.reduceat(code, offs[:-1]) if len(size) else 0, U(0))
+    return (mix(h) % U(n)).astype(np.int64)
 
 
 def parts(at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -168,11 +205,26 @@ class Trie:
 # ---- Training ------------------------------------------------------------------------------------
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words between white space, lower-cased, and the end token."""
-    w = text.translate(LOWER_TABLE).split()
-    w.append(END)
-    return w
+def binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Byte strings that stand end to end in data."""
+    offs = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words between white space of all texts, lower-cased, with an empty one for the end of each text; how many each text has."""
+    inside = ~_WHITE[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    heads = offs[:-1][offs[:-1] < offs[1:]]
+    start[heads] = inside[heads]
+    start = np.flatnonzero(start)
+    of = np.searchsorted(offs, start, "right") - 1
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])
+    n = len(offs) - 1
+    size = np.zeros(len(start) + n, np.int64)
+    size[np.arange(len(start)) + of] = np.diff(np.append(before[start], before[-1]))
+    return binaries(_LOWER[data[inside]], size), np.bincount(of, minlength=n) + 1
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -182,61 +234,76 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
 def gram_rows(g: np.ndarray, n: np.ndarray, at: np.ndarray) -> list[tuple]:
     order, runs_ = parts(at)
     g, n = g[order], n[order]
-    return [(GRAM, k, planes(g[a:b]), planes(n[a:b]), 0, 0) for k, a, b in runs_]
+    return [(GRAM, k, planes(g[a:b]), None, planes(n[a:b]), 0, 0) for k, a, b in runs_]
+
+
+def token_sums(found: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct tokens and the sums of their counts."""
+    coded_ = pa.concat_arrays([x for x, _ in found]).dictionary_encode()
+    n = np.concatenate([m for _, m in found])
+    return coded_.dictionary, np.bincount(coded_.indices.to_numpy(), n, len(coded_.dictionary)).astype(np.int64)
 
 
-def token_rows(counts: Counter, n_buckets: int) -> list[tuple]:
-    keys = list(counts)
-    order, runs_ = parts(token_buckets(keys, n_buckets))
-    keys = [keys[i] for i in order.tolist()]
-    n = np.fromiter((counts[w] for w in keys), np.int64, len(keys))
-    return [(TOKEN, k, b" ".join(keys[a:b]), planes(n[a:b]), int(n[a:b].sum()), b - a) for k, a, b in runs_]  # no token has a space
+def cut_tokens(tokens_: pa.Array, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, bytes, bytes]]]:
+    """An order by `at`, and (at, first, end, bytes, sizes) of each run of tokens in it."""
+    order, runs_ = parts(at)
+    data, offs = buffers(tokens_.take(pa.array(order)))
+    return order, [(k, a, b, data[offs[a] : offs[b]].tobytes(), planes(np.diff(offs[a : b + 1]))) for k, a, b in runs_]
+
+
+def token_rows(tokens_: pa.Array, n: np.ndarray, n_buckets: int) -> list[tuple]:
+    order, runs_ = cut_tokens(tokens_, token_buckets(tokens_, n_buckets))
+    n = n[order]
+    return [(TOKEN, k, key, size, planes(n[a:b]), int(n[a:b].sum()), b - a) for k, a, b, key, size in runs_]
 
 
 def count(docs: DataFrame, n_buckets: int) -> DataFrame:
     """Packed runs of the grams and tokens of each task's texts, for the buckets."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_seen: Counter = Counter()
+        found: list[tuple[pa.Array, np.ndarray]] = []
         pending: list[tuple[np.ndarray, np.ndarray]] = []
         for b in steps(batches):
-            pending.append(runs(grams(*buffers(column(b, "text")))))
-            for t in byte_list(column(b, "text")):
-                words_seen.update(tokens(t))
-            if len(words_seen) > HELD_TOKENS:
-                yield packed(token_rows(words_seen, n_buckets))
-                words_seen = Counter()
+            texts = buffers(column(b, "text"))
+            pending.append(runs(grams(*texts)))
+            own = tokens(*texts)[0].dictionary_encode()
+            found.append((own.dictionary, np.bincount(own.indices.to_numpy(), minlength=len(own.dictionary))))
             if len(pending) > 16:
-                g, n = runs(*(np.concatenate(x) for x in zip(*pending)))
-                pending = [(g, n)]
-                if len(g) > HELD_GRAMS:
-                    yield packed(gram_rows(g, n, bucket_of(g, n_buckets)))
-                    pending = []
-        rows = token_rows(words_seen, n_buckets) if words_seen else []
+                pending = [runs(*(np.concatenate(x) for x in zip(*pending)))]
+                found = [token_sums(found)]
+                if len(pending[0][0]) > HELD_GRAMS or len(found[0][0]) > HELD_TOKENS:
+                    yield packed(rows(pending, found))
+                    pending, found = [], []
         if pending:
-            g, n = runs(*(np.concatenate(x) for x in zip(*pending)))
-            rows += gram_rows(g, n, bucket_of(g, n_buckets))
-        yield packed(rows)
+            yield packed(rows(pending, found))
+
+    def rows(pending: list[tuple[np.ndarray, np.ndarray]], found: list[tuple[pa.Array, np.ndarray]]) -> list[tuple]:
+        g, n = runs(*(np.concatenate(x) for x in zip(*pending)))
+        return token_rows(*token_sums(found), n_buckets) + gram_rows(g, n, bucket_of(g, n_buckets))
 
     return docs.select("text").mapInArrow(apply, PACKED)
 
 
-def merge(t: pa.Table, n: int) -> pa.Table:
-    """The sums of a bucket: its grams for their shards, its tokens as one row."""
-    kind, found, counts = t["kind"].to_numpy(), [], Counter()
-    for k, key, m in zip(kind.tolist(), t["key"].to_pylist(), t["n"].to_pylist()):
+def unpacked(t: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[pa.Array, np.ndarray]]]:
+    """(grams, counts) and (tokens, counts) of packed rows."""
+    grams_, tokens_ = [], []
+    for k, key, size, m in zip(*(t[c].to_pylist() for c in ("kind", "key", "size", "n"))):
         if k == GRAM:
-            found.append((from_planes(key), from_planes(m)))
+            grams_.append((from_planes(key), from_planes(m)))
         else:
-            for w, x in zip(key.split(b" "), from_planes(m).tolist()):
-                counts[w] += x
+            tokens_.append((binaries(np.frombuffer(key, np.uint8), from_planes(size)), from_planes(m)))
+    return grams_, tokens_
+
+
+def merge(t: pa.Table, n: int) -> pa.Table:
+    """The sums of a bucket: its grams for their shards, its tokens as one row."""
     rows = []
-    if found:
-        g, m = runs(*(np.concatenate(x) for x in zip(*found)))
+    grams_, tokens_ = unpacked(t)
+    if grams_:
+        g, m = runs(*(np.concatenate(x) for x in zip(*grams_)))
         rows = gram_rows(g, m, shard_of(g, n))
-    if counts:
-        m = np.fromiter(counts.values(), np.int64, len(counts))
-        rows.append((TOKEN, t["at"][0].as_py(), b" ".join(counts), planes(m), int(m.sum()), len(m)))
+    if tokens_:
+        rows += token_rows(*token_sums(tokens_), n)
     return pa.Table.from_batches([packed(rows)])
 
 
@@ -265,87 +332,97 @@ def low_orders(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Asked:
-    """What a block's texts ask for: distinct grams by shard, distinct tokens by bucket, the same whenever it is made."""
+    """Distinct grams by shard and distinct tokens by bucket, in the same order whenever they are made of the same texts."""
 
-    def __init__(self, t: pa.Table, n: int):
-        found, words_seen = [], set()
-        for b in steps(iter(t.combine_chunks().to_batches())):
-            found.append(runs(grams(*buffers(column(b, "text"))))[0])
-            for x in byte_list(column(b, "text")):
-                words_seen.update(tokens(x))
-        self.grams = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        self.tokens = sorted(words_seen)
-        self.order, self.shards = parts(shard_of(self.grams, n))
-        self.token_order, self.buckets = parts(token_buckets(self.tokens, n))
-
-    def rows(self) -> Iterator[tuple[int, int, bytes]]:
-        g, words_ = self.grams[self.order], [self.tokens[i] for i in self.token_order.tolist()]
+    def __init__(self, grams_: np.ndarray, tokens_: pa.Array, n: int):
+        """Grams in order, tokens in any."""
+        self.grams = grams_
+        self.order, self.shards = parts(shard_of(grams_, n))
+        by_name = pc.sort_indices(tokens_).to_numpy()
+        order, self.buckets = cut_tokens(ordered := tokens_.take(pa.array(by_name)), token_buckets(ordered, n))
+        self.token_order = by_name[order]
+
+    def rows(self) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+        g = self.grams[self.order]
         for k, a, b in self.shards:
-            yield GRAM, k, planes(g[a:b])
-        for k, a, b in self.buckets:
-            yield TOKEN, k, b" ".join(words_[a:b])
+            yield GRAM, k, planes(g[a:b]), None
+        for k, _, _, key, size in self.buckets:
+            yield TOKEN, k, key, size
 
-    def told(self, t: pa.Table) -> tuple[np.ndarray, dict[bytes, int]]:
-        """The costs of the grams, and the counts of the tokens that the training texts have."""
+    def told(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The costs of the grams, and how often the training texts have the tokens."""
         by = {(k, a): v for k, a, v in zip(t["kind"].to_pylist(), t["at"].to_pylist(), t["value"].to_pylist())}
-        cost, seen = np.empty(len(self.grams), np.float32), np.empty(len(self.tokens), np.int64)
+        cost, seen = np.empty(len(self.grams), np.float32), np.empty(len(self.token_order), np.int64)
         for k, a, b in self.shards:
             cost[self.order[a:b]] = np.frombuffer(by[GRAM, k], np.float32)
-        for k, a, b in self.buckets:
+        for k, a, b, _, _ in self.buckets:
             seen[self.token_order[a:b]] = from_planes(by[TOKEN, k])
-        return cost, {w: c for w, c in zip(self.tokens, seen.tolist()) if c}
+        return cost, seen
+
+
+def union(parts_: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts_)) if parts_ else np.empty(0, np.int64)
+
+
+class Block:
+    """A block's texts as numbers: of each symbol its gram, of each token its word."""
+
+    def __init__(self, t: pa.Table):
+        self.steps = list(steps(iter(t.combine_chunks().to_batches())))
+        texts = [buffers(column(b, "text")) for b in self.steps]
+        self.ranks = [list(ranked(*x)) for x in texts]
+        self.grams = union([d for r in self.ranks for d, _ in r])
+        own = [tokens(*x) for x in texts]
+        self.sizes = [size for _, size in own]
+        coded_ = pa.concat_arrays([x for x, _ in own]).dictionary_encode()
+        self.tokens = coded_.dictionary
+        self.words = np.split(coded_.indices.to_numpy(), np.cumsum([len(x) for x, _ in own])[:-1])
+
+    def score(self, cost: np.ndarray, seen: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each step: its rows, and of each text the sum of the costs, tokens, known tokens and the sum of log10(count + 1)."""
+        logs = np.log10(seen + 1.0)
+        for b, ranks, words_, size in zip(self.steps, self.ranks, self.words, self.sizes):
+            each = np.concatenate([cost[np.searchsorted(self.grams, d)][which] for d, which in ranks]).astype(np.float64)
+            symbols, start = np.diff(buffers(column(b, "text"))[1]) + 1, np.cumsum(size) - size
+            known = (seen[words_] > 0).astype(np.int64)
+            yield b, np.add.reduceat(each, np.cumsum(symbols) - symbols), size, np.add.reduceat(known, start), np.add.reduceat(logs[words_], start)
 
 
 def answers(slim: DataFrame, model: DataFrame, low: tuple[np.ndarray, np.ndarray], n: int) -> DataFrame:
     """block, kind, at, value: for each block the costs and counts it asks for, in its order."""
     shared = slim.sparkSession.sparkContext.broadcast(low)
-    names = ["block", "kind", "at", "value"]
-    schema = "block int, kind int, at int, value binary"
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-
-    def table(rows: list[tuple]) -> pa.Table:
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
-
     def ask(t: pa.Table) -> pa.Table:
-        block = t["block"][0].as_py()
-        return table([(block, *r) for r in Asked(t, n).rows()])
+        found, words_ = [], []
+        for b in steps(iter(t.combine_chunks().to_batches())):
+            texts = buffers(column(b, "text"))
+            found.append(runs(grams(*texts))[0])
+            words_.append(tokens(*texts)[0].unique())
+        rows = list(Asked(union(found), pa.concat_arrays(words_).unique(), n).rows())
+        cols = [[t["block"][0].as_py()] * len(rows), *([r[k] for r in rows] for k in range(4))]
+        return pa.table([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["block", "kind", "at", "key", "size"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        asks = left.to_pylist()
-        known: dict[int, list[tuple[bytes, bytes]]] = {GRAM: [], TOKEN: []}
-        for k, key, m in zip(right["kind"].to_pylist(), right["key"].to_pylist(), right["n"].to_pylist()):
-            known[k].append((key, from_planes(m)))
-        rows = [from_planes(r["value"]) for r in asks if r["kind"] == GRAM]
-        if rows:
-            of = [(from_planes(key), m) for key, m in known[GRAM]] or [(np.empty(0, np.int64), np.empty(0, np.int64))]
-            trie = Trie(shared.value, *(np.concatenate(x) for x in zip(*of)))
-            all_ = np.unique(np.concatenate(rows))
+        kind, keys, sizes = (left[c].to_pylist() for c in ("kind", "key", "size"))
+        grams_, tokens_ = unpacked(right)
+        asked = {i: from_planes(x) for i, (k, x) in enumerate(zip(kind, keys)) if k == GRAM}
+        if asked:
+            none = np.empty(0, np.int64)
+            trie = Trie(shared.value, *(np.concatenate(x) for x in zip(*grams_ or [(none, none)])))
+            all_ = union(list(asked.values()))
             cost = trie.cost(all_).astype(np.float32)
-        seen = {w: c for key, m in known[TOKEN] for w, c in zip(key.split(b" "), m.tolist())}
-        out, grams_ = [], iter(rows)
-        for r in asks:
-            if r["kind"] == GRAM:
-                value = cost[np.searchsorted(all_, next(grams_))].tobytes()
+        known, counts = token_sums(tokens_ or [(binaries(np.empty(0, np.uint8), np.empty(0, np.int64)), np.empty(0, np.int64))])
+        counts = np.append(counts, 0)  # of what is not known
+        values = []
+        for i, (key, size) in enumerate(zip(keys, sizes)):
+            if i in asked:
+                values.append(cost[np.searchsorted(all_, asked[i])].tobytes())
             else:
-                value = planes(np.array([seen.get(w, 0) for w in r["value"].split(b" ")], np.int64))
-            out.append((r["block"], r["kind"], r["at"], value))
-        return table(out)
-
-    asks = slim.groupBy("block").applyInArrow(ask, schema)
-    return asks.groupBy("at").cogroup(model.groupBy("at")).applyInArrow(answer, schema)
-
+                at = pc.index_in(binaries(np.frombuffer(key, np.uint8), from_planes(size)), value_set=known)
+                values.append(planes(counts[pc.fill_null(at, len(known)).to_numpy()]))
+        return pa.table([left["block"], left["kind"], left["at"], pa.array(values, pa.binary())], ["block", "kind", "at", "value"])
 
-def look_up(data: np.ndarray, offs: np.ndarray, known: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """The sum of the costs of each text's grams."""
-    if len(offs) < 2:
-        return np.empty(0)
-    g = grams(data, offs)
-    order = np.argsort(g)
-    at = np.flatnonzero(np.append(True, np.diff(g[order]) != 0))
-    each = np.empty(len(g))
-    each[order] = np.repeat(cost[np.searchsorted(known, g[order[at]])], np.diff(np.append(at, len(g))))
-    size = np.diff(offs) + 1
-    return np.add.reduceat(each, np.cumsum(size) - size)
+    asks = slim.groupBy("block").applyInArrow(ask, "block int, kind int, at int, key binary, size binary")
+    return asks.groupBy("at").cogroup(model.groupBy("at")).applyInArrow(answer, "block int, kind int, at int, value binary")
 
 
 def score(docs: DataFrame, train_docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -364,21 +441,12 @@ def score(docs: DataFrame, train_docs: DataFrame, block_bytes: int = BLOCK_BYTES
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked = Asked(left, n)
-        cost, seen = asked.told(right)
+        block = Block(left)
+        told = Asked(block.grams, block.tokens, n).told(right)
         out = []
-        for b in steps(iter(left.combine_chunks().to_batches())):
-            data, offs = buffers(column(b, "text"))
-            model_score = look_up(data, offs, asked.grams, cost)
-            all_, known, base = [], [], []
-            for t in byte_list(column(b, "text")):
-                w = tokens(t)
-                c = np.array([seen.get(x, 0) for x in w], np.float64)
-                all_.append(len(w))
-                known.append(int((c > 0).sum()))
-                base.append(float(np.log10(c + 1).sum() - len(w) * scale))
-            cols = [column(b, "doc_id"), all_, known, [n_tokens] * len(all_), base, model_score, np.diff(offs)]
-            out.append(pa.record_batch([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(cols, kinds)], names))
+        for b, total, size, known, logs in block.score(*told):
+            cols = [column(b, "doc_id"), size, known, np.full(len(size), n_tokens), logs - size * scale, total, np.diff(buffers(column(b, "text"))[1])]
+            out.append(pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(cols, kinds)], names))
         return pa.Table.from_batches(out) if out else pa.table([pa.array([], k) for k in kinds], names)
 
     return slim.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(apply, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
