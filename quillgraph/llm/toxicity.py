@@ -1,12 +1,16 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 Whether an n-gram (hashed) stands in a text is its feature; its value is the log of the ratio of
-the smoothed shares of toxic and other texts that have it. A logistic regression over the most
-telling features is fitted on labelled texts. Scores use every n-gram of the whole text.
+the smoothed shares of toxic and other texts that have it. A feature tells as much as this ratio,
+taken as positive, times the difference of the two shares. A logistic regression over all features
+that tell TELLING or more, however many, is fitted on labelled texts. Scores use every n-gram of
+the whole text.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; labels
 that are null are no labels; several label rows of one document count once (the larger label);
-without labels of both kinds the score is the constant share of toxic ones.
+without labels of both kinds the score is the constant share of toxic ones. Repeated rows of a
+labelled document are one training row each; texts alike have scores alike, whatever their id; a
+text of any length is scored as a whole, by which n-grams it has and not how often.
 """
 
 from __future__ import annotations
@@ -15,18 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, codepoints, column, letter_table, steps
+from .common import U, codepoints, column, from_planes, letter_table, materialize, planes, steps
 from .quality import labelled
 
+#: Lengths of the n-grams.
 ORDERS = (4, 6, 8, 10, 12)
 BITS = 22
+#: Buckets that are summed together, as a power of two.
+RANGE_BITS = 16
 #: Labelled rows that the model is fitted on at most: those of the smallest hash of the id.
 MAX_TRAIN_ROWS = 20_000
-FEATURES = 6000
+#: What a feature tells at least. Shares of all features of a text sum up to its distinct n-grams, which bounds their number.
+TELLING = 0.06
 _STEP = 1 << 20
 
 
@@ -97,10 +104,10 @@ def regress(rows: np.ndarray, cols: np.ndarray, r: np.ndarray, y: np.ndarray, l2
     return w * r, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, n_features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, telling: float = TELLING) -> Model:
     # The labels are at most max_rows ids and small integers, so they can go to every task.
     some = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, target, max_rows)), "doc_id")
-    some = some.repartition(8, "doc_id").persist(StorageLevel.DISK_ONLY)  # bounded by max_rows; the scan keeps its own tasks
+    some = materialize(some.repartition("doc_id", "text"))  # out of the scan's many tasks, which have a few rows each
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +118,27 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
             for k in (0, 1):
                 total[k] += np.bincount(b[y[doc] == k], minlength=1 << BITS).astype(np.int32)
         at = np.flatnonzero(total[0] + total[1])
-        cols = [at.astype(np.int32), total[1][at].astype(np.int64), total[0][at].astype(np.int64)]
-        yield pa.record_batch([pa.array(c) for c in cols], ["bucket", "pos", "neg"])
+        ends = np.searchsorted(at, np.arange(0, (1 << BITS) + 1, 1 << RANGE_BITS))
+        own = [(k, at[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+        cols = [[k for k, _ in own], *([planes(x[i]) for _, i in own] for x in (np.arange(1 << BITS), total[1], total[0]))]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 3))], ["range", "bucket", "pos", "neg"])
 
-    sums = some.select("text", "label").mapInArrow(count, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     size = some.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
     n_pos, n_neg = size[0], size[1]
     if not n_pos or not n_neg:
-        some.unpersist()
         p = (n_pos + 0.5) / (n_pos + n_neg + 1)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
-    ratio = F.log((F.col("pos") + 1) / F.lit(n_pos + 2)) - F.log((F.col("neg") + 1) / F.lit(n_neg + 2))
-    telling = F.abs(ratio) * F.abs(F.col("pos") / F.lit(n_pos) - F.col("neg") / F.lit(n_neg))
-    best = sums.select("bucket", ratio.alias("r"), telling.alias("t")).orderBy(F.desc("t"), "bucket").limit(n_features).toArrow().sort_by([("bucket", "ascending")])
+
+    def select(t: pa.Table) -> pa.Table:
+        bucket, pos, neg = (np.concatenate([from_planes(x) for x in t[c].to_pylist()]) for c in ("bucket", "pos", "neg"))
+        low = int(bucket.min())
+        pos, neg = (np.bincount(bucket - low, x) for x in (pos, neg))
+        r = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
+        at = np.flatnonzero(np.abs(r) * np.abs(pos / n_pos - neg / n_neg) >= telling)
+        return pa.table([pa.array((at + low).astype(np.int32)), pa.array(r[at])], ["bucket", "r"])
+
+    sums = some.select("text", "label").mapInArrow(count, "range int, bucket binary, pos binary, neg binary")
+    best = sums.groupBy("range").applyInArrow(select, "bucket int, r double").toArrow().sort_by([("bucket", "ascending")])
     chosen, r = best["bucket"].to_numpy(), best["r"].to_numpy()
     index = spark.sparkContext.broadcast(chosen)
 
@@ -138,7 +153,6 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
             yield pa.record_batch([column(x, "doc_id"), column(x, "label"), pa.ListArray.from_arrays(pa.array(offs), pa.array(place[b]))], ["doc_id", "label", "cols"])
 
     rows = some.mapInArrow(project, "doc_id long, label int, cols array<int>").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
-    some.unpersist()
     lists = rows["cols"].combine_chunks() if isinstance(rows["cols"], pa.ChunkedArray) else rows["cols"]
     sizes = np.diff(np.asarray(lists.offsets))
     y = rows["label"].to_numpy().astype(float)

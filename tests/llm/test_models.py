@@ -49,6 +49,42 @@ def test_classifiers_on_odd_rows(spark, odd, none, labels, module, target):
         assert kept.columns == odd.columns and kept.count() == odd.count() and quality.keep(none, model).isEmpty()
 
 
+def naive_ngrams(text):
+    """Distinct n-grams of the lower-cased text, runs of what is no letter as one space."""
+    c = []
+    for x in (text or "").lower():
+        if x.isalpha() or not c or c[-1].isalpha():
+            c.append(x if x.isalpha() else " ")
+    return {"".join(c[i : i + n]) for n in toxicity.ORDERS for i in range(len(c) - n + 1)}
+
+
+def test_toxicity_features_against_brute_force(spark):
+    """Which features are chosen, and the score of every text, from n-grams counted one by one."""
+    rng = np.random.default_rng(8)
+    words = ["lovely", "day", "idiot", "tree", "scum", "Ünder", "river", "x-1"]
+    rows = [(i, " ".join(rng.choice(words, 12))) for i in range(200)] + [(200, ""), (201, None)]
+    toxic = {i: int("idiot" in t and "scum" in t) for i, t in rows[:200] if zlib.crc32(str(i).encode()) % 4 != 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    sets = {i: naive_ngrams(t) for i, t in rows}
+    bucket = {}  # the n-grams are the features; the hash only names them
+    for g in set().union(*sets.values()):
+        b, _ = toxicity.grams([g])
+        bucket[g] = int(b[-1])
+    n = Counter(toxic.values())
+    want = set()
+    seen = Counter((b, y) for i, y in toxic.items() for b in {bucket[g] for g in sets[i]})
+    for b in {b for b, _ in seen}:
+        pos, neg = seen[b, 1], seen[b, 0]
+        r = math.log((pos + 1) / (n[1] + 2)) - math.log((neg + 1) / (n[0] + 2))
+        if abs(r) * abs(pos / n[1] - neg / n[0]) >= toxicity.TELLING:
+            want.add(b)
+    assert set(np.flatnonzero(model.weight)) == want
+    for x in toxicity.score(docs, model).collect():
+        z = model.intercept + sum(float(model.weight[b]) for b in {bucket[g] for g in sets[x["doc_id"]]})
+        assert x["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-5)
+
+
 def test_flat_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
