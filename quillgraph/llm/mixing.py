@@ -15,11 +15,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Without given targets a source weighs as its documents to this power (1: as it is, 0: all alike).
 TEMPERATURE = 0.5
 #: Rows of the result for each row of the input, on average.
 EPOCHS = 1.0
 SEED = 17
+#: Probabilities of all sources together (8 bytes each) up to which they go to every task; beyond, sources are joined with salt.
+SENT = 1 << 20
+#: Parts that a source's documents are dealt to in that join.
+SALT = 64
 _BITS = 2**52
 
 
@@ -54,16 +60,25 @@ def rates(docs: DataFrame, targets: DataFrame | None = None, epochs: float = EPO
     return per.select("mix_source", rate.alias("rate")).withColumn("cdf", cdf)
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+def with_rates(rows: DataFrame, per: DataFrame, sent: int = SENT) -> DataFrame:
+    """rows (mix_source, ident, ...) with the cdf of their source; documents are never shuffled by source alone."""
+    per = materialize(per)
+    if per.agg(F.coalesce(F.sum(F.size("cdf")), F.lit(0))).first()[0] <= sent:
+        return rows.join(F.broadcast(per), "mix_source")
+    salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(SALT)).cast("int")).join(salted, ["mix_source", "salt"]).drop("salt")
+
+
+def mix(docs: DataFrame, targets: DataFrame | None = None, epochs: float = EPOCHS, seed: int = SEED, sent: int = SENT) -> DataFrame:
     """The columns of docs, copy (from 0) and mix_key, by which the rows are shuffled."""
     own = [c for c in docs.columns if c not in ("copy", "mix_key")]
     ident = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
     # The row goes as one struct, so that no column of it can clash with those added here.
-    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), ident.alias("ident"), F.coalesce(docs["source"], F.lit("")).alias("mix_source"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in own]).alias("row"), ident.alias("ident"), F.coalesce(docs["source"], F.lit("")).alias("mix_source"))
     u = uniform(F.concat_ws(":", F.lit("u"), F.lit(str(seed)), "ident"))
     key = F.md5(F.concat_ws(":", F.lit("k"), F.lit(str(seed)), "ident", F.col("copy").cast("string")).cast("binary"))
     out = (
-        rows.join(rates(docs, targets, epochs), "mix_source")  # a row for each source: Spark broadcasts it while it is small
+        with_rates(rows, rates(docs, targets, epochs), sent)
         .withColumn("mix_n", F.size(F.filter("cdf", lambda c: c <= u)))
         .where("mix_n > 0")
         .select("row", "ident", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)).alias("copy"))

@@ -201,6 +201,9 @@ def test_mixing(spark, odd, none):
     assert abs(n["a"] - 4000) < 260 and abs(n["b"] - 4000) < 260
     one = [tuple(r) for r in out.orderBy("mix_key").collect()]
     assert one == [tuple(r) for r in mixing.mix(docs, want, epochs=2.0).orderBy("mix_key").collect()]
+    assert one == [tuple(r) for r in mixing.mix(docs, want, epochs=2.0, sent=0).orderBy("mix_key").collect()]  # salted join
+    dotted = docs.withColumn("a.b", docs["doc_id"])
+    assert mixing.mix(dotted, want).columns == ["doc_id", "text", "source", "a.b", "copy", "mix_key"]
     per = Counter(r["doc_id"] for r in out.where("source = 'b'").collect())
     assert np.var([per[i] for i in range(0, 4000, 4)]) == pytest.approx(4, rel=0.25)  # as of a Poisson number
     assert mixing.mix(none).isEmpty() and set(mixing.mix(odd, epochs=20.0).columns) == set(odd.columns) | {"mix_key"}
