@@ -34,11 +34,6 @@ def b1(spark: SparkSession, d: str) -> DataFrame:
     return c.join(j, "content_id", "left").select("content_id", "note", "entity", "predicate", F.coalesce("object_name", "object").alias("object"))
 
 
-@query("b2_duplicate_csv", "SELECT n_name || ',' || n_regionkey AS line FROM nation")
-def b2(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "nation").select(F.to_csv(F.struct("n_name", "n_regionkey")).alias("line"))
-
-
 @query("b3_graph_json", SQL + "SELECT count(*) AS n_lines, count(*) FILTER (WHERE k = 'n') AS n_nodes FROM (SELECT 'n' AS k FROM small UNION ALL SELECT 'l' FROM links)")
 def b3(spark: SparkSession, d: str) -> DataFrame:
     x = O.export(*small(spark, d), "json")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import matchers as M
 from quillgraph.functions import strings as S
+from quillgraph.lineage import cut
 from quillgraph.operators import fuzzy, resolve
 from quillgraph.sources import tables as T
 
@@ -41,55 +42,86 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "part").select("p_partkey", F.round(S.trigram_jaccard(F.col("p_name"), F.col("p_type")), 6).alias("score"))
 
 
-def duplicates(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
-    """Pairs of customers of one nation with like names."""
-    c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("block"))
-    return fuzzy.trigram_pairs(c, least)
+def like_names(spark: SparkSession, d: str, least: float = 0.8) -> fuzzy.LikeNames:
+    """All entities, by name."""
+    return fuzzy.LikeNames(T.entities(spark, d).select("id", "name"), least)
 
 
-_DUP = "SELECT a.c_custkey AS a, b.c_custkey AS b, " + _jaccard("lower(a.c_name)", "lower(b.c_name)") + " AS score FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey"
+_LIKE = f"""named AS (SELECT lower(name) AS name, min(id) AS rep, count(DISTINCT id) AS n FROM entities GROUP BY 1),
+ tri AS (SELECT name, rep, n, {_TRI.format("name")} AS t FROM named),
+ same AS (SELECT rep AS ra, rep AS rb, 1.0::DOUBLE AS score, n AS n_a, n AS n_b FROM named WHERE n > 1 AND length(name) >= 3),
+ pairs AS (SELECT * FROM (SELECT a.rep AS ra, b.rep AS rb, a.n AS n_a, b.n AS n_b, len(list_intersect(a.t, b.t)) AS both_, len(a.t) + len(b.t) AS all_
+   FROM tri a JOIN tri b ON a.rep < b.rep AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t)) WHERE both_ / greatest(1, all_ - both_) > 0.8),
+ liked AS (SELECT ra, rb, both_ / (all_ - both_) AS score, n_a, n_b FROM pairs UNION ALL SELECT * FROM same),
+ members AS (SELECT e.id, rep FROM entities e JOIN named ON lower(e.name) = named.name),
+ firsts AS (SELECT id, rep FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY id) AS r FROM members) WHERE r <= 11),
+ expanded AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, score FROM liked JOIN firsts x ON x.rep = ra JOIN firsts y ON y.rep = rb WHERE ra <> rb OR x.id < y.id)"""
 
 
-@query("e11_like_pairs", f"SELECT a, b, round(score, 2) AS score FROM ({_DUP}) WHERE score > 0.8")
+@query("e11_like_pairs", with_views("entities", also=_LIKE) + "SELECT ra AS a, rb AS b, round(score, 6) AS score, n_a, n_b FROM liked")
 def e11(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates(spark, d).select("a", "b", F.round("score", 2).alias("score"))
+    """All pairs of entities with like names, as pairs of names with the ids that have each; a = b: the ids that share a name."""
+    like = like_names(spark, d)
+    n = like.names.select("rep", "n")
+    different = like.pairs.join(n.withColumnsRenamed({"rep": "ra", "n": "n_a"}), "ra").join(n.withColumnsRenamed({"rep": "rb", "n": "n_b"}), "rb")
+    same = like.shared.select(F.col("rep").alias("ra"), F.col("rep").alias("rb"), F.lit(1.0).alias("score"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    return different.unionByName(same).select(F.col("ra").alias("a"), F.col("rb").alias("b"), F.round("score", 6).alias("score"), "n_a", "n_b")
 
 
-@query(
-    "f5_duplicate_report",
-    with_views("statements") + f", dup AS ({_DUP}), per AS (SELECT entity_id, count(*) AS n FROM statements GROUP BY 1) SELECT a, b, round(score, 2) AS score, coalesce(p.n, 0) AS n_a, coalesce(q.n, 0) AS n_b FROM dup LEFT JOIN per p ON p.entity_id = a LEFT JOIN per q ON q.entity_id = b WHERE score > 0.8 ORDER BY dup.score DESC, a, b LIMIT 10",
-)
-def f5(spark: SparkSession, d: str) -> DataFrame:
-    top = duplicates(spark, d).orderBy(F.desc("score"), "a", "b").limit(10)  # the report shows ten; counts are looked up for these
+@query("m5_top_duplicates", with_views("entities", also=_LIKE) + "SELECT a, b, round(score, 6) AS score FROM expanded ORDER BY expanded.score DESC, a, b LIMIT 10")
+def m5(spark: SparkSession, d: str) -> DataFrame:
+    return like_names(spark, d).top(10).select("a", "b", F.round("score", 6).alias("score"))
+
+
+_REPORT = with_views("entities", "statements", also=_LIKE + ", per AS (SELECT entity_id, count(*) AS n FROM statements GROUP BY 1)")
+_REPORTED = "SELECT a, b, round(score, 2) AS score, coalesce(p.n, 0) AS n_a, coalesce(q.n, 0) AS n_b FROM expanded LEFT JOIN per p ON p.entity_id = a LEFT JOIN per q ON q.entity_id = b ORDER BY expanded.score DESC, a, b LIMIT 10"
+
+
+def duplicate_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar pairs and the statements of both sides."""
+    top = cut(like_names(spark, d).top(10))  # the report shows ten; counts are looked up for these
     wanted = top.select(F.explode(F.array("a", "b")).alias("entity_id")).distinct()
     per = T.statements(spark, d).join(F.broadcast(wanted), "entity_id").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     out = top.join(per.withColumnsRenamed({"entity_id": "a", "n": "n_a"}), "a", "left").join(per.withColumnsRenamed({"entity_id": "b", "n": "n_b"}), "b", "left")
     return out.select("a", "b", F.round("score", 2).alias("score"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
 
 
-_F6 = """q AS (SELECT unnest(['Red Widget', 'blue unheard of', 'FRANCE', 'zzz']) AS name),
-exact AS (SELECT q.name, e.id FROM q JOIN entities e ON lower(e.name) = lower(q.name)),
-part_ AS (SELECT q.name, e.id FROM q JOIN entities e ON list_contains(string_split(lower(e.name), ' '), string_split(lower(q.name), ' ')[1]) WHERE length(q.name) > 3 AND q.name NOT IN (SELECT name FROM exact)),
+@query("f5_duplicate_report", _REPORT + _REPORTED)
+def f5(spark: SparkSession, d: str) -> DataFrame:
+    return duplicate_report(spark, d)
+
+
+@query("b2_duplicate_csv", _REPORT + f"SELECT a || ',' || b || ',' || printf('%.2f', score) || ',' || n_a || ',' || n_b AS line FROM ({_REPORTED})")
+def b2(spark: SparkSession, d: str) -> DataFrame:
+    """The duplicate report as lines of CSV."""
+    r = duplicate_report(spark, d)
+    return r.select(F.to_csv(F.struct("a", "b", F.format_number("score", 2), "n_a", "n_b")).alias("line"))
+
+
+_ASKED = [("Red Widget", "Part"), ("blue unheard of", "Part"), ("FRANCE", "Nation"), ("nation_1", "Nation"), ("idge t", "Part"), ("ustom er", "Customer"), ("upplie rs", "Part"), ("zzz", "Part")]
+_F6 = f"""q AS (SELECT unnest({[n for n, _ in _ASKED]}) AS name, unnest({[k for _, k in _ASKED]}) AS label),
+exact AS (SELECT q.name, q.label, e.id FROM q JOIN entities e ON lower(e.name) = lower(q.name) AND e.kind = q.label),
+part_ AS (SELECT q.name, q.label, e.id FROM q JOIN entities e ON contains(lower(e.name), string_split(lower(q.name), ' ')[1]) AND e.kind = q.label WHERE length(q.name) > 3 AND q.name NOT IN (SELECT name FROM exact)),
 both_ AS (SELECT *, 'exact' AS how FROM exact UNION ALL SELECT *, 'word' FROM part_)"""
 
 
-@query("f6_name_candidates", with_views("entities", also=_F6) + "SELECT name, id, how FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM both_) WHERE r <= 10")
+@query("f6_name_candidates", with_views("entities", also=_F6) + "SELECT name, label, id, how FROM (SELECT *, row_number() OVER (PARTITION BY name, label ORDER BY id) AS r FROM both_) WHERE r <= 10")
 def f6(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(x,) for x in ("Red Widget", "blue unheard of", "FRANCE", "zzz")], "name string")
-    return fuzzy.name_candidates(asked, T.entities(spark, d))
+    asked = spark.createDataFrame(_ASKED, "name string, label string")
+    return fuzzy.name_candidates(asked, T.entities(spark, d).withColumnRenamed("kind", "label"))
 
 
 def _keyed(spark: SparkSession, d: str, upper: bool) -> DataFrame:
     serial = F.concat(F.lit("sn-" if upper else "SN "), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
-    return T.table(spark, d, "part").where(F.lit(not upper) | (F.col("p_partkey") % 7 == 0)).select(F.col("p_partkey").alias("id"), F.create_map(F.lit("serial_number"), serial, F.lit("email"), F.concat(F.lit("P"), F.col("p_partkey"), F.lit("@Mail.com"))).alias("props"))
+    return T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.create_map(F.lit("serial_number"), serial, F.lit("email"), F.concat(F.lit("P"), F.col("p_partkey"), F.lit("@Mail.com"))).alias("props"))
 
 
-@query("f7_serial_lookup", "SELECT p_partkey AS new_id, p_partkey AS id FROM part WHERE p_partkey % 7 = 0")
+@query("f7_serial_lookup", "SELECT p_partkey AS new_id, p_partkey AS id FROM part")
 def f7(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.key_candidates(_keyed(spark, d, True), _keyed(spark, d, False), "serial_number", S.alnum_upper)
 
 
-@query("f7_email_lookup", "SELECT p_partkey AS new_id, p_partkey AS id FROM part WHERE p_partkey % 7 = 0")
+@query("f7_email_lookup", "SELECT p_partkey AS new_id, p_partkey AS id FROM part")
 def f7b(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.key_candidates(_keyed(spark, d, True), _keyed(spark, d, False), "email", lambda c: F.lower(F.trim(c)))
 

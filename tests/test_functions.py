@@ -86,20 +86,38 @@ def test_confidence_bounds(spark):
 
 
 def test_trigram_join_is_lossless(spark):
-    names = ["alpha beta", "alpha betta", "alpha bet", "gamma", "gamma", "gammas", "x", None, "delta delta", "delta delta1"]
-    df = spark.createDataFrame([(k, n, k % 2 * 0) for k, n in enumerate(names)], "id long, name string, block int")
+    """Names that repeat, in other cases too, short ones and random ones, against all pairs."""
+    import random
+
+    rng = random.Random(4)
+    names = ["alpha beta", "Alpha Betta", "alpha bet", "gamma", "GAMMA", "gamma", "gammas", "x", "x", None, None, "abc", "abc", "abcd", "abcde", "delta delta", "delta delta1"]
+    names += ["".join(rng.choice("ab") for _ in range(rng.randint(3, 9))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
 
     def grams(s):
-        return {s[i : i + 3] for i in range(len(s) - 2)}
+        return {s[i : i + 3].lower() for i in range(len(s) - 2)}
 
     for least in (0.3, 0.5, 0.8):
-        want = set()
+        want = {}
         for i, a in enumerate(names):
             for j in range(i + 1, len(names)):
                 b = names[j]
-                if a and b and a != b and grams(a) | grams(b) and len(grams(a) & grams(b)) / len(grams(a) | grams(b)) > least:
-                    want.add((i, j))
-        assert {(r["a"], r["b"]) for r in fuzzy.trigram_pairs(df, least).collect()} == want
+                if a and b and grams(a) | grams(b) and (score := len(grams(a) & grams(b)) / len(grams(a) | grams(b))) > least:
+                    want[i, j] = score
+        like = fuzzy.LikeNames(df, least)
+        got = [(r["a"], r["b"], r["score"]) for r in like.all_pairs().collect()]
+        assert sorted(got) == [(*k, pytest.approx(v)) for k, v in sorted(want.items())]
+        top = sorted(want, key=lambda k: (-want[k], k))[:7]
+        assert [(r["a"], r["b"]) for r in like.top(7).collect()] == top
+
+
+def test_name_candidates(spark):
+    nodes = spark.createDataFrame([(1, "Org", "Microsoft Corp"), (2, "Org", "Acme"), (3, "Thing", "microscope"), (4, "Org", "ACME "), (5, "Org", "my ox")], "id long, label string, name string")
+    asked = spark.createDataFrame([("Micro Systems", "Org"), ("acme", "Org"), ("ox cart", "Org"), ("zz top", "Org"), ("ac", "Org")], "name string, label string")
+    assert {(r["name"], r["id"], r["how"]) for r in fuzzy.name_candidates(asked, nodes).collect()} == {("Micro Systems", 1, "word"), ("acme", 2, "exact"), ("acme", 4, "exact"), ("ox cart", 5, "word")}
+    free = fuzzy.name_candidates(asked.select("name"), nodes)
+    assert {r["id"] for r in free.where("name = 'Micro Systems'").collect()} == {1, 3}
+    assert fuzzy.name_candidates(asked, nodes, limit=1).count() == 3
 
 
 def test_resolution_stages(spark):
