@@ -23,7 +23,7 @@ EXTENDED_THRESHOLDS = {"Event": 0.8, "Task": 0.82, "Project": 0.83, "Note": 0.8}
 # Identifiers that are unique to an asset.
 UNIQUE_FIELDS = ["license_plate", "vin", "part_number", "registration", "barcode", "product_code"]
 # Words that are no brand.
-BRAND_STOP_WORDS = "the and or of for with model type size inch inches mm cm kg lb lbs".split()
+BRAND_STOP_WORDS = ["the", "and", "or", "of", "for", "with", "model", "type", "size", "inch", "inches", "mm", "cm", "kg", "lb", "lbs"]
 
 
 def _false(c: Column) -> Column:
@@ -53,6 +53,11 @@ def full_name(m: Column) -> Column:
     return F.when(F.map_contains_key(m, "~full_name"), m["~full_name"]).otherwise(_full_name(m))
 
 
+def given(m: Column, key: str) -> Column:
+    """A property; null if it is blank."""
+    return _get(m, key)
+
+
 def first_word(c: Column) -> Column:
     return F.element_at(F.split(F.trim(c), r"\s+"), 1)
 
@@ -74,10 +79,17 @@ def person_name(a: Column, b: Column) -> Column:
     return S.similar(full_name(a), full_name(b), 0.9)
 
 
+def last_name(m: Column) -> Column:
+    return F.coalesce(_get(m, "last_name"), last_word(full_name(m)))
+
+
+def initial(m: Column) -> Column:
+    """First letter of the first name, if there is one."""
+    return F.lower(F.substring(F.coalesce(_get(m, "first_name"), F.when(F.trim(full_name(m)).contains(" "), first_word(full_name(m)))), 1, 1))
+
+
 def last_name_and_initial(a: Column, b: Column) -> Column:
-    last = [F.coalesce(_get(m, "last_name"), last_word(full_name(m))) for m in (a, b)]
-    initial = [F.lower(F.substring(F.coalesce(_get(m, "first_name"), F.when(F.trim(full_name(m)).contains(" "), first_word(full_name(m)))), 1, 1)) for m in (a, b)]
-    return S.similar(*last, 0.9) & F.coalesce(initial[0] == initial[1], F.lit(True))
+    return S.similar(last_name(a), last_name(b), 0.9) & F.coalesce(initial(a) == initial(b), F.lit(True))
 
 
 def unique_identifier(a: Column, b: Column) -> Column:
@@ -125,13 +137,13 @@ def asset_name(a: Column, b: Column) -> Column:
     return S.similar(_get(a, "name"), _get(b, "name"), 0.85)
 
 
-def _address(m: Column) -> Column:
+def address(m: Column) -> Column:
     return S.normalize_address(m["street"], m["city"], m["state"], F.coalesce(m["postalCode"], m["zip"]), m["country"])
 
 
 def normalized_address(a: Column, b: Column) -> Column:
     """Equal, contained or similar as a whole. Both need a street: two empty addresses are no match."""
-    x, y = _address(a), _address(b)
+    x, y = address(a), address(b)
     named = S.present(a["street"]) & S.present(b["street"])
     return _false(named & ((x == y) | x.contains(y) | y.contains(x) | S.similar(x, y, 0.85))) & ~_other_number(a, b)
 
@@ -244,9 +256,9 @@ AUTO_MERGE, AUTO_REJECT = 0.9, 0.3
 # Weights of the rules in the confidence of a match; others weigh 0.5.
 WEIGHTS = {"serial_number": 1.0, "unique_identifier": 0.95, "brand_and_model": 0.7, "name": 0.5}
 # Properties that tell an asset from others.
-IDENTIFYING = "serial_number license_plate vin part_number barcode brand model name".split()
+IDENTIFYING = ["serial_number", "license_plate", "vin", "part_number", "barcode", "brand", "model", "name"]
 # Names that say little.
-GENERIC_NAMES = "truck car vehicle bike item asset equipment tool part component".split()
+GENERIC_NAMES = ["truck", "car", "vehicle", "bike", "item", "asset", "equipment", "tool", "part", "component"]
 
 
 def rule_score(name: str, a: Column, b: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.lineage import cut
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -39,90 +42,162 @@ def top_k(items: DataFrame, vector: str, query: list[float], k: int, *, least: f
     return out.orderBy("distance", ident).limit(k)
 
 
-#: Queries whose vectors are sent to the executors at once.
-BLOCK = 2048
+#: Bytes of query vectors that are sent to the executors in one pass over the items.
+SENT_BYTES = 64 << 20
+#: Scores that a task works out at once.
+_SCORES = 4 << 20
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class _Best:
+    """The k best items of each query, of what a task has seen; ties by id, and an item that is seen twice counts once."""
+
+    def __init__(self, k: int):
+        self.k, self.q, self.i, self.s = k, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.new: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
+        """Scores of queries (rows) and items (columns); -inf is none."""
+        if s.shape[1] > self.k:  # more than k of a row need not be kept; ties with the last of them are
+            least = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+            row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+        else:
+            row, col = np.nonzero(np.isfinite(s))
+        self.new.append((q[row], i[col], s[row, col]))
+        self.waiting += len(row)
+        if self.waiting > 1 << 20:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, i, s = (np.concatenate(x) for x in zip((self.q, self.i, self.s), *self.new))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        if len(q):
+            once = np.append(True, (q[1:] != q[:-1]) | (i[1:] != i[:-1]))
+            q, i, s = q[once], i[once], s[once]
+            first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+            place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+            q, i, s = (x[place < self.k] for x in (q, i, s))
+        self.q, self.i, self.s, self.new, self.waiting = q, i, s, [], 0
+        return q, i, s
+
+
+def _search(queries: dict, items: DataFrame, k: int, least: float, drop_self: bool) -> DataFrame:
+    """query_id, id, similarity: the k best of each task. queries: key -> (ids, unit vectors); items: id, vector, key."""
+    shared = items.sparkSession.sparkContext.broadcast(queries)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k)
+        for t in batches:
+            ident, vectors, keys = t.column(0).to_numpy(), t.column(1), t.column(2).dictionary_encode()
+            size = np.diff(np.asarray(vectors.offsets))
+            flat = np.asarray(vectors.flatten(), np.float64)
+            start = np.cumsum(size) - size
+            for code, key in enumerate(keys.dictionary.to_pylist()):
+                own = keys.indices.to_numpy() == code
+                for dims in np.unique(size[own]):
+                    if (key, int(dims)) not in shared.value:
+                        continue
+                    at = np.flatnonzero(own & (size == dims))
+                    x = _unit(flat[start[at][:, None] + np.arange(dims)])
+                    q_ids, q = shared.value[key, int(dims)]
+                    step = max(1, _SCORES // len(at))
+                    for a in range(0, len(q_ids), step):
+                        # Equal vectors have equal scores wherever they stand, so that ties go by id.
+                        s = np.round(q[a : a + step] @ x.T, 12)
+                        if drop_self:
+                            s[q_ids[a : a + step, None] == ident[at][None, :]] = -np.inf
+                        s[s < least] = -np.inf
+                        best.add(q_ids[a : a + step], ident[at], s)
+        yield pa.record_batch([pa.array(x) for x in best.settle()], ["query_id", "id", "similarity"])
+
+    return items.mapInArrow(apply, "query_id long, id long, similarity double")
+
+
+def _passes(queries: DataFrame) -> Iterator[pa.Table]:
+    """The queries (id, vector, key) in parts of about SENT_BYTES."""
+    queries = queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
+    total = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] * 8
+    parts = max(1, -(-total // SENT_BYTES))
+    for b in range(parts):
+        yield queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b).toArrow()
+
+
+def _by_key(t: pa.Table, keys: list[list]) -> dict:
+    """(key, dims) -> (ids, unit vectors) of queries, each of which may have several keys."""
+    ids, vectors = t["id"].to_numpy(), t["vector"].to_pylist()
+    rows: dict[tuple, list[int]] = {}
+    for r, (v, own) in enumerate(zip(vectors, keys)):
+        for key in own:
+            rows.setdefault((key, len(v)), []).append(r)
+    return {k: (ids[r], _unit(np.array([vectors[i] for i in r], np.float64))) for k, r in rows.items()}
+
+
+def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    found = reduce(DataFrame.unionByName, parts).distinct()
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, *, least: float = -1.0, same_label: bool = False, drop_self: bool = True) -> DataFrame:
     """query_id, id, similarity, rank: exact k nearest of every query among all items; ties by id.
 
-    queries and items have id, vector and (for same_label) label. Queries go in blocks of BLOCK rows;
-    a task keeps the k best of what it has seen for each query of a block, so that the shuffle has
-    tasks x queries x k rows at most, whatever the number of items.
+    queries and items have id (long), vector and (for same_label) label, of any type. Null and empty
+    vectors take no part, and vectors of unequal length are no candidates for each other. Queries go
+    in passes of SENT_BYTES, by label; a task compares its items with the queries of their label only
+    and keeps the k best for each, so that the shuffle has tasks x queries x k rows at most.
     """
-    import math
-
-    spark = items.sparkSession
-    n = queries.count()
-    parts = max(1, math.ceil(n / BLOCK))
-    out = None
-    for b in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b).select("id", "vector", *(["label"] if same_label else [])).toArrow()
-        ids = rows["id"].to_numpy()
-        m = np.array(rows["vector"].to_pylist(), np.float64).reshape(len(ids), -1)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        labels = rows["label"].to_numpy() if same_label else None
-        shared = spark.sparkContext.broadcast((ids, m, labels))
-
-        def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q, q_labels = shared.value
-            best_s = np.full((len(q_ids), 0), -np.inf)
-            best_i = np.zeros((len(q_ids), 0), np.int64)
-            for t in batches:
-                if not t.num_rows or not len(q_ids):
-                    continue
-                ident = t.column(0).to_numpy()
-                v = t.column(1)
-                x = np.asarray(v.flatten(), np.float64).reshape(len(ident), -1)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = q @ x.T
-                if q_labels is not None:
-                    s[q_labels[:, None] != t.column(2).to_numpy()[None, :]] = -np.inf
-                if drop_self:
-                    s[q_ids[:, None] == ident[None, :]] = -np.inf
-                s[s < least] = -np.inf
-                best_s = np.concatenate([best_s, s], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ident, s.shape)], 1)
-                if best_s.shape[1] > k:
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            row, col = np.nonzero(np.isfinite(best_s))
-            yield pa.record_batch([pa.array(q_ids[row]), pa.array(best_i[row, col]), pa.array(best_s[row, col])], ["query_id", "id", "similarity"])
-
-        part = items.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("id", "vector", *(["label"] if same_label else [])).mapInArrow(apply, "query_id long, id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    key = F.col("label") if same_label else F.lit(0)
+    rows = items.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("id", "vector", key.alias("key"))
+    parts = [_search(_by_key(t, [[x] for x in t["key"].to_pylist()]), rows, k, least, drop_self) for t in _passes(queries.select("id", "vector", key.alias("key")))]
+    return _ranked(parts, k)
 
 
 class IVF:
-    """An inverted-file index: centroids fitted on a bounded sample, every row in the list of its nearest centroid."""
+    """An inverted-file index: centroids fitted on a bounded sample, every row in the lists of its `copies` nearest centroids.
+
+    The rows lie in order of their list, so that a search reads the lists it probes; a large list
+    stands in several files and is searched by several tasks.
+    """
 
     SAMPLE = 20_000
 
-    def __init__(self, items: DataFrame, lists: int = 16, rounds: int = 8):
+    def __init__(self, items: DataFrame, lists: int | None = None, rounds: int = 8, copies: int = 4):
         n = max(1, items.count())
+        lists = lists or int(min(4096, max(16, 2 * n**0.5)))
         rows = items.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(min(1.0, self.SAMPLE / n) * (1 << 20)))).select("id", "vector").orderBy("id").limit(self.SAMPLE).toArrow()
-        x = np.array(rows["vector"].to_pylist(), np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        x = _unit(np.array(rows["vector"].to_pylist(), np.float64))
         c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)].copy()
         for _ in range(rounds):
             own = (x @ c.T).argmax(1)
             for j in range(len(c)):
                 if (own == j).any():
                     c[j] = x[own == j].mean(0)
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+            c = _unit(c)
         self.centroids = c
-        self.items = self._place(items, 1)
-
-    def _place(self, df: DataFrame, probes: int) -> DataFrame:
-        """One row for each of the `probes` nearest lists."""
-        c = F.array(*[F.struct((-cosine(F.col("vector"), F.array(*[F.lit(float(v)) for v in row]))).alias("d"), F.lit(j).alias("list")) for j, row in enumerate(self.centroids)])
-        return df.withColumn("list", F.explode(F.transform(F.slice(F.array_sort(c), 1, probes), lambda s: s["list"])))
-
-    def search(self, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
-        """query_id, id, similarity, rank. The lists of the queries meet the items of those lists by an equi-join."""
-        q = self._place(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("vector")), probes).withColumnRenamed("vector", "query")
-        both = self.items.join(q, "list").where("id <> query_id").select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("similarity"))
-        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        shared = items.sparkSession.sparkContext.broadcast(c)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                x = _unit(np.asarray(t.column(1).flatten(), np.float64).reshape(t.num_rows, -1))
+                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :copies]
+                at = np.repeat(np.arange(t.num_rows), near.shape[1])
+                yield pa.record_batch([t.column(0).take(pa.array(at)), t.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], ["id", "vector", "key"])
+
+        placed = items.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, "id long, vector array<double>, key int")
+        self.items = cut(placed.repartitionByRange("key", "id").sortWithinPartitions("key", "id"))
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """query_id, id, similarity, rank: the k best in the `probes` nearest lists of each query (by default a quarter of all)."""
+        probes = probes or max(1, len(self.centroids) // 4)
+        parts = []
+        for t in _passes(queries.select("id", "vector")):
+            near = np.argsort(-(_unit(np.array(t["vector"].to_pylist(), np.float64).reshape(t.num_rows, -1)) @ self.centroids.T), axis=1, kind="stable")[:, :probes] if t.num_rows else np.empty((0, 0), int)
+            probed = np.unique(near).tolist()
+            rows = self.items.where(F.col("key").isin(probed)) if len(probed) < len(self.centroids) else self.items
+            parts.append(_search(_by_key(t, near.tolist()), rows, k, -1.0, True))
+        return _ranked(parts, k)

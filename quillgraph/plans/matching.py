@@ -258,7 +258,11 @@ def address_pairs(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), a.alias("a"), b.alias("b"))
 
 
-@query("h14_normalized_address")
+_STREETS = "(s_suppkey || ' n main st')", "(CASE s_suppkey % 3 WHEN 0 THEN s_suppkey || ' n main st' WHEN 1 THEN s_suppkey || ' n mayn st' ELSE '9' || s_suppkey || ' elm blvd' END)"
+_ADDRESSES = f"({_STREETS[0]} || ', new york ny 10001, usa')", f"({_STREETS[1]} || CASE s_suppkey % 2 WHEN 0 THEN ', new york ny ' ELSE ', albany ny ' END || CASE s_suppkey % 5 WHEN 0 THEN '10001' ELSE '20002' END || ', usa')"
+
+
+@query("h14_normalized_address", f"SELECT s_suppkey AS id, s_suppkey % 3 <> 2 AND ({_SIM.format(*_ADDRESSES)} >= 0.85 - 1e-12 OR contains({_ADDRESSES[0]}, {_ADDRESSES[1]}) OR contains({_ADDRESSES[1]}, {_ADDRESSES[0]})) AS matched FROM supplier")
 def h14(spark: SparkSession, d: str) -> DataFrame:
     return _rule(address_pairs(spark, d), M.normalized_address)
 
@@ -312,36 +316,49 @@ def h23(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incoming(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Existing asset nodes, and a batch: same ids, new ids with the serial number of an old node, and unknown ones."""
+    """All parts as asset nodes, and a batch of one node for each: the same id, an old node's serial number, an old node's
+    bar code under another name, or nothing known. Names are hashes, far from each other."""
     k = F.col("p_partkey")
-    props = _map(name="p_name", brand="p_brand", model="p_type", serial_number="concat('SN-', p_partkey)")
+    number = F.concat(F.lit("unit "), F.substring(F.md5(k.cast("string")), 1, 16))
+    old = F.create_map(F.lit("name"), number, F.lit("serial_number"), F.concat(F.lit("SN-"), k), F.lit("barcode"), F.concat(F.lit("b/"), k))
     p = T.table(spark, d, "part")
-    old = p.where(k % 5 != 0).select(F.concat(F.lit("Part_"), k).alias("id"), F.lit("Asset").alias("label"), F.col("p_name").alias("name"), props.alias("props"))
-    fresh = F.when(k % 2 == 0, F.concat(F.lit("Part_"), k)).otherwise(F.concat(F.lit("New_"), k))
-    serial = F.when(k % 3 == 0, F.concat(F.lit("sn-"), k)).otherwise(F.concat(F.lit("Q"), k))
-    new = p.where(k % 10 < 6).select(fresh.alias("id"), F.lit("Asset").alias("label"), F.concat(F.lit("unit "), k).alias("name"), F.create_map(F.lit("name"), F.concat(F.lit("unit "), k), F.lit("serial_number"), serial).alias("props"))
-    return new, old
+    existing = p.select(F.concat(F.lit("Part_"), k).alias("id"), F.lit("Asset").alias("label"), number.alias("name"), old.alias("props"))
+    kind = k % 5
+    name = F.concat(F.lit("thing "), F.substring(F.md5(F.concat(k, F.lit("new"))), 1, 16))
+    serial, code = F.when(kind == 1, F.concat(F.lit(" sn-"), k)), F.when(kind == 2, F.concat(F.lit("B "), k))
+    props = F.create_map(F.lit("name"), F.when(kind == 3, F.concat(number, F.lit("x"))).otherwise(name), F.lit("serial_number"), serial, F.lit("barcode"), code)
+    ident = F.when(kind == 0, F.concat(F.lit("Part_"), k)).otherwise(F.concat(F.lit("New_"), k))
+    return p.select(ident.alias("id"), F.lit("Asset").alias("label"), props["name"].alias("name"), props.alias("props")), existing
 
 
-_H24 = """CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 2 = 0 THEN 'constraint' WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN 'fuzzy' ELSE 'create' END"""
+_NEW = "CASE p_partkey % 5 WHEN 0 THEN 'Part_' ELSE 'New_' END || p_partkey"
+_CASE = "CASE p_partkey % 5 {} END"
 
 
-@query("h24_resolution_cascade", f"SELECT CASE p_partkey % 2 WHEN 0 THEN 'Part_' ELSE 'New_' END || p_partkey AS new_id, {_H24} AS stage, CASE {_H24} WHEN 'create' THEN CASE p_partkey % 2 WHEN 0 THEN 'Part_' ELSE 'New_' END ELSE 'Part_' END || p_partkey AS match_id FROM part WHERE p_partkey % 10 < 6")
+@query(
+    "h24_resolution_cascade",
+    f"SELECT {_NEW} AS new_id, " + _CASE.format("WHEN 0 THEN 'constraint' WHEN 4 THEN 'create' ELSE 'fuzzy'") + " AS stage, CASE p_partkey % 5 WHEN 4 THEN 'New_' ELSE 'Part_' END || p_partkey AS match_id, " + _CASE.format("WHEN 3 THEN 'human_review' WHEN 4 THEN 'create' ELSE 'auto_merge'") + " AS action FROM part",
+)
 def h24(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve(*incoming(spark, d), ["Asset"]).select("new_id", "stage", "match_id")
+    return resolve.resolve(*incoming(spark, d), ["Asset"]).select("new_id", "stage", "match_id", "action")
 
 
-@query("e10_blocked_matching")
+@query("e10_blocked_matching", f"SELECT {_NEW} AS new_id, 'Part_' || p_partkey AS match_id, " + _CASE.format("WHEN 3 THEN 'human_review' ELSE 'auto_merge'") + " AS action FROM part WHERE p_partkey % 5 IN (1, 2, 3)")
 def e10(spark: SparkSession, d: str) -> DataFrame:
     new, old = incoming(spark, d)
-    return resolve.fuzzy_stage(new, old, ["Asset"]).select("new_id", "match_id", F.round("score", 6).alias("score"), "action")
+    return resolve.fuzzy_stage(new, old, ["Asset"]).select("new_id", "match_id", "action")
 
 
-@query("k10_import_stats", f"SELECT 'Asset' AS label, count(*) AS total, count(*) FILTER (WHERE {_H24} = 'create') AS created, count(*) FILTER (WHERE {_H24} <> 'create') AS updated, 0::BIGINT AS reviewed FROM part WHERE p_partkey % 10 < 6")
+@query(
+    "k10_import_stats",
+    "SELECT 'Asset' AS label, count(*) AS total, count(*) FILTER (WHERE p_partkey % 5 = 4) AS created, count(*) FILTER (WHERE p_partkey % 5 IN (1, 2)) AS updated, count(*) FILTER (WHERE p_partkey % 5 = 0) AS skipped, count(*) FILTER (WHERE p_partkey % 5 = 3) AS reviewed, 0::BIGINT AS duplicates, 0::BIGINT AS errors FROM part",
+)
 def k10(spark: SparkSession, d: str) -> DataFrame:
+    """What became of a batch: nodes that change nothing are skipped, doubtful ones are counted as reviews."""
     new, old = incoming(spark, d)
-    r = resolve.resolve(new, old, ["Asset"])
-    return resolve.import_stats(r.withColumn("action", F.when(F.col("action") == "human_review", "auto_merge").otherwise(F.col("action"))), new)
+    same = old.join(new.select("id"), "id", "left_semi").select("id", "label", "name", "props")
+    batch = new.join(same.select("id"), "id", "left_anti").unionByName(same)
+    return resolve.import_stats(resolve.resolve(batch, old, ["Asset"]), batch, old)
 
 
 @query("h28_extended_thresholds", "SELECT * FROM (VALUES ('Event', 0.80::DOUBLE), ('Task', 0.82), ('Project', 0.83), ('Note', 0.80)) t(node_type, threshold)")
@@ -378,12 +395,31 @@ def i4(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("id", M.decision(F.col("confidence")).alias("action"))
 
 
-@query("i2_rule_scores")
+@query("i2_rule_scores", f"SELECT p_partkey AS id, 1.0::DOUBLE AS serial_number, 1.0::DOUBLE AS unique_identifier, round((greatest({_BRANDS}, 0.3) + greatest({_MODELS}, 0.4)) / 2, 6)::DOUBLE AS brand_and_model, round(0.8 * {_I_NAME}, 6)::DOUBLE AS name FROM part")
 def i2(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return asset_pairs(spark, d).select("id", *[F.round(M.rule_score(k, a, b), 6).alias(k) for k in M.ASSET])
 
 
+@query(
+    "i3_confidence_modifiers",
+    "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.85 END::DOUBLE AS confidence FROM part",
+)
+def i3(spark: SparkSession, d: str) -> DataFrame:
+    """Equal serial numbers (1.0): with much else known on both sides (+0.1, at most 1), with nothing else (-0.2), with a generic name (-0.15)."""
+    k = F.col("p_partkey")
+    serial = F.concat(F.lit("SN-"), k)
+    rich = F.create_map(F.lit("serial_number"), serial, F.lit("vin"), F.concat(F.lit("V"), k), F.lit("barcode"), F.concat(F.lit("B"), k))
+    bare, generic = F.create_map(F.lit("serial_number"), serial), F.create_map(F.lit("serial_number"), serial, F.lit("name"), F.lit("Truck"))
+    other = F.create_map(F.lit("serial_number"), serial, F.lit("name"), F.lit("unlike it"))
+    a = F.when(k % 3 == 0, rich).when(k % 3 == 1, bare).otherwise(generic)
+    b = F.when(k % 3 == 0, F.map_filter(rich, lambda x, _: x != "vin")).when(k % 3 == 1, bare).otherwise(other)
+    b = F.when(k % 3 == 0, F.map_concat(b, F.create_map(F.lit("part_number"), F.concat(F.lit("P"), k)))).otherwise(b)
+    x = T.table(spark, d, "part").select(k.alias("id"), M.prepare(a).alias("a"), M.prepare(b).alias("b"))
+    rules = F.array_remove(F.array_remove(M.fired("Asset", F.col("a"), F.col("b")), "unique_identifier"), "brand_and_model")
+    return x.select("id", F.round(M.confidence("Asset", F.col("a"), F.col("b"), rules), 6).alias("confidence"))
+
+
 @query("h26_arbiter", f"WITH {_I} SELECT id AS new_id, CASE WHEN confidence >= 0.9 THEN id END AS match_id FROM c")
 def h26(spark: SparkSession, d: str) -> DataFrame:
     from quillgraph.operators import models

@@ -7,7 +7,7 @@ from quillgraph.functions import matchers as M
 from quillgraph.functions import strings as S
 from quillgraph.functions import text as X
 from quillgraph.functions import vector as V
-from quillgraph.operators import fuzzy, resolve
+from quillgraph.operators import blocking, fuzzy, resolve
 
 
 def values(spark, make, rows, schema):
@@ -129,11 +129,85 @@ def test_resolution_stages(spark):
 
 
 def test_inverted_file_recall(spark):
-    x = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     q = x.where("id % 20 = 0")
     exact = {(r["query_id"], r["id"]) for r in V.nearest(q, x, 10).collect()}
-    found = {(r["query_id"], r["id"]) for r in V.IVF(x, lists=8).search(q, 10, probes=6).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
+    index = V.IVF(x)
+    found = {(r["query_id"], r["id"]) for r in index.search(q, 10, probes=len(index.centroids) // 4).collect()}
+    assert len(exact & found) / len(exact) >= 0.9 and len(found) == len(exact)
+    assert {r["id"] for r in index.items.select("id").distinct().collect()} == set(range(2000))
+
+
+def test_nearest_against_brute_force(spark, monkeypatch):
+    """Labels of any type, vectors of unequal length, ties, nulls, and queries in several passes."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3 + i % 2)], "ab"[i % 3 == 0]) for i in range(80)] + [(80, None, "a"), (81, [], "a"), (82, [0.0, 0.0, 0.0], "a")]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label string").repartition(5)
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    want = []
+    for i, v, lab in rows:
+        near = sorted((-round(cosine(v, w), 9), j) for j, w, other in rows if v and w and j != i and lab == other and len(v) == len(w) and cosine(v, w) >= -0.5)
+        want += [(i, j, r + 1) for r, (_, j) in enumerate(near[:4])]
+    for size in (64 << 20, 500):
+        monkeypatch.setattr(V, "SENT_BYTES", size)
+        assert sorted((r["query_id"], r["id"], r["rank"]) for r in V.nearest(df, df, 4, least=-0.5, same_label=True).collect()) == sorted(want)
+
+
+def rule_pairs(rng, label):
+    """Nodes of a type with properties that are alike now and then, in every way that a rule knows."""
+    pick = lambda *x: x[rng.integers(len(x))]
+
+    def typo(t):
+        k = int(rng.integers(len(t) + 1))
+        return t[:k] + pick("", "x", "zz") + t[k + 1 :] if rng.random() < 0.5 else t
+
+    p = {}
+    if label == "Person":
+        first, last = pick("Ann", "Anne", "Bob", "Rob"), typo(pick("Alexandersson", "Birchwoods", "Oldmans"))
+        p = pick({"full_name": f"{first} {last}"}, {"first_name": first, "last_name": last}, {"name": typo(f"{first} {last}")}, {"last_name": last})
+        p |= pick({}, {"email": pick("a@x.org", "A@x.org ", "b@y.org")}, {"phone": pick("+1 555 010 9988", "5550109988", "0109988")}, {"ssn": pick("1-2", "12", "13")})
+    elif label == "Asset":
+        p = pick({"name": typo(pick("Zenith drill X200", "hammer", "big ladder 9m"))}, {"brand": typo(pick("Zenith", "Acmetools")), "model": typo(pick("X200-long", "ladder 9m"))}, {"name": "drill zenith x200-long"})
+        p |= pick({}, {"vin": pick("1-A", "1a")}, {"serial_number": pick("s1", "S1 ", "t")}, {"barcode": pick("77", "7-7")})
+    elif label == "Address":
+        p = {"street": typo(pick("12 Oak Street", "12 Oak St.", "Oak Avenue", "99 Elmwood Boulevard", "")), "city": pick("Rome", "Roma"), "state": pick("NY", "New York")}
+        p |= pick({}, {"postalCode": pick("10001", "20002")})
+    else:
+        p = pick({"name": typo("yearly meeting of all")}, {"title": "Yearly Meeting of all"}, {"id": pick("1", "2")}, {})
+    return p
+
+
+@pytest.mark.parametrize("label", ["Person", "Asset", "Address", "Event"])
+def test_candidates_hold_every_pair_a_rule_holds_for(spark, label):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    rows = [(f"{side}{i}", side, rule_pairs(rng, label)) for side in "xy" for i in range(45)]
+    df = spark.createDataFrame(rows, "id string, side string, props map<string,string>").select("id", "side", M.prepare(F.col("props")).alias("p")).persist()
+    x, y = (df.where(F.col("side") == s).select("id", "p") for s in "xy")
+    all_ = x.select(F.col("id").alias("new_id"), F.col("p").alias("a")).crossJoin(y.select(F.col("id").alias("match_id"), F.col("p").alias("b")))
+    want = {(r[0], r[1]) for r in all_.select("new_id", "match_id", M.matches(label, F.col("a"), F.col("b")).alias("m")).collect() if r[2]}
+    got = {tuple(r) for r in blocking.candidates(label, x, y).collect()}
+    assert want and not want - got
+    df.unpersist()
+
+
+def test_like_strings_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(120)})
+    df = spark.createDataFrame([(i, "", w) for i, w in enumerate(words)], "id long, by string, v string")
+    for least in (0.6, 0.7, 0.8, 0.85, 0.9):
+        all_ = df.select(F.col("id").alias("a"), F.col("v").alias("x")).crossJoin(df.select(F.col("id").alias("b"), F.col("v").alias("y")))
+        want = {(r[0], r[1]) for r in all_.where(S.similar(F.col("x"), F.col("y"), least)).select("a", "b").collect()}
+        assert {tuple(r) for r in blocking.like(df, df, least).collect()} == want
 
 
 def test_texts(spark):
