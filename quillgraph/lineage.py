@@ -5,19 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back: later plans start here, and lost executors cost no recomputation.
-
-    A temporary folder stands in where the setting is absent (tests).
-    """
-    spark, schema = df.sparkSession, df.schema
+def scratch(spark: SparkSession) -> str:
+    """A new path in spark.checkpoint.dir; a temporary folder stands in where the setting is absent (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quillgraph/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir and read back: later plans start here, and lost executors cost no recomputation."""
+    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

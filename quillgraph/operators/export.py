@@ -6,17 +6,26 @@ made row by row, so a graph of any size is exported without gathering it anywher
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.lineage import cut
+
+#: Nodes and links that one document holds at most; larger graphs are exported line by line.
+DOCUMENT_SIZE = 1_000_000
+
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """A dense number from 0 in the given order: a running offset of each range partition plus the place in it."""
+    """A dense number from 0 in the given order: the rows before each range partition plus the place in it.
+
+    The ranges are written out, so that their sizes and their rows are of one and the same split.
+    """
     ranged = df.repartitionByRange(order).sortWithinPartitions(order)
-    rows = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    rows = cut(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
-    before = sizes.select(F.col("_p").alias("_q"), F.col("_n").alias("_m"))
-    offset = sizes.join(before, F.col("_q") < F.col("_p"), "left").groupBy("_p", "_first").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
+    # One row for each range partition.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = sizes.select("_p", "_first", before.alias("_before"))
     return rows.join(F.broadcast(offset), "_p").withColumn(name, F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_before")
 
 
@@ -61,7 +70,10 @@ def to_json(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def document(n: DataFrame, e: DataFrame) -> DataFrame:
-    """A single {nodes, links} document, for graphs that are small enough to be shown (one row)."""
+    """A single {nodes, links} document (one row), for graphs that are small enough to be shown: the size is checked first."""
+    size = n.count() + e.count()
+    if size > DOCUMENT_SIZE:
+        raise ValueError(f"{size} nodes and links do not go into one document: export the lines of to_json")
     nodes = n.agg(F.sort_array(F.collect_list(F.struct("id", "name", "class", "connections"))).alias("nodes"))
     links = e.agg(F.sort_array(F.collect_list(F.struct("source", "target", "type"))).alias("links"))
     return nodes.join(links).select(F.to_json(F.struct("nodes", "links")).alias("document"))

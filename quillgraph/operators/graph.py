@@ -20,7 +20,7 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     Only the frontier is joined on; a node is expanded once for each start. From the third hop on
     each frontier is written out, so that plans stay short however deep it goes.
     """
-    steps = undirected(edges)
+    steps = undirected(edges) if depth < 2 else cut(undirected(edges))  # each hop reads it again
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hop"))
     front = seen
     for k in range(1, max(0, depth) + 1):
@@ -34,6 +34,17 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen.where("hop > 0")
 
 
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node: every node that directed edges lead to from each start (id). Each round goes on from new nodes only, so cycles end it."""
+    steps = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    seen = front = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("a")).join(steps, "a").select("start", F.col("b").alias("node")).distinct())
+    while not front.isEmpty():
+        next_ = front.select("start", F.col("node").alias("a")).join(steps, "a").select("start", F.col("b").alias("node")).distinct()
+        front = cut(next_.join(seen, ["start", "node"], "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return seen
+
+
 def ego_network(edges: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (start, node, group: focus, entity or extended) and edges (start, src, dst, type) of the net around each start."""
     found = hops(edges, starts, depth)

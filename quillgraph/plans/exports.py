@@ -11,12 +11,12 @@ from quillgraph.sources import tables as T
 
 from .registry import query, with_views
 
-_SMALL = "small AS (SELECT * FROM nodes WHERE label IN ('Nation', 'Region', 'Supplier')), links AS (SELECT DISTINCT src, dst, type FROM edges WHERE src IN (SELECT id FROM small) AND dst IN (SELECT id FROM small)), deg AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM links UNION ALL SELECT dst FROM links) GROUP BY 1)"
-SQL = with_views("nodes", "edges", also=_SMALL)
+_ALL = "own AS (SELECT * FROM nodes), links AS (SELECT DISTINCT src, dst, type FROM edges WHERE src IN (SELECT id FROM own) AND dst IN (SELECT id FROM own)), deg AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM links UNION ALL SELECT dst FROM links) GROUP BY 1)"
+SQL = with_views("nodes", "edges", also=_ALL)
 
 
-def small(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return T.nodes(spark, d).where(F.col("label").isin("Nation", "Region", "Supplier")), T.edges(spark, d)
+def whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return T.nodes(spark, d), T.edges(spark, d)
 
 
 @query(
@@ -34,51 +34,51 @@ def b1(spark: SparkSession, d: str) -> DataFrame:
     return c.join(j, "content_id", "left").select("content_id", "note", "entity", "predicate", F.coalesce("object_name", "object").alias("object"))
 
 
-@query("b3_graph_json", SQL + "SELECT count(*) AS n_lines, count(*) FILTER (WHERE k = 'n') AS n_nodes FROM (SELECT 'n' AS k FROM small UNION ALL SELECT 'l' FROM links)")
+@query("b3_graph_json", SQL + "SELECT count(*) AS n_lines, count(*) FILTER (WHERE k = 'n') AS n_nodes FROM (SELECT 'n' AS k FROM own UNION ALL SELECT 'l' FROM links)")
 def b3(spark: SparkSession, d: str) -> DataFrame:
-    x = O.export(*small(spark, d), "json")
+    x = O.export(*whole(spark, d), "json")
     return x.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.get_json_object("line", "$.node.id").isNotNull()).alias("n_nodes"))
 
 
-@query("b3_graph_document", SQL + "SELECT (SELECT count(*) FROM small)::INTEGER AS n_nodes, (SELECT count(*) FROM links)::INTEGER AS n_links")
+@query("b3_graph_document", SQL + "SELECT (SELECT count(*) FROM own)::INTEGER AS n_nodes, (SELECT count(*) FROM links)::INTEGER AS n_links")
 def b3b(spark: SparkSession, d: str) -> DataFrame:
-    doc = O.document(*O.graph(*small(spark, d)))
+    doc = O.document(*O.graph(*whole(spark, d)))
     x = F.from_json("document", "nodes array<struct<id:string>>, links array<struct<source:string>>")
     return doc.select(x.alias("x")).select(F.size("x.nodes").alias("n_nodes"), F.size("x.links").alias("n_links"))
 
 
 @query("b4_graphml", SQL + ", num AS (SELECT *, row_number() OVER (ORDER BY src || '|' || dst || '|' || type) - 1 AS i FROM links) SELECT '<edge id=\"e' || i || '\" source=\"' || src || '\" target=\"' || dst || '\"><data key=\"type\">' || type || '</data></edge>' AS line FROM num")
 def b4(spark: SparkSession, d: str) -> DataFrame:
-    return O.export(*small(spark, d), "graphml").where("part = 3").select("line")
+    return O.export(*whole(spark, d), "graphml").where("part = 3").select("line")
 
 
-@query("b5_gexf", SQL + "SELECT '<node id=\"' || s.id || '\" label=\"' || name || '\"><attvalues><attvalue for=\"0\" value=\"' || label || '\"/><attvalue for=\"1\" value=\"' || coalesce(n, 0) || '\"/></attvalues></node>' AS line FROM small s LEFT JOIN deg ON deg.id = s.id")
+@query("b5_gexf", SQL + "SELECT '<node id=\"' || s.id || '\" label=\"' || name || '\"><attvalues><attvalue for=\"0\" value=\"' || label || '\"/><attvalue for=\"1\" value=\"' || coalesce(n, 0) || '\"/></attvalues></node>' AS line FROM own s LEFT JOIN deg ON deg.id = s.id")
 def b5(spark: SparkSession, d: str) -> DataFrame:
-    return O.export(*small(spark, d), "gexf").where("part = 1").select("line")
+    return O.export(*whole(spark, d), "gexf").where("part = 1").select("line")
 
 
 @query("b6_cytoscape", SQL + "SELECT src AS source, dst AS target, type AS label FROM links")
 def b6(spark: SparkSession, d: str) -> DataFrame:
-    x = O.export(*small(spark, d), "cytoscape").where("part = 3")
+    x = O.export(*whole(spark, d), "cytoscape").where("part = 3")
     return x.select(*[F.get_json_object("line", f"$.data.{k}").alias(k) for k in ("source", "target", "label")])
 
 
-_IDX = SQL + ", idx AS (SELECT s.id, label, coalesce(n, 0) AS n, row_number() OVER (ORDER BY s.id) - 1 AS i FROM small s LEFT JOIN deg ON deg.id = s.id) "
+_IDX = SQL + ", idx AS (SELECT s.id, label, coalesce(n, 0) AS n, row_number() OVER (ORDER BY s.id) - 1 AS i FROM own s LEFT JOIN deg ON deg.id = s.id) "
 
 
 @query("b7_d3_nodes", _IDX + "SELECT i AS index, id, label AS class, n AS connections FROM idx")
 def b7(spark: SparkSession, d: str) -> DataFrame:
-    return O.to_d3(*O.graph(*small(spark, d)))[0].drop("name")
+    return O.to_d3(*O.graph(*whole(spark, d)))[0].drop("name")
 
 
 @query("b7_d3_links", _IDX + "SELECT a.i AS source_index, b.i AS target_index, type FROM links JOIN idx a ON a.id = src JOIN idx b ON b.id = dst")
 def b7b(spark: SparkSession, d: str) -> DataFrame:
-    return O.to_d3(*O.graph(*small(spark, d)))[1]
+    return O.to_d3(*O.graph(*whole(spark, d)))[1]
 
 
-@query("b8_format_dispatch", SQL + "SELECT 'json' AS kind, (SELECT count(*) FROM small) + (SELECT count(*) FROM links) AS n UNION ALL SELECT 'graphml', (SELECT count(*) FROM small) + (SELECT count(*) FROM links) + 9 UNION ALL SELECT 'unknown', (SELECT count(*) FROM small) + (SELECT count(*) FROM links)")
+@query("b8_format_dispatch", SQL + "SELECT 'json' AS kind, (SELECT count(*) FROM own) + (SELECT count(*) FROM links) AS n UNION ALL SELECT 'graphml', (SELECT count(*) FROM own) + (SELECT count(*) FROM links) + 9 UNION ALL SELECT 'unknown', (SELECT count(*) FROM own) + (SELECT count(*) FROM links)")
 def b8(spark: SparkSession, d: str) -> DataFrame:
-    out = [O.export(*small(spark, d), k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("json", "graphml", "unknown")]
+    out = [O.export(*whole(spark, d), k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("json", "graphml", "unknown")]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

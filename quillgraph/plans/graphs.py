@@ -11,6 +11,9 @@ from quillgraph.sources import tables as T
 
 from .registry import query, with_views
 
+#: The classes of the schema dump.
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
 D, ND = with_views("edges"), with_views("nodes", "edges")
 _STEPS = "steps AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
 _HOPS = _STEPS + """, h1 AS (SELECT 'Region_1' AS start, b AS node FROM steps WHERE a = 'Region_1'),
@@ -27,12 +30,12 @@ def o1(spark: SparkSession, d: str) -> DataFrame:
     return G.hops(T.edges(spark, d), _start(spark), 2).select("node", "hop")
 
 
-@query("o1_reach_recursive", D + """, RECURSIVE_ AS (SELECT 1) SELECT DISTINCT a.dst AS node FROM edges a WHERE a.src = 'Supplier_3' AND a.type <> 'SUPPLIED_BY'
- UNION SELECT b.dst FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = 'Supplier_3' AND a.type <> 'SUPPLIED_BY'""")
+@query("o1_reach_recursive", "WITH RECURSIVE" + D.removeprefix("WITH").rstrip() + """, up(node) AS (SELECT dst FROM edges WHERE src = 'Supplier_3' AND type <> 'SUPPLIED_BY'
+ UNION SELECT e.dst FROM up JOIN edges e ON e.src = up.node AND e.type <> 'SUPPLIED_BY') SELECT node FROM up""")
 def o1r(spark: SparkSession, d: str) -> DataFrame:
-    """Directed reach of one node by a recursive query (its frontier is small: two levels up)."""
-    T.edges(spark, d).where("type <> 'SUPPLIED_BY'").createOrReplaceTempView("quill_up")
-    return spark.sql("WITH RECURSIVE r(node) AS (SELECT dst FROM quill_up WHERE src = 'Supplier_3' UNION ALL SELECT e.dst FROM r JOIN quill_up e ON e.src = r.node) SELECT DISTINCT node FROM r")
+    """Directed reach of one node, however far, on cycles too."""
+    up = T.edges(spark, d).where("type <> 'SUPPLIED_BY'")
+    return G.reach(up, spark.createDataFrame([("Supplier_3",)], "id string")).select("node")
 
 
 @query("o2_ego_nodes", with_views("edges", also=_HOPS) + "SELECT node, CASE hop WHEN 1 THEN 'entity' ELSE 'extended' END AS \"group\" FROM hops UNION ALL SELECT 'Region_1', 'focus'")
@@ -105,8 +108,12 @@ def o10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o11_schema_dump")
 def o11(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(t, f.name, f.dataType.simpleString()) for t in ("nation", "region", "part") for f in T.table(spark, d, t).schema.fields]
-    return spark.createDataFrame(rows, "class string, property string, type string")
+    """Every class with its properties, their types, and the class that a property refers to: the one whose key it is."""
+    fields = [(t, f.name, f.dataType.simpleString()) for t in TABLES for f in T.table(spark, d, t).schema.fields]
+    keys = {n.split("_", 1)[-1]: t for t, n, _ in fields if n.split("_", 1)[-1] in (f"{t}key", {"supplier": "suppkey", "customer": "custkey"}.get(t))}
+    keys |= {n: t for t, n, _ in reversed(fields) if n in ("doc_id", "item_id", "page_id", "vec_id", "event_id", "conv_id")}
+    rows = [(t, n, k, r if (r := keys.get(n, keys.get(n.split("_", 1)[-1]))) != t else None) for t, n, k in fields]
+    return spark.createDataFrame(rows, "class string, property string, type string, refers_to string")
 
 
 @query("k8_degree", with_views("edges") + "SELECT id, count(*) AS connections FROM (SELECT src AS id FROM (SELECT DISTINCT * FROM edges) UNION ALL SELECT dst FROM (SELECT DISTINCT * FROM edges)) GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions import vector as V
 from quillgraph.operators import state as X
 from quillgraph.sources import tables as T
 
@@ -117,9 +118,10 @@ def j5b(spark: SparkSession, d: str) -> DataFrame:
     return X.merge_into(T.entities(spark, d), T.statements(spark, d), _merges(spark, d), followed=True)[2]
 
 
-@query("j5_merge_chain", "SELECT c_custkey AS source_id, 0::BIGINT AS target_id FROM customer WHERE c_custkey BETWEEN 1 AND 20")
+@query("j5_merge_chain", "SELECT c_custkey AS source_id, c_custkey - c_custkey % 50 AS target_id FROM customer WHERE c_custkey % 50 <> 0")
 def j5c(spark: SparkSession, d: str) -> DataFrame:
-    c = T.table(spark, d, "customer").where("c_custkey between 1 and 20")
+    """Chains of 49 merges each, through all customers."""
+    c = T.table(spark, d, "customer").where("c_custkey % 50 <> 0")
     return X.follow(c.select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") - 1).alias("target_id")))
 
 
@@ -180,17 +182,37 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return X.decide(_requests(spark, d), _decisions(spark, d))[1].select("id", "name")
 
 
-@query("j1_needs_verification", with_views("entities") + ", twice AS (SELECT name FROM entities WHERE kind = 'Part' GROUP BY 1 HAVING count(*) > 1) SELECT DISTINCT p_name AS name, CASE WHEN p_name IN (SELECT name FROM twice) THEN 'needs_verification' ELSE 'created' END AS status FROM part")
+_MOCK = "list_transform(range(0, 64), lambda i: sin((i + (list_sum(list_transform(string_split({0}, ''), lambda c: ascii(c)))::BIGINT % 65536))::DOUBLE) * 0.1)"
+_SIMILAR = f"""asked AS (SELECT s_suppkey AS request_id, CASE s_suppkey % 2 WHEN 0 THEN s_name ELSE 'Q' || s_name END AS name FROM supplier),
+ own AS (SELECT id, name, {_MOCK.format('name')} AS v FROM entities WHERE kind <> 'Customer'), q AS (SELECT *, {_MOCK.format('name')} AS v FROM asked),
+ near AS (SELECT request_id, q.name, own.id, round(list_cosine_similarity(q.v, own.v), 10) AS s FROM q, own),
+ similar_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, id) AS r FROM near WHERE s >= 0.999999) WHERE r <= 5)"""
+
+
+def similars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities that are asked for (all suppliers' names, half of them changed), and the five stored ones most similar to each by embedded name."""
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.concat(F.lit("Q"), "s_name"))
+    asked = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), name.alias("name"))
+    stored = T.entities(spark, d).where("kind <> 'Customer'").select("id", V.mock_embedding(F.col("name"), 64).alias("vector"))
+    near = V.nearest(asked.select(F.col("request_id").alias("id"), V.mock_embedding(F.col("name"), 64).alias("vector")), stored, 5, least=0.999999, drop_self=False)
+    return asked, near.select(F.col("query_id").alias("request_id"), "id", "similarity", "rank")
+
+
+@query("j1_needs_verification", with_views("entities", also=_SIMILAR) + "SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM similar_) THEN 'needs_verification' ELSE 'created' END AS status FROM asked")
 def j1(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that a stored entity resembles (here: has the name of more than one) need verification."""
-    e = T.entities(spark, d).where("kind = 'Part'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return e.select("name", F.when(F.col("n") > 1, "needs_verification").otherwise("created").alias("status"))
+    """An entity that a stored one resembles waits for verification; any other is created at once."""
+    asked, near = similars(spark, d)
+    j = asked.join(near.select("request_id", F.lit(True).alias("hit")).distinct(), "request_id", "left")
+    return j.select("request_id", F.when(F.col("hit"), "needs_verification").otherwise("created").alias("status"))
 
 
-@query("j2_request_with_similars", "SELECT p_name AS candidate_name, count(*)::INTEGER AS n_similar, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) > 1")
+@query("j2_request_with_similars", with_views("entities", also=_SIMILAR) + "SELECT request_id, any_value(name) AS candidate_name, count(*)::INTEGER AS n_similar, min(CASE WHEN r = 1 THEN id END) AS first_id, round(max(s), 6) AS similarity FROM similar_ GROUP BY 1")
 def j2(spark: SparkSession, d: str) -> DataFrame:
-    p = T.table(spark, d, "part").groupBy(F.col("p_name").alias("candidate_name")).agg(F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.lit(1.0).alias("similarity")))).alias("similar"))
-    return p.where(F.size("similar") > 1).select("candidate_name", F.size("similar").alias("n_similar"), F.col("similar")[0]["id"].alias("first_id"))
+    """Requests for verification with the stored entities that are similar, most similar first."""
+    asked, near = similars(spark, d)
+    listed = near.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "similarity"))).alias("similar"))  # five a request
+    j = asked.join(listed, "request_id")
+    return j.select("request_id", F.col("name").alias("candidate_name"), F.size("similar").alias("n_similar"), F.col("similar")[0]["id"].alias("first_id"), F.round(F.col("similar")[0]["similarity"], 6).alias("similarity"))
 
 
 @query("i5_latest_reviews", "SELECT user_id AS review_id, max(ts) AS at FROM events GROUP BY 1")
@@ -199,12 +221,23 @@ def i5(spark: SparkSession, d: str) -> DataFrame:
     return X.latest_reviews(q).select("review_id", "at")
 
 
-@query("i6_first_auto_merge", "SELECT user_id AS new_id, min(event_id) AS match_id FROM events WHERE value >= 90 GROUP BY 1")
+@query(
+    "i6_first_auto_merge",
+    """WITH last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS said FROM events GROUP BY 1),
+    scored AS (SELECT e.user_id AS new_id, event_id AS match_id, CASE WHEN value >= 90 THEN 'auto_merge' WHEN value <= 30 THEN 'auto_reject' ELSE 'human_review' END AS action FROM events e)
+    SELECT s.new_id, min(match_id) AS match_id, (count(*) FILTER (WHERE action = 'human_review') > 0)::BOOLEAN AS was_reviewed FROM scored s JOIN last ON last.user_id = s.new_id
+    WHERE action = 'auto_merge' OR (action = 'human_review' AND said = 'purchase') GROUP BY 1""",
+)
 def i6(spark: SparkSession, d: str) -> DataFrame:
+    """The first match that is merged by itself or by the latest review of its node (here: users' events; a last purchase approves)."""
     from quillgraph.functions.matchers import decision
 
-    e = T.table(spark, d, "events").withColumn("action", decision(F.col("value") / 100))
-    return e.where("action = 'auto_merge'").groupBy(F.col("user_id").alias("new_id")).agg(F.min("event_id").alias("match_id"))
+    e = T.table(spark, d, "events")
+    reviews = X.latest_reviews(e.select(F.col("user_id").alias("review_id"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("action")))
+    scored = e.select(F.col("user_id").alias("new_id"), F.col("event_id").alias("match_id"), decision(F.col("value") / 100).alias("action"))
+    j = scored.join(reviews.select(F.col("review_id").alias("new_id"), (F.col("action") == "purchase").alias("approved")), "new_id")
+    held = (F.col("action") == "auto_merge") | ((F.col("action") == "human_review") & F.col("approved"))
+    return j.where(held).groupBy("new_id").agg(F.min("match_id").alias("match_id"), (F.count_if(F.col("action") == "human_review") > 0).alias("was_reviewed"))
 
 
 @query("b21_rename_reembeds", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 9 = 0")

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.lineage import scratch
 from quillgraph.sources import extraction
 from quillgraph.sources import tables as T
 
 from .registry import query, with_views
 
-_ASCII = "SELECT doc_id, regexp_replace(text, '(^|[^A-Za-z])([A-Z][a-z]{2,})', '\\1[\\2]', 'g') AS t FROM documents WHERE lang = 'en'"
+_ASCII = "SELECT doc_id, regexp_replace(text, '(^|[^A-Za-z])([A-Z][a-z]{2,})', '\\1[\\2]', 'g') AS t FROM documents"
 _MENTIONS = "list_distinct(regexp_extract_all(t, '\\[([^\\]]*)\\]', 1))"
 
 
 def annotated(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "documents").where("lang = 'en'").select("doc_id", X.annotate(F.col("text")).alias("t"))
+    return T.table(spark, d, "documents").select("doc_id", X.annotate(F.col("text")).alias("t"))
 
 
 @query("p1_mentions", f"SELECT doc_id, len({_MENTIONS})::INTEGER AS n, list_sort({_MENTIONS})[1] AS first FROM ({_ASCII})")
@@ -27,11 +28,12 @@ def p1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p2_mention_context",
-    f"SELECT doc_id, CASE WHEN m IS NOT NULL THEN trim(translate(substr(t, greatest(p - 100, 1), length(m) + 100 + p - greatest(p - 100, 1)), '[]', '')) END AS context FROM (SELECT doc_id, t, m, instr(t, m) AS p FROM (SELECT doc_id, t, list_sort({_MENTIONS})[1] AS m FROM ({_ASCII})))",
+    f"SELECT doc_id, m AS mention, trim(translate(substr(t, greatest(p - 100, 1), length(m) + 100 + p - greatest(p - 100, 1)), '[]', '')) AS context FROM (SELECT doc_id, t, m, instr(t, m) AS p FROM (SELECT doc_id, t, unnest({_MENTIONS}) AS m FROM ({_ASCII})))",
 )
 def p2(spark: SparkSession, d: str) -> DataFrame:
-    first = F.get(F.sort_array(X.mentions(F.col("t"))), F.lit(0))
-    return annotated(spark, d).withColumn("m", first).select("doc_id", X.context(F.col("t"), F.col("m")).alias("context"))
+    """What stands around each mention of each document, where it first occurs."""
+    m = annotated(spark, d).select("doc_id", "t", F.explode(X.mentions(F.col("t"))).alias("mention"))
+    return m.select("doc_id", "mention", X.context(F.col("t"), F.col("mention")).alias("context"))
 
 
 @query("p3_mentioned_in", f"SELECT name, count(*) AS n_contents, min(doc_id) AS first_content FROM (SELECT doc_id, unnest({_MENTIONS}) AS name FROM ({_ASCII})) GROUP BY 1")
@@ -90,6 +92,13 @@ def p18(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "property", F.col("props")[F.col("property")].alias("old"), F.col("new")[F.col("property")].alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
 
 
+@query("p19_string_operations", "SELECT p_partkey, lower(p_name) AS low, trim('  ' || p_name || ' ') AS stripped, CASE WHEN length(p_type) > 8 THEN substr(p_type, 1, 5) || '...' ELSE p_type END AS short, regexp_replace(p_name || '  x', ' +', ' ', 'g') AS squeezed, string_split(p_name, ' ')[1] AS first, replace(p_brand, '#', '-') AS replaced FROM part")
+def p19(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_name")
+    short = X.truncate(F.col("p_type"), 8)
+    return T.table(spark, d, "part").select("p_partkey", F.lower(n).alias("low"), F.trim(F.concat(F.lit("  "), n, F.lit(" "))).alias("stripped"), short.alias("short"), F.regexp_replace(F.concat(n, F.lit("  x")), " +", " ").alias("squeezed"), F.split_part(n, F.lit(" "), F.lit(1)).alias("first"), F.replace("p_brand", F.lit("#"), F.lit("-")).alias("replaced"))
+
+
 @query("p20_math", "SELECT event_id, round(sqrt(value), 6) AS root, least(1.0, greatest(0.0, value / 50)) AS clamped, round(sin(value), 6) + 0.0 AS sine FROM events")
 def p20(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
@@ -119,9 +128,9 @@ def p24(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "nation").select("n_nationkey", F.get(m, F.lit(0)).alias("first"), F.size(m).alias("n"))
 
 
-@query("p26_annotated_from_entities", with_views("entities") + "SELECT content_id, 'This content contains: ' || string_agg('[' || name || ']', ' ' ORDER BY name, id) || ' ' AS text FROM entities WHERE kind = 'Supplier' GROUP BY 1")
+@query("p26_annotated_from_entities", with_views("entities") + "SELECT content_id, 'This content contains: ' || string_agg('[' || name || ']', ' ' ORDER BY name, id) || ' ' AS text FROM entities GROUP BY 1")
 def p26(spark: SparkSession, d: str) -> DataFrame:
-    e = T.entities(spark, d).where("kind = 'Supplier'").groupBy("content_id").agg(F.sort_array(F.collect_list(F.struct("name", "id"))).alias("e"))
+    e = T.entities(spark, d).groupBy("content_id").agg(F.sort_array(F.collect_list(F.struct("name", "id"))).alias("e"))
     names = F.array_join(F.transform("e", lambda x: F.concat(F.lit("["), x["name"], F.lit("]"))), " ")
     return e.select("content_id", F.concat(F.lit("This content contains: "), names, F.lit(" ")).alias("text"))
 
@@ -164,12 +173,30 @@ def p16(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", doc.contains("extraction_result").alias("wrapped"), extraction.parse(doc)["entities"][0]["name"].alias("name"))
 
 
-@query("p17_analysis_outcome", "SELECT conv_id, CASE WHEN count(*) FILTER (WHERE role = 'system') > 0 THEN 'partial' ELSE 'complete' END AS status, count(*) FILTER (WHERE role <> 'system') AS n_statements FROM conversations GROUP BY 1")
+_P17 = """says AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'nation_' || (conv_id % 40) WHEN 1 THEN 'NATION_' || (turn % 25) WHEN 2 THEN '' ELSE 'Speaker ' || role END AS subject FROM conversations),
+ known AS (SELECT lower(n_name) AS key, min(n_nationkey) AS id FROM nation GROUP BY 1),
+ told AS (SELECT conv_id, turn, subject, k.id, subject = '' AS wrong, k.id IS NULL AND subject <> '' AND subject LIKE 'Speaker%' AS made FROM says LEFT JOIN known k ON lower(subject) = k.key)"""
+
+
+@query("p17_analysis_outcome", f"WITH {_P17} SELECT conv_id, CASE WHEN count(*) FILTER (WHERE wrong) > 0 THEN 'failed' WHEN count(*) FILTER (WHERE id IS NULL AND NOT made AND NOT wrong) > 0 THEN 'partial' ELSE 'complete' END AS status, count(*) FILTER (WHERE id IS NOT NULL OR made) AS stored, count(*) FILTER (WHERE id IS NULL AND NOT made AND NOT wrong) AS pending, count(*) FILTER (WHERE wrong) AS errors, count(DISTINCT CASE WHEN made THEN subject END) AS created FROM told GROUP BY 1")
 def p17(spark: SparkSession, d: str) -> DataFrame:
-    """Statements of a known subject are stored; a content with any that are pending is partial."""
-    known = F.col("role") != "system"
-    g = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(~known).alias("pending"), F.count_if(known).alias("n_statements"))
-    return g.select("conv_id", F.when(F.col("pending") > 0, "partial").otherwise("complete").alias("status"), "n_statements")
+    """Statements of a content (here: turns) find their subject by name, ignoring case, or have it created where its type
+    is allowed to be (here: speakers); others wait for verification, and those without a subject are errors."""
+    t = F.col("turn") % 4
+    subject = F.when(t == 0, F.concat(F.lit("nation_"), F.col("conv_id") % 40)).when(t == 1, F.concat(F.lit("NATION_"), F.col("turn") % 25)).when(t == 2, "").otherwise(F.concat(F.lit("Speaker "), "role"))
+    said = T.table(spark, d, "conversations").select("conv_id", subject.alias("subject"), subject.startswith("Speaker").alias("may_create"))
+    return outcome(said, T.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
+
+
+def outcome(said: DataFrame, known: DataFrame) -> DataFrame:
+    """conv_id, status, stored, pending, errors, created of statements (conv_id, subject, may_create) against entities (id, name)."""
+    by_name = known.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
+    j = said.withColumn("key", F.lower("subject")).join(by_name, "key", "left")
+    wrong = ~F.coalesce(F.trim("subject") != "", F.lit(False))
+    found, made = F.col("id").isNotNull(), F.col("id").isNull() & ~wrong & F.col("may_create")
+    counts = j.groupBy("conv_id").agg(F.count_if(found | made).alias("stored"), F.count_if(~found & ~made & ~wrong).alias("pending"), F.count_if(wrong).alias("errors"), F.countDistinct(F.when(made, F.col("subject"))).alias("created"))
+    status = F.when(F.col("errors") > 0, "failed").when(F.col("pending") > 0, "partial").otherwise("complete")
+    return counts.select("conv_id", status.alias("status"), "stored", "pending", "errors", "created")
 
 
 @query("a13_data_urls", "SELECT n_nationkey, 'image/png' AS mime, n_name AS decoded FROM nation")
@@ -204,15 +231,17 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.regexp_replace(nested, ":", ": ").alias("nested"))
 
 
-@query("a8_read_extractions", "SELECT count(*) AS n_files, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_entities FROM events WHERE event_id < 50")
+@query("a8_read_extractions", "SELECT event_type AS kind, count(*) AS n_files, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_entities, min(event_id)::VARCHAR AS first FROM events GROUP BY 1")
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    """A folder of JSON documents, some of them in an envelope, read back."""
-    from quillgraph.lineage import cut
-
-    doc = F.when(F.col("event_id") % 2 == 0, '{"extraction_result":{"entities":[{"type":"P","name":"x"}],"relationships":[]}}').otherwise('{"entities":[],"relationships":[]}')
-    docs = cut(T.table(spark, d, "events").where("event_id < 50").select(doc.alias("value")))  # fifty small documents
-    x = docs.select(extraction.parse(F.col("value")).alias("x"))
-    return x.agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.size("x.entities")).alias("n_entities"))
+    """A folder of JSON lines with an extraction of every event, half of them in an envelope, written and read back with its subfolders."""
+    k = F.col("event_id").cast("string")
+    inner = F.concat(F.lit('{"name":"'), k, F.lit('","entities":'), F.when(F.col("event_id") % 2 == 0, F.lit('[{"type":"P","name":"x"}]')).otherwise("[]"), F.lit(',"relationships":[]}'))
+    doc = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"extraction_result":'), inner, F.lit("}"))).otherwise(inner)
+    path = scratch(spark)
+    T.table(spark, d, "events").select(F.concat(F.lit('{"kind":"'), "event_type", F.lit('","key":"'), k, F.lit('","body":'), F.to_json(F.struct(doc.alias("b"))).substr(F.lit(6), F.length(F.to_json(F.struct(doc.alias("b")))) - 6), F.lit("}")).alias("value"), F.col("event_type").alias("folder")).write.partitionBy("folder").text(path)
+    read = spark.read.option("recursiveFileLookup", "true").schema("kind string, key string, body string").json(path)
+    x = read.select("kind", "key", extraction.parse(F.col("body")).alias("x"))
+    return x.groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.size("x.entities")).alias("n_entities"), F.min(F.col("key").cast("long")).cast("string").alias("first"))
 
 
 @query("a11_attachments")
