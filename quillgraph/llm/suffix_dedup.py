@@ -117,6 +117,20 @@ def copies(g: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, n
     return order, i, np.append(True, differ)[: len(g)]
 
 
+def block_of(doc: np.ndarray, n: int) -> np.ndarray:
+    """The block of a document: Spark's hash() of its id modulo n, so that ids of any pattern spread."""
+    x = doc.astype(np.int64).view(np.uint64)
+    h = np.full(len(x), 42, np.uint32)
+    for k in (x.astype(np.uint32), (x >> U(32)).astype(np.uint32)):
+        k = k * np.uint32(0xCC9E2D51)
+        h ^= (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64) % n
+
+
 def bucket_of(g: np.ndarray, n: int) -> np.ndarray:
     return (mix(g ^ U(0x2545F4914F6CDD1D)) % U(n)).astype(np.int64)
 
@@ -159,7 +173,7 @@ def keys(docs: DataFrame, n_buckets: int, n_blocks: int) -> DataFrame:
         low = np.repeat(doc[at], np.diff(np.append(at, len(doc))))
         rows = pack(KEY, bucket_of(g[new], n_buckets), g=g[new], h=h[new], doc=doc[new])
         own = doc != low
-        answers = pack(ANSWER, np.mod(doc[own], n_blocks), g=g[own], h=h[own], doc=low[own], a=np.zeros(own.sum(), np.int32))
+        answers = pack(ANSWER, block_of(doc[own], n_blocks), g=g[own], h=h[own], doc=low[own], a=np.zeros(own.sum(), np.int32))
         rows += [(r[0] % n_buckets, *r[1:7], np.int32(r[0]).tobytes(), None) for r in answers]
         return batch(rows)
 
@@ -203,7 +217,7 @@ def answers(packed: DataFrame, n_blocks: int) -> DataFrame:
             earliest = doc == low[group]
             say = ~earliest | (called[group] > 0)
             flag = np.where(earliest, called[group], 0).astype(np.int32)
-            out += pack(ANSWER, np.mod(doc[say], n_blocks), g=g[say], h=h[say], doc=low[group][say], a=flag[say])
+            out += pack(ANSWER, block_of(doc[say], n_blocks), g=g[say], h=h[say], doc=low[group][say], a=flag[say])
         return pa.Table.from_batches([batch(out)])
 
     return packed.groupBy("to").applyInArrow(apply, PACKED)
@@ -433,7 +447,7 @@ def compare(cuts: DataFrame, n_blocks: int) -> DataFrame:
         s = of[hit[a]]
         doc = k["doc"][s]
         start, end = k["a"][s] + within[hit[a]], k["a"][s] + within[hit[b]] + LENGTH
-        return pa.Table.from_batches([batch(pack(SPAN, np.mod(doc, n_blocks), doc=doc, row=k["row"][s], a=start.astype(np.int32), b=end.astype(np.int32)))])
+        return pa.Table.from_batches([batch(pack(SPAN, block_of(doc, n_blocks), doc=doc, row=k["row"][s], a=start.astype(np.int32), b=end.astype(np.int32)))])
 
     return cuts.where(F.col("kind") == SEGMENT).groupBy("to").applyInArrow(apply, PACKED)
 
@@ -466,12 +480,12 @@ def repeats(docs: DataFrame, output: Callable[[pa.Table, list[list[tuple[int, in
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     row = F.coalesce(F.xxhash64("text"), F.lit(0))
-    block = F.pmod(F.coalesce(F.col("doc_id").cast("long"), row), F.lit(n)).cast("int")
+    block = F.pmod(F.hash(F.coalesce(F.col("doc_id").cast("long"), row)), F.lit(n)).cast("int")
     slim = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
     cuts = materialize(cut(slim, answers(keys(docs, n, n), n), n))
     spans = cuts.where(F.col("kind") == SPAN).unionByName(compare(cuts, n))
     own = docs.columns
-    whole = docs.select(F.struct(*[docs[c] for c in own]).alias("own"), block.alias("block"), row.alias("row"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), block.alias("block"), row.alias("row"))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         k = unpack(right, SPAN)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillgraph.llm import bagminhash, common, components, decontam, mixing, suffix_dedup
@@ -258,6 +259,26 @@ def test_suffix_dedup_tells_segments_of_one_anchor_apart(spark):
     assert {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.report(docs).collect()} == {(i, 0) for i in range(4)}
 
 
+def test_blocks_spread_ids_of_any_pattern(spark):
+    """The block of an id is Spark's, and ids that are multiples of the number of blocks do not meet in one."""
+    ids = np.concatenate([np.arange(-5, 5), np.arange(1000) * 64, np.array([2**62, -(2**63), 2**63 - 1])])
+    df = spark.createDataFrame([(int(i),) for i in ids], "doc_id long").select("doc_id", F.pmod(F.hash("doc_id"), F.lit(64)).alias("b"))
+    got = suffix_dedup.block_of(ids, 64)
+    assert {r["doc_id"]: r["b"] for r in df.collect()} == dict(zip(ids.tolist(), got.tolist()))
+    assert np.bincount(got, minlength=64).max() < 40
+
+
+def test_suffix_dedup_with_ids_that_are_multiples(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 400)
+    rng = np.random.default_rng(9)
+    shared = "".join(map(chr, rng.integers(97, 123, 90)))
+    rows = [(64 * i, "".join(map(chr, rng.integers(97, 123, 60))) + (shared if i % 3 else "") + "".join(map(chr, rng.integers(97, 123, 40)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1))
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.report(docs).collect()}
+    assert got == set(brute_removal(rows))
+    assert suffix_dedup.dedup(docs).columns == docs.columns
+
+
 def test_copies_with_one_identity(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "identity", lambda g, h: np.zeros(len(g), np.uint64))
     g, h, doc = np.array([5, 7, 5, 7, 5], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64), np.arange(5)
