@@ -1,11 +1,11 @@
 """Near-duplicate classes by BagMinHash: weighted Jaccard of the multisets of five-word shingles.
 
 Signature: each shingle is the seed of Poisson processes over the weight levels [0,1), [1,2),
-[2,4), [4,8), ...; a level that a multiplicity covers in part is cut down by the place of each
-point in it (a point descends the halves of its level, which keeps every sub-level a Poisson
-process of its own). Points come in order of time and each falls on one of the signature's
-components, which keeps its earliest point; a process ends once its time is past the latest of
-them. Two components agree with a probability that is the weighted Jaccard similarity.
+[2,4), [4,8), ...; where in its level a point lies is drawn at once, and of a level that a
+multiplicity covers in part only the points in that part count (thinned so, every sub-level is a
+Poisson process of its own, as if points went down the halves of the level one by one). Points come
+in order of time and each falls on one of the signature's components, which keeps its earliest
+point; a process ends once its time is past the latest of them. Two components agree with a probability that is the weighted Jaccard similarity.
 
 Candidates share a band of rows; every candidate is verified by the exact overlap of multisets.
 Texts with equal multisets are one class from the start and are represented by the smallest id.
@@ -42,6 +42,8 @@ SMALL = 24
 TILE = 32
 #: Steps of similarity to the hub that tiles are kept apart by.
 STEP = 0.05
+#: Tiles of a hub that meet in one task, on either side; a larger group is dealt to a grid of tasks.
+GRID = 64
 _STEP = 4 << 20
 
 
@@ -155,10 +157,14 @@ def tile_links(group: DataFrame, texts: DataFrame, threshold: float, tile: int =
     placed = sized.join(parts, ["hub", "step", "minor"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     full = placed.join(texts, "doc_id")
     tiles = full.groupBy("hub", "step", "minor", "part").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("root").alias("roots"), F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
-    x = tiles.where("minor").select("hub", F.col("step").alias("sx"), *[F.col(c).alias(f"{c}_x") for c in ("ids", "roots", "texts")])
-    y = tiles.select("hub", F.col("step").alias("sy"), *[F.col(c).alias(f"{c}_y") for c in ("ids", "roots", "texts")])
+    # The tiles of a hub are dealt to g parts on either side, and each of g x g tasks compares one part with one.
+    grid = parts.groupBy("hub").agg(F.ceil(F.sum("parts") / GRID).cast("int").alias("g"))
+    tiles = tiles.join(grid, "hub")
+    own, others = F.pmod(F.xxhash64("step", "part"), F.col("g")).cast("int"), F.sequence(F.lit(0), F.col("g") - 1)
+    x = tiles.where("minor").select("hub", own.alias("gx"), F.explode(others).alias("gy"), F.col("step").alias("sx"), *[F.col(c).alias(f"{c}_x") for c in ("ids", "roots", "texts")])
+    y = tiles.select("hub", F.explode(others).alias("gx"), own.alias("gy"), F.col("step").alias("sy"), *[F.col(c).alias(f"{c}_y") for c in ("ids", "roots", "texts")])
     reach = int(np.ceil((1 - threshold) / STEP + 1e-9)) + 1
-    rows = x.join(y, "hub").where(F.abs(F.col("sx") - F.col("sy")) <= reach).drop("hub", "sx", "sy")
+    rows = x.join(y, ["hub", "gx", "gy"]).where(F.abs(F.col("sx") - F.col("sy")) <= reach).drop("hub", "gx", "gy", "sx", "sy")
 
     def units(t: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, unit) of each text's multiset, an element of count c as c units; sizes."""
@@ -198,7 +204,10 @@ def tile_links(group: DataFrame, texts: DataFrame, threshold: float, tile: int =
 
 
 def links(reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(a < b, j: verified links among representatives (doc_id, bands)), (node, root: their components)."""
+    """(a < b, j: verified links among representatives (doc_id, bands)), (node, root: their components).
+
+    The components are the same whatever `small` is; the links are those that were compared, enough for the components.
+    """
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
     members = materialize(keys.join(sizes, "key").select("key", "doc_id", "n", "hub"))
@@ -233,22 +242,21 @@ def links(reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, small:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest id of the class), rep_id (of the equal multisets) and n_links (of rep_id) of every row."""
+    """doc_id, class_id (the smallest id of the class) and rep_id (of the equal multisets) of every row."""
     sketches = materialize(sketch(docs))
     groups = materialize(sketches.where("doc_id is not null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep_id")))
     first = F.min(F.col("bands")).alias("bands")  # equal multisets have equal bands
     reps = sketches.join(groups, "fp").where("doc_id = rep_id").groupBy("doc_id", "fp").agg(first).select("doc_id", "bands")
-    linked, roots = links(reps, docs, threshold)
-    ends = linked.select(F.explode(F.array("a", "b")).alias("rep_id")).groupBy("rep_id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = groups.join(roots.withColumnRenamed("node", "rep_id"), "rep_id", "left").join(ends, "rep_id", "left")
+    roots = links(reps, docs, threshold)[1]
+    named = groups.join(roots.withColumnRenamed("node", "rep_id"), "rep_id", "left")
     # A row without words is a class of its own; a key of its own keeps such rows apart in the join.
     key = F.coalesce("fp", F.concat(F.lit(b"row"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string").cast("binary")))
     out = sketches.select("doc_id", key.alias("fp")).join(named, "fp", "left")
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep_id", "doc_id"))
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", rep)).alias("class_id"), rep.alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", rep)).alias("class_id"), rep.alias("rep_id"))
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without all but the smallest id of each class, with all their columns."""
     gone = classes(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -286,6 +286,38 @@ def test_copies_with_one_identity(monkeypatch):
     assert sorted(x.tolist() for x in np.split(order, np.flatnonzero(new)[1:])) == [[0, 4], [1, 3], [2]]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_do_not_depend_on_bucket_sizes(spark, monkeypatch, seed):
+    """Families with several centres: the classes are those of brute force whatever counts as a small bucket, on a grid of tasks too."""
+    rng = np.random.default_rng(seed)
+    texts = {}
+    for family in range(3):
+        base = [f"f{family}w{x}" for x in range(90)]
+        centres = [base] + [[*base[:c], *(f"c{c}{k}" for k in range(6)), *base[c + 6 :]] for c in (20, 50, 70)]
+        for _ in range(14):
+            w = list(centres[rng.integers(4)])
+            for i in rng.choice(90, rng.integers(0, 4), replace=False):
+                w[i] = f"z{rng.integers(10_000)}"
+            texts[len(texts)] = " ".join(w)
+    order = rng.permutation(len(texts))
+    texts = {int(order[k]): t for k, t in texts.items()}
+    want = brute_classes(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(bagminhash, "GRID", 2)
+    for small in (2, 3, 24):
+        monkeypatch.setattr(bagminhash.links, "__defaults__", (0.8, small, 3))
+        got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(docs).collect()}
+        assert got == want, small
+
+
+def test_dedup_of_nothing(spark, none, odd):
+    assert bagminhash.dedup(none).isEmpty() and bagminhash.dedup(none).columns == none.columns
+    bench = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
+    assert decontam.clean(none, bench).isEmpty()
+    dotted = odd.withColumn("a.b", F.lit(1))
+    assert bagminhash.dedup(dotted).columns == dotted.columns
+
+
 def test_late_link_to_the_hub_bridges_to_a_further_text(spark):
     """3 is linked to the main hub 0, whom it met in no bucket; 4 is linked to 3 alone, with whom it meets under hub 1."""
     base = [f"w{k}" for k in range(120)]
