@@ -168,8 +168,16 @@ def demux(media: bytes) -> Stream:
     q, begins = p[pid == stream], start[pid == stream]
     kind, counter = q[:, 3] >> 4 & 3, q[:, 3].astype(np.int64) & 15
     carries, adapts = kind & 1 > 0, kind & 2 > 0
+    at = np.flatnonzero(carries)
+    if len(at) > 1:  # a packet may be sent twice, one after the other: the second is left out
+        again = (counter[at[1:]] == counter[at[:-1]]) & (q[at[1:]] == q[at[:-1]]).all(1)
+        again[1:] &= ~again[:-1]
+        keep = np.ones(len(q), bool)
+        keep[at[1:][again]] = False
+        q, begins, counter, carries, adapts = (x[keep] for x in (q, begins, counter, carries, adapts))
     seen = counter[carries]
-    out.breaks = int((seen[1:] != (seen[:-1] + 1) % 16).sum())
+    told = (adapts & (q[:, 4] > 0) & (q[:, 5] & 0x80 > 0))[carries]  # a break that the stream itself announces
+    out.breaks = int(((seen[1:] != (seen[:-1] + 1) % 16) & ~told[1:]).sum())
     skip = np.where(adapts, 5 + q[:, 4].astype(np.int64), 4)
     skip[~carries] = PACKET
     flags = np.where(adapts & (q[:, 4] > 0), q[:, 5], 0)
@@ -186,6 +194,8 @@ def demux(media: bytes) -> Stream:
         return out
     stop = np.append(head[1:], len(whole))
     stated = h[:, 4] << 8 | h[:, 5]
+    if ((stated > 0) & (head + 6 + stated > stop)).any():
+        out.error = "short unit"
     stop = np.where(stated > 0, np.minimum(stop, head + 6 + stated), stop)
     first = head + 9 + h[:, 8]
     timed = h[:, 7] & 0x80 > 0

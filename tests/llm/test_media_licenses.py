@@ -2,11 +2,12 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillgraph.llm import common, licenses, mpegts
+from quillgraph.llm import common, licenses, mpegts, registry
 
 
 @settings(max_examples=80, deadline=None)
@@ -26,7 +27,67 @@ def test_broken_streams():
     assert mpegts.demux(media[:20] + b"\1" + media[21:]).error in ("tables", "")
     assert mpegts.demux(media[188 * 2 :]).error == "tables"
     lost = media[: 188 * 7] + media[188 * 8 :]
-    assert mpegts.demux(lost).breaks == 1
+    assert mpegts.demux(lost).breaks == 1 and mpegts.demux(lost).error == "short unit"
+    whole = mpegts.demux(media)
+    twice = mpegts.demux(media[: 188 * 8] + media[188 * 7 :])
+    assert (twice.payload, twice.breaks, twice.error) == (whole.payload, 0, "")
+    told = bytearray(media[: 188 * 6] + media[188 * 10 :])  # a unit is missing, and the next one says so
+    told[188 * 6 + 5] |= 0x80
+    got = mpegts.demux(bytes(told))
+    assert got.breaks == 0 and not got.error and len(got.payload) == len(whole.payload) - 576
+
+
+def read_plainly(media):
+    """Payload, timestamps and random-access points, packet by packet."""
+    tables, stream, units, counter = {}, None, [], None
+    for i in range(0, len(media), 188):
+        p = media[i : i + 188]
+        pid, starts, at = (p[1] & 31) << 8 | p[2], bool(p[1] & 0x40), 4
+        flags = 0
+        if p[3] & 0x20:
+            flags = p[5] if p[4] else 0
+            at += 1 + p[4]
+        if pid == 0 or pid in tables.values():
+            s = p[at + 1 + p[at] :]
+            if pid == 0:
+                tables[s[8] << 8 | s[9]] = (s[10] & 31) << 8 | s[11]
+            else:
+                stream = (s[13 + ((s[10] & 15) << 8 | s[11])] & 31) << 8 | s[14 + ((s[10] & 15) << 8 | s[11])]
+        elif pid == stream:
+            assert counter is None or p[3] & 15 == (counter + 1) % 16
+            counter = p[3] & 15
+            if starts:
+                units.append([b"", bool(flags & 0x40)])
+            units[-1][0] += p[at:]
+    payload, times, jumps = b"", [], []
+    for u, random in units:
+        assert u[:3] == b"\0\0\1"
+        t = (u[9] >> 1 & 7) << 30 | u[10] << 22 | (u[11] >> 1) << 15 | u[12] << 7 | u[13] >> 1
+        times.append(t)
+        jumps += [t] * random
+        payload += u[9 + u[8] : 6 + (u[4] << 8 | u[5])]
+    return payload, times, jumps
+
+
+def test_stream_with_another_reader():
+    for n in (0, 1, 575, 576, 577, 5000, 30_000):
+        data = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
+        media = mpegts.mux(mpegts.pad(data))
+        s = mpegts.demux(media)
+        assert read_plainly(media) == (mpegts.pad(data), s.pts, s.random_access) and s.payload == mpegts.pad(data)
+
+
+def test_every_row_against_the_contract(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        payload = (r["text"] or "").encode()
+        n = len(payload)
+        payload += b"\xff" * (-n % 576 if n else 576)
+        media = mpegts.mux(payload)
+        want[r["doc_id"]] = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+    got = registry.op6_transport_stream(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) for r in got} == want
 
 
 def test_timestamps_wrap():
