@@ -138,24 +138,25 @@ def test_scan_against_brute_force(spark):
         ("MIT", ["mit"], 0.2),
         ("MIT OR GPL-3.0", ["mit", "gpl-3.0"], 0.2),
         ("MIT AND GPL-3.0", ["mit", "gpl-3.0"], 0.6),
-        ("GPL-2.0 WITH Classpath", ["gpl-2.0", "classpath"], 0.3),
+        ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0", "classpath-exception-2.0"], 0.3),
+        ("GPL-2.0+ OR LicenseRef-own.1", ["gpl-2.0", "licenseref-own.1"], 0.6),
+        ("CC-BY-SA-4.0 some words", ["cc-by-sa-4.0"], 0.5),
         ("(MIT AND GPL-3.0) OR Apache-2.0", ["mit", "gpl-3.0", "apache-2.0"], 0.25),
-        ("MIT OR GPL-3.0 AND Reserved", ["mit", "gpl-3.0", "reserved"], 0.2),
-        ("MIT and more words", ["mit", "more"], 0.7),
+        ("MIT OR GPL-3.0-only AND AGPL-3.0-or-later", ["mit", "gpl-3.0-only", "agpl-3.0-or-later"], 0.2),
     ],
 )
 def test_expressions(expression, names, value):
     assert licenses.parse(expression.encode()) == (names, pytest.approx(value))
 
 
-@pytest.mark.parametrize("expression", ["", "OR MIT", "(MIT", "MIT OR", "()", "and"])
+@pytest.mark.parametrize("expression", ["", "OR MIT", "(MIT", "MIT OR", "()", "and", "see LICENSE", "MIT and more words", "MIT WITH GPL-2.0", "GPL-2.0 WITH Classpath", "gpl-9.9"])
 def test_no_expression(expression):
     assert licenses.parse(expression.encode()) is None
 
 
 def test_tags_and_odd_rows(spark, odd, none):
-    docs = spark.createDataFrame([(1, "// SPDX-License-Identifier: (MIT OR Apache-2.0) */\nx"), (2, "SPDX-License-Identifier:")], "doc_id long, text string")
-    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()} == {1: "apache-2.0,mit", 2: ""}
+    docs = spark.createDataFrame([(1, "// SPDX-License-Identifier: (MIT OR Apache-2.0) */\nx"), (2, "SPDX-License-Identifier:"), (3, "SPDX-License-Identifier: see LICENSE"), (4, "spdx license identifier: MIT"), (5, "Éa SPDX-License-Identifier: ISC\r\nspdx-license-identifier:zlib")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()} == {1: "apache-2.0,mit", 2: "", 3: "", 4: "", 5: "isc,zlib"}
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).isEmpty()
 
 
