@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
 A shard is a few MB of documents. Its words become the numbers that the test set gives them (0:
-no word of the test set), the suffixes that can hold a match are sorted into a suffix array, and
-every test suffix is binary-searched in it. Seeds on one diagonal join to the longest verbatim
-matches, with their places in document and item.
+no word of the test set), the suffixes that can hold a match are sorted into a suffix array (a word
+that the test set does not have ends a suffix, as no match goes past it), and every test suffix is
+binary-searched in it, suffixes of one window together. Where a document has a window, the longest
+verbatim match is the one next to the document's suffix in the order of the test suffixes.
 
 Window: `window` consecutive words of an item; an item of fewer words, but not none, is one window.
 
@@ -14,7 +15,7 @@ count once; repeated document rows are each reported; an empty test set hits not
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,52 +38,117 @@ _HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("doc_start", pa.int32
 
 
 class TestSet:
-    """The test suffixes of one block, with words as numbers."""
+    """The test suffixes of one block, with words as numbers, and the windows that they start with."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
         self.window, self.number = window, {}
-        rows, at, shorter = [], [], []
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            n = min(window, len(ids))
-            for j in range(len(ids) - n + 1 if ids else 0):
-                rows.append(ids[j : j + n] + [0] * (window - n))
-                at.append((item, j))
-                shorter.append(n)
-        self.keys = pack(np.array(rows, np.uint32).reshape(-1, window))
-        self.length = np.array(shorter, np.int64)
-        self.item, self.place = (np.array([x[k] for x in at], np.int64) for k in (0, 1))
-        self.least = int(self.length.min()) if at else 0
+        lists = [[self.number.setdefault(w, len(self.number) + 1) for w in words(text)] for _, text in items]
+        size = np.array([len(x) for x in lists], np.int64)
+        offs = np.concatenate([np.zeros(1, np.int64), np.cumsum(size + 1)])  # a 0 after each item
+        ids = np.zeros(offs[-1], np.uint32)
+        for a, x in zip(offs.tolist(), lists):
+            ids[a : a + len(x)] = x
+        self.raw = [np.array(x, ">u4").tobytes() for x in lists]
+        # Suffixes in order of all their words, so that those of one window stand together.
+        at, keys = suffix_array(ids, window, 1)
+        of = np.searchsorted(offs, at, "right") - 1
+        place, length = at - offs[of], np.minimum(window, size[of])
+        some = np.flatnonzero(place + length <= size[of])
+        of, self.place, keys, length = of[some], place[some], keys[some], length[some]
+        self.of, self.names = of, np.array([i for i, _ in items], np.int64)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        self.first, self.end = first, np.append(first[1:], len(keys))
+        self.keys, self.length = keys[first], length[first]
+        self.least = int(length.min()) if len(length) else 0
         # A shorter item is a prefix of the suffixes it matches: its upper end is filled with the largest number.
-        fill = np.array(rows, np.uint32).reshape(-1, window)
+        fill = self.keys.view(">u4").astype(np.uint32).reshape(-1, window)
         fill[np.arange(window) >= self.length[:, None]] = 0xFFFFFFFF
         self.upper = pack(fill)
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ids, number of the test suffix) of every window that occurs."""
+        """(place in ids, number of the window) of every window that occurs, each place once for each window."""
         none = np.empty(0, np.int64), np.empty(0, np.int64)
         if not self.least or not len(ids):
             return none
-        # Words from here on that the test set has: a suffix with fewer than the shortest window is left out.
-        gap = np.append(np.flatnonzero(ids == 0), len(ids))
-        at = np.arange(len(ids))
-        run = gap[np.searchsorted(gap, at)] - at
-        start = np.flatnonzero(run >= self.least)
+        start, key = suffix_array(ids, self.window, self.least)
         if not len(start):
             return none
-        padded = np.append(ids, np.zeros(self.window, np.uint32))
-        body = padded[start[:, None] + np.arange(self.window)]
-        body[np.arange(self.window) >= run[start][:, None]] = 0
-        key = pack(body)
-        suffix_array = np.argsort(key, kind="stable")
-        key = key[suffix_array]
         low, high = np.searchsorted(key, self.keys, "left"), np.searchsorted(key, self.upper, "right")
         count = high - low
-        test = np.repeat(np.arange(len(count)), count)
+        which = np.repeat(np.arange(len(count)), count)
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return start[suffix_array[np.repeat(low, count) + within]], test
+        return start[np.repeat(low, count) + within], which
+
+    def items(self, window: int) -> list[int]:
+        """The items that have a window."""
+        return self.names[self.of[self.first[window] : self.end[window]]].tolist()
+
+    def tail(self, k: int) -> bytes:
+        """The numbers of a test suffix as bytes."""
+        return self.raw[self.of[k]][4 * self.place[k] :]
+
+    def longest(self, window: int, text: bytes) -> tuple[int, int, int]:
+        """(item, its place, words) of the longest verbatim match of a suffix (numbers as bytes) among those that start with the window.
+
+        It is next to where the suffix stands in their order.
+        """
+        a, b = int(self.first[window]), int(self.end[window])
+        i = bisect_left(range(b), text, a, b, key=self.tail)
+        n, k = max((common(self.tail(k), text), -k) for k in range(max(a, i - 1), min(b, i + 1)))
+        return int(self.names[self.of[-k]]), int(self.place[-k]), n
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Numbers of four bytes that two strings have in common at their start."""
+    n = min(len(a), len(b)) // 4
+    differ = np.flatnonzero(np.frombuffer(a, np.uint32, n) != np.frombuffer(b, np.uint32, n))
+    return int(differ[0]) if len(differ) else n
+
+
+def suffix_array(ids: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all suffixes that go on for `least` words or more before the first 0, in order of their words up to
+    it, and the first `window` words of each as a key.
+
+    Suffixes are sorted by that many words first; those alike are ranked on by twice as many words, and
+    again, until no two are alike or the longest has ended.
+    """
+    gap = np.append(np.flatnonzero(ids == 0), len(ids))
+    at = np.arange(len(ids))
+    end = gap[np.searchsorted(gap, at)]
+    begin = np.append(-1, gap)[np.searchsorted(gap, at)] + 1
+    place = np.flatnonzero(end - begin >= least)
+    if not len(place):
+        return place, np.empty(0, f"S{4 * window}")
+    run = (end - at)[place]
+    body = np.append(ids, np.zeros(window, np.uint32))[place[:, None] + np.arange(window)]
+    body[np.arange(window) >= run[:, None]] = 0
+    key = pack(body)
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.append(True, k[1:] != k[:-1])
+    rank = np.zeros(len(ids) + 1, np.int64)
+    rank[place[order]] = np.maximum.accumulate(np.where(new, np.arange(1, len(order) + 1), 0))
+    reach = window
+    while True:
+        r = rank[place[order]]
+        same = r[1:] == r[:-1]
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        tied = tied[run[order[tied]] > reach] if len(tied) else tied
+        if not len(tied):
+            break
+        groups = np.flatnonzero(np.append(same, False) | np.append(False, same))  # with those that have ended, which come first
+        own = order[groups]
+        beyond = np.where(run[own] > reach, rank[np.minimum(place[own] + reach, len(ids))], 0)
+        by = np.lexsort((beyond, rank[place[own]]))
+        order[groups] = own[by]
+        r, b = rank[place[own]][by], beyond[by]
+        new = np.append(True, (r[1:] != r[:-1]) | (b[1:] != b[:-1]))
+        rank[place[order[groups]]] = np.maximum.accumulate(np.where(new, groups + 1, 0))
+        reach *= 2
+    order = order[run[order] >= least]
+    return place[order], key[order]
 
 
 def pack(rows: np.ndarray) -> np.ndarray:
@@ -92,8 +158,12 @@ def pack(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
 
 
-def matches(test: TestSet, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
-    """Words of each text, and its maximal matches with the items."""
+def matches(test: TestSet, texts: list[bytes]) -> tuple[np.ndarray, list[list[int]], list[list[dict]]]:
+    """Words of each text, the items of which it has a window, and its longest verbatim matches, which cover all windows.
+
+    From the first place of a window on, the longest match is taken; the next starts with the first
+    window that is not inside it. Where several items match alike, one of them is named.
+    """
     get = test.number.get
     lists = [[get(w, 0) for w in words(t)] for t in texts]
     n_words = np.array([len(x) for x in lists], np.int64)
@@ -102,19 +172,23 @@ def matches(test: TestSet, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     for a, x in zip(offs.tolist(), lists):
         ids[a : a + len(x)] = x
     at, which = test.search(ids)
+    order = np.lexsort((-test.length[which], at)) if len(at) else at
+    at, which = at[order], which[order]
     doc = np.searchsorted(offs, at, "right") - 1
-    item, j, n = test.item[which], test.place[which], test.length[which]
-    order = np.lexsort((at, at - j, item, doc))
-    doc, at, item, j, n = (x[order] for x in (doc, at, item, j, n))
-    # Seeds that follow each other on a diagonal of an item belong to one longer match.
-    new = np.ones(len(at), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (j[1:] != j[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1 if len(first) else first
-    length = at[last] + n[last] - at[first]
-    lists_at = np.searchsorted(doc[first], np.arange(len(texts) + 1)).astype(np.int32)
-    cols = [pa.array(item[first]), *(pa.array(x.astype(np.int32)) for x in (at[first] - offs[doc[first]], j[first], length))]
-    return n_words, pa.ListArray.from_arrays(pa.array(lists_at), pa.StructArray.from_arrays(cols, fields=list(_HIT_ARROW.value_type)))
+    items: list[list[int]] = [[] for _ in texts]
+    hits: list[list[dict]] = [[] for _ in texts]
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist() if len(doc) else []
+    for x, y in zip(first, [*first[1:], len(doc)]):
+        d = int(doc[x])
+        items[d] = sorted({i for w in np.unique(which[x:y]).tolist() for i in test.items(w)})
+        raw, base, end = np.array(lists[d], ">u4").tobytes(), int(offs[d]), 0
+        stops = (at[x:y] - base + test.length[which[x:y]]).tolist()
+        for p, w, stop in zip((at[x:y] - base).tolist(), which[x:y].tolist(), stops):
+            if stop > end:
+                item, place, n = test.longest(w, raw[4 * p :])
+                hits[d].append({"item_id": item, "doc_start": p, "item_start": place, "n_words": n})
+                end = p + n
+    return n_words, items, hits
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
@@ -131,25 +205,25 @@ def load(block: DataFrame, window: int = WINDOW) -> TestSet:
 
 
 def search(rows: DataFrame, part: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row_no, doc_id, n_words and hits in one block of the test set, of rows (row_no, doc_id, text)."""
+    """row_no, doc_id, n_words, items and hits in one block of the test set, of rows (row_no, doc_id, text)."""
     shared = rows.sparkSession.sparkContext.broadcast(load(part, window))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, size=SHARD_BYTES):
-            n, hits = matches(shared.value, byte_list(column(b, "text")))
-            yield pa.record_batch([column(b, "row_no"), column(b, "doc_id"), pa.array(n), hits], ["row_no", "doc_id", "n_words", "hits"])
+            n, items, hits = matches(shared.value, byte_list(column(b, "text")))
+            yield pa.record_batch([column(b, "row_no"), column(b, "doc_id"), pa.array(n), pa.array(items, pa.list_(pa.int64())), pa.array(hits, _HIT_ARROW)], ["row_no", "doc_id", "n_words", "items", "hits"])
 
-    return rows.mapInArrow(apply, f"row_no string, doc_id long, n_words long, hits array<{HIT}>")
+    return rows.mapInArrow(apply, f"row_no string, doc_id long, n_words long, items array<long>, hits array<{HIT}>")
 
 
 def search_all(rows: DataFrame, parts: list[DataFrame], window: int = WINDOW) -> DataFrame:
     """The same over all blocks, a pass for each; rows are written out, as row_no must not change."""
     passes = [materialize(search(rows, p, window)) for p in parts]
-    return reduce(DataFrame.unionByName, passes).groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+    return reduce(DataFrame.unionByName, passes).groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words and hits (maximal matches) of every document row.
+    """doc_id, n_words, items (that it has a window of) and hits (longest matches) of every document row.
 
     A test set of one block is searched in a single pass. A larger one takes a pass for each
     block, so that a task never holds more than one; their hits are then put together by row.
@@ -161,26 +235,30 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     return search_all(rows, parts, window).drop("row_no")
 
 
+def covered(hits: list[dict]) -> int:
+    """Words inside any match."""
+    end = n = 0
+    for a, k in sorted((h["doc_start"], h["n_words"]) for h in hits):
+        n += max(0, a + k - max(a, end))
+        end = max(end, a + k)
+    return n
+
+
 def judge(found: DataFrame, share: float = SHARE) -> DataFrame:
-    """n_hit (words inside any match), n_items, items_sha256 and contaminated, from n_words and hits."""
-
-    def digest(n_words: int, hits: list[dict]) -> tuple[int, int, str, bool]:
-        end = n_hit = 0
-        for s, n in sorted((h["doc_start"], h["n_words"]) for h in hits):
-            n_hit += max(0, s + n - max(s, end))
-            end = max(end, s + n)
-        names = sorted({str(h["item_id"]) for h in hits})
+    """n_hit (words inside any match), n_items, items_sha256 and contaminated, from n_words, items and hits."""
+
+    def digest(n_words: int, items: list[int], hits: list[dict]) -> tuple[int, int, str, bool]:
+        n_hit, names = covered(hits), sorted(map(str, set(items)))
         return n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and n_hit * round(1 / share) >= n_words
 
-    nothing = digest(0, [])
+    nothing = digest(0, [], [])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, hits = column(b, "n_words").to_pylist(), column(b, "hits")
-            some = np.diff(np.asarray(hits.offsets)) > 0
+            n_words, items, hits = column(b, "n_words").to_pylist(), column(b, "items"), column(b, "hits")
             out = [nothing] * b.num_rows
-            for i in np.flatnonzero(some).tolist():
-                out[i] = digest(n_words[i], hits[i].as_py())
+            for i in np.flatnonzero(np.diff(np.asarray(hits.offsets)) > 0).tolist():
+                out[i] = digest(n_words[i], items[i].as_py(), hits[i].as_py())
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
             cols = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
             yield pa.record_batch([column(b, "doc_id"), column(b, "n_words"), *cols, hits], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"])
@@ -194,7 +272,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     schema, sc = docs.schema, docs.sparkSession.sparkContext
     if len(parts) > 1:
         # Rows are judged and removed by their own number, which takes the place of the id.
-        rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[docs[c] for c in docs.columns]).alias("own")))
+        rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")))
         found = search_all(rows.select(F.col("number").cast("string").alias("row_no"), F.col("number").alias("doc_id"), "own.text"), parts, window)
         bad = judge(found, share).where("contaminated").select(F.col("doc_id").alias("number"))
         return rows.join(bad, "number", "left_anti").select("own.*")
@@ -202,14 +280,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, size=SHARD_BYTES):
-            n, hits = matches(shared.value, byte_list(column(b, "text")))
-            good = np.ones(b.num_rows, bool)
-            for i in np.flatnonzero(np.diff(np.asarray(hits.offsets)) > 0).tolist():
-                end = n_hit = 0
-                for s, k in sorted((h["doc_start"], h["n_words"]) for h in hits[i].as_py()):
-                    n_hit += max(0, s + k - max(s, end))
-                    end = max(end, s + k)
-                good[i] = n_hit * round(1 / share) < n[i]
+            n, _, hits = matches(shared.value, byte_list(column(b, "text")))
+            good = [not h or covered(h) * round(1 / share) < k for k, h in zip(n.tolist(), hits)]
             yield b.filter(pa.array(good))
 
     return docs.mapInArrow(apply, schema)

@@ -34,7 +34,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontam.judge(found).drop("hits")
+    return decontam.judge(found).withColumn("hits", F.to_json("hits"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

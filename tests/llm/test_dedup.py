@@ -186,6 +186,45 @@ def test_longest_matches(spark):
     assert [tuple(x) for x in h] == [(7, 1, 6, 18)]  # "w-3" is two words
 
 
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(7)
+    for least in (1, 2, 4):
+        for _ in range(60):
+            ids = rng.integers(0, 4, rng.integers(1, 80)).astype(np.uint32)
+            if rng.random() < 0.4:
+                ids = np.tile(ids[:9], 9)
+            places, keys = decontam.suffix_array(ids, 3, least)
+            suffix = {}
+            for i in range(len(ids)):
+                stop = next((k for k in range(i, len(ids)) if ids[k] == 0), len(ids))
+                if stop - i >= least:
+                    suffix[i] = ids[i:stop].tolist()
+            got = [suffix[p] for p in places.tolist()]
+            assert sorted(places.tolist()) == sorted(suffix) and got == sorted(got)
+            assert (keys[1:] >= keys[:-1]).all()
+
+
+def test_longest_matches_against_all_pairs():
+    """Every place of a window is covered, and each match is the longest that any item has there."""
+    rng = np.random.default_rng(12)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 3, rng.integers(1, 14))).encode()) for i in range(12)]
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 4, 60)).encode() for _ in range(20)]
+    test = decontam.TestSet(items, 4)
+    n_words, found, hits = decontam.matches(test, texts)
+    split = {i: t.split() for i, t in items}
+    for t, n, f, h in zip(texts, n_words.tolist(), found, hits):
+        w = t.split()
+        windows = [(k, i, j, min(4, len(x))) for i, x in split.items() for j in range(len(x) - min(4, len(x)) + 1) for k in range(len(w)) if w[k : k + min(4, len(x))] == x[j : j + min(4, len(x))]]
+        assert n == len(w) and f == sorted({i for _, i, _, _ in windows})
+        cover = {k + d for k, _, _, m in windows for d in range(m)}
+        assert {x["doc_start"] + d for x in h for d in range(x["n_words"])} == cover and decontam.covered(h) == len(cover)
+        for x in h:
+            p, q, m = x["doc_start"], x["item_start"], x["n_words"]
+            assert w[p : p + m] == split[x["item_id"]][q : q + m]
+            same = [next((d for d in range(len(y) - j) if p + d >= len(w) or w[p + d] != y[j + d]), len(y) - j) for k, i, j, size in windows if k == p and (size == 4 or m < 4) for y in [split[i]]]
+            assert m == max(same)
+
+
 def test_decontamination_on_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
     assert decontam.find(odd, bench).count() == odd.count() and decontam.find(none, bench).isEmpty()
@@ -231,6 +270,19 @@ def test_pipeline_against_brute_force(spark):
     assert {"copy", "mix_key"} < set(last.columns) and set(r["doc_id"] for r in last.collect()) <= set(seen[4])
 
 
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, repeated ids, clashing and dotted names, and nothing at all, through every stage."""
+    for docs in (odd.withColumn("a.b", F.lit(1)), none.withColumn("a.b", F.lit(1))):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.materialize(stage(spark, docs, SF))
+            assert out.columns == docs.columns and out.count() <= n, name
+            if n:
+                assert name == "quality_filter" or not out.where("doc_id is null").isEmpty(), name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert set(last.columns) == set(docs.columns) | {"copy", "mix_key"}
+
+
 def test_no_import_from_the_rest():
     here = os.path.dirname(common.__file__)
     for f in os.listdir(here):
