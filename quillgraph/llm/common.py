@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +122,19 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def filter_by_text(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], size: int = STEP_BYTES) -> DataFrame:
+    """The rows whose text is kept, with all columns, whatever their names (mapInArrow itself takes none with dots)."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    text = f"c{names.index('text')}"
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, text, size):
+            yield b.filter(pa.array(keep(column(b, text))))
+
+    return plain.mapInArrow(apply, plain.schema).toDF(*names)
+
+
 def planes(x: np.ndarray) -> bytes:
     """Numbers as planes of their bytes: the upper ones, mostly alike, compress to next to nothing."""
     return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, column, materialize, steps, words
+from .common import byte_list, column, filter_by_text, materialize, steps, words
 
 WINDOW = 13
 #: A document of which this share of words is hit is contaminated.
@@ -269,19 +269,16 @@ def judge(found: DataFrame, share: float = SHARE) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns (rows of a null id stay if clean themselves)."""
     parts = blocks(benchmark, block_bytes)
-    schema, sc = docs.schema, docs.sparkSession.sparkContext
     if len(parts) > 1:
         # Rows are judged and removed by their own number, which takes the place of the id.
         rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")))
         found = search_all(rows.select(F.col("number").cast("string").alias("row_no"), F.col("number").alias("doc_id"), "own.text"), parts, window)
         bad = judge(found, share).where("contaminated").select(F.col("doc_id").alias("number"))
         return rows.join(bad, "number", "left_anti").select("own.*")
-    shared = sc.broadcast(load(parts[0], window))
+    shared = docs.sparkSession.sparkContext.broadcast(load(parts[0], window))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, size=SHARD_BYTES):
-            n, _, hits = matches(shared.value, byte_list(column(b, "text")))
-            good = [not h or covered(h) * round(1 / share) < k for k, h in zip(n.tolist(), hits)]
-            yield b.filter(pa.array(good))
+    def keep(texts: pa.Array) -> list[bool]:
+        n, _, hits = matches(shared.value, byte_list(texts))
+        return [not h or covered(h) * round(1 / share) < k for k, h in zip(n.tolist(), hits)]
 
-    return docs.mapInArrow(apply, schema)
+    return filter_by_text(docs, keep, SHARD_BYTES)

@@ -37,7 +37,7 @@ from .common import LOWER_TABLE, U, buffers, column, fold, from_planes, material
 
 ORDER = 5
 #: Bytes of text of a block, and of training text for each bucket and shard.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Distinct grams and tokens that a task holds before it sends them on.
 HELD_GRAMS, HELD_TOKENS = 4 << 20, 400_000
 _S = 255
@@ -268,7 +268,7 @@ def count(docs: DataFrame, n_buckets: int) -> DataFrame:
             pending.append(runs(grams(*texts)))
             own = tokens(*texts)[0].dictionary_encode()
             found.append((own.dictionary, np.bincount(own.indices.to_numpy(), minlength=len(own.dictionary))))
-            if len(pending) > 16:
+            if len(pending) > 8:
                 pending = [runs(*(np.concatenate(x) for x in zip(*pending)))]
                 found = [token_sums(found)]
                 if len(pending[0][0]) > HELD_GRAMS or len(found[0][0]) > HELD_TOKENS:

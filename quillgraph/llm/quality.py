@@ -3,6 +3,8 @@
 Defined cases: a null or empty text has all-zero statistics and is scored like any other; labels
 that are null are no labels; several label rows of one document count once (the larger label);
 an empty label set gives the constant score 0.5. Columns beside the id and the text are ignored.
+Repeated rows of a labelled document are one training row each; texts alike have scores alike,
+whatever their id; a text of any length is scored as a whole.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import buffers, column, fold, steps
+from .common import buffers, column, filter_by_text, fold, steps
 
 #: Labelled rows that the trees are fitted on at most: those of the smallest hash of the id.
 MAX_TRAIN_ROWS = 20_000
 
-FEATURES = (
-    "log_bytes log_words word_bytes upper digit space newline punct symbol bar non_ascii line_bytes "
-    "distinct_words distinct_pairs top_word top3_words longest_word distinct_lines same_next"
-).split()
+FEATURES = [
+    "log_bytes", "log_words", "word_bytes", "upper", "digit", "space", "newline", "punct", "symbol", "bar", "non_ascii", "line_bytes",
+    "distinct_words", "distinct_pairs", "top_word", "top3_words", "longest_word", "distinct_lines", "same_next",
+]
 
 _CLASSES = np.zeros((9, 256), bool)
 _CLASSES[0, 65:91] = True
@@ -114,10 +116,5 @@ def score(docs: DataFrame, model: gbt.FlatTrees, threshold: float = 0.7) -> Data
 
 def keep(docs: DataFrame, model: gbt.FlatTrees, threshold: float = 0.7) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
-            yield b.filter(pa.array(shared.value.score(features(column(b, "text"))) >= threshold))
-
-    return docs.mapInArrow(apply, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_by_text(docs, lambda texts: shared.value.score(features(texts)) >= threshold)

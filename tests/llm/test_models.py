@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgraph.llm import gbt, langid, ppm, quality, registry, toxicity
@@ -49,6 +50,27 @@ def test_classifiers_on_odd_rows(spark, odd, none, labels, module, target):
         assert kept.columns == odd.columns and kept.count() == odd.count() and quality.keep(none, model).isEmpty()
 
 
+def test_quality_features_against_brute_force():
+    """The statistics of each text, from their names alone."""
+    texts = ["Hello, World 12!\n\nthe the cat | x\nthe the cat | x", "", None, "  \n ", "Ünï a a a", "one"]
+    got = quality.features(pa.array(texts))
+    for t, row in zip(texts, got):
+        b = (t or "").encode()
+        w, lines, x = b.split(), [s for s in b.split(b"\n") if s], dict(zip(quality.FEATURES, row))
+        share = lambda chars: sum(c in chars for c in b) / max(1, len(b))  # noqa: E731, B023
+        assert x["log_bytes"] == pytest.approx(math.log1p(len(b))) and x["log_words"] == pytest.approx(math.log1p(len(w)))
+        assert x["upper"] == pytest.approx(share(range(65, 91))) and x["digit"] == pytest.approx(share(b"0123456789")) and x["newline"] == pytest.approx(share(b"\n"))
+        assert x["bar"] == pytest.approx(share(b"|")) and x["punct"] == pytest.approx(share(b".,;:?'\"()-")) and x["non_ascii"] == pytest.approx(share(range(192, 256)))
+        if w:
+            top = [n for _, n in Counter(w).most_common(3)]
+            assert x["word_bytes"] == pytest.approx(sum(map(len, w)) / len(w)) and x["distinct_words"] == pytest.approx(len(set(w)) / len(w))
+            assert x["top_word"] == pytest.approx(top[0] / len(w)) and x["top3_words"] == pytest.approx(sum(top) / len(w)) and x["longest_word"] == max(map(len, w))
+            assert x["distinct_lines"] == pytest.approx(len(set(lines)) / max(1, len(lines))) and x["line_bytes"] == pytest.approx(math.log1p(len(b) / max(1, len(lines))))
+            assert x["distinct_pairs"] == pytest.approx(len(set(zip(w, w[1:]))) / max(1, len(w) - 1)) and x["same_next"] == pytest.approx(sum(a == c for a, c in zip(w, w[1:])) / len(w))
+        else:
+            assert x["distinct_words"] == x["top_word"] == x["word_bytes"] == 0
+
+
 def naive_ngrams(text):
     """Distinct n-grams of the lower-cased text, runs of what is no letter as one space."""
     c = []
@@ -109,6 +131,38 @@ def test_language_on_odd_rows(spark, odd, none):
     assert langid.predict(none, langid.fit(odd)).isEmpty()
 
 
+def test_naive_bayes_against_brute_force(spark):
+    """Every score from n-grams counted one by one, with the priors of all documents of a language."""
+    rng = np.random.default_rng(4)
+    vocab = {"aa": ["kato", "miru", "Saké", "tama"], "bb": ["strolz", "ngrat", "wurp", "tama"], "cc": ["éluo", "iaéa", "ouie"]}
+    rows = [(i, " ".join(rng.choice(vocab[k], 4)) + "!", k) for i, k in enumerate(rng.choice(["aa", "aa", "bb", "cc"], 120).tolist())] + [(120, "kato wurp", None), (121, "12 34", "aa"), (122, None, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(t):
+        c = "".join(x if x.isalpha() else " " for x in (t or "").lower())
+        out = Counter()
+        for n in langid.ORDERS:
+            for i in range(len(c) - n + 1):
+                b, _, _ = langid.buckets([c[i : i + n]])
+                out[int(b[-1])] += 1
+        return out
+
+    train = [(t, k) for i, t, k in rows if k and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    counts, n = {k: Counter() for k in vocab}, Counter(k for _, k in train)
+    for t, k in train:
+        counts[k] += grams(t)
+    size = {k: sum(c.values()) + langid.SMOOTHING * (1 << langid.BITS) for k, c in counts.items()}
+    for r in langid.predict(docs, langid.fit(docs)).collect():
+        text = rows[r["doc_id"]][1]
+        if not any(x.isalpha() for x in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        g = grams(text)
+        log = {k: math.log(n[k] / len(train)) + sum(m * math.log((counts[k][b] + langid.SMOOTHING) / size[k]) for b, m in g.items()) for k in vocab}
+        best = max(log, key=log.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(math.exp(v - log[best]) for v in log.values()), rel=1e-3)
+
+
 def naive_ppm(train, text, order=ppm.ORDER):
     """Code length in log10 with escapes by d / (n + d) and exclusion, from counts of every context."""
     follow = {}
