@@ -2,6 +2,14 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases, of each stage: an empty table gives an empty one with the same columns. A null or empty
+text is scored like any other by the quality filter, is in no class of copies, loses nothing, and holds
+no benchmark passage. Rows of a null id have no class, neither lose nor cost anything in the suffix-array
+stage, and are judged by their own text elsewhere. Repeated rows of one id are judged row by row, but
+go together as copies. Columns beside doc_id, text and source pass through whatever their names; n_chars
+follows the text that is cut. A document of which the suffix-array stage leaves nothing stays, with the
+empty text.
 """
 
 from __future__ import annotations
