@@ -18,7 +18,7 @@ def _state(e: DataFrame) -> tuple:
 def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
     """edges (u, v) with m of their u; the edges of one u are dealt to SALT tasks, as a star has all of them."""
     salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(salted.hint("merge"), ["u", "salt"]).drop("salt")  # repeated rows look small when compressed, so no broadcast
 
 
 def components(edges: DataFrame) -> DataFrame:
