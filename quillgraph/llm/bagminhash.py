@@ -43,7 +43,7 @@ TILE = 32
 #: Steps of similarity to the hub that tiles are kept apart by.
 STEP = 0.05
 #: Tiles of a hub that meet in one task, on either side; a larger group is dealt to a grid of tasks.
-GRID = 16
+GRID = 64
 _STEP = 4 << 20
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(e: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then each v is the root of its u."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("root")), F.struct(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("root")))).alias("s")).select("s.*")
+    per = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("root").alias("root"))
+    return not per.agg(F.count_if((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("root") == 1)))).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,12 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     all edges of which have one key.
     """
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while (now := _state(e)) != before:
-        before = now
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = materialize(large)
         lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
