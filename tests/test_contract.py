@@ -10,7 +10,6 @@ import pytest
 from quillgraph.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"k10_import_stats"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def plain(df):
     return sorted(repr([cell(v) for v in r]) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     sql = registry.oracle_sql().get(name)
