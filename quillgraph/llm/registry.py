@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontam, langid, licenses, mixing, mpegts, ppm, quality, resampling, suffix_dedup, toxicity
+from . import bagminhash, clustering, decontam, langid, licenses, mixing, mpegts, ppm, quality, resampling, suffix_dedup, toxicity
 from .common import fold, table, tune
 
 
@@ -76,9 +76,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return clustering.cluster(table(spark, sf_dir, "embeddings")).assigned().withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL}
+    return {"op3_source_mixing": mixing.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op13_centroid_clustering": clustering.ORACLE_SQL}
