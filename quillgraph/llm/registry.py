@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, clustering, decontam, langid, licenses, mixing, mpegts, ppm, quality, resampling, suffix_dedup, toxicity
+from . import bagminhash, clustering, decontam, langid, licenses, maxproduct, mixing, mpegts, ppm, quality, resampling, suffix_dedup, toxicity
 from .common import fold, table, tune
 
 
@@ -76,6 +76,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return maxproduct.search(table(spark, sf_dir, "embeddings"), F.col("id") % maxproduct.EVERY == 0)
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return clustering.cluster(table(spark, sf_dir, "embeddings")).assigned().withColumnRenamed("id", "vec_id")
@@ -86,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op13_centroid_clustering": clustering.ORACLE_SQL}
+    return {"op3_source_mixing": mixing.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op12_exact_topk_search": maxproduct.ORACLE_SQL, "op13_centroid_clustering": clustering.ORACLE_SQL}
