@@ -122,12 +122,12 @@ class Clustering:
         return self.blocks.select("d", "wide", "ids", "x").mapInArrow(apply, "id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
 
 
-def first_centroids(rows: DataFrame, k: int, factor: int, seed: int) -> np.ndarray:
+def first_centroids(rows: DataFrame, k: int, dims: int, factor: int, seed: int) -> np.ndarray:
     """The k vectors whose id has the smallest hash."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary"), 256)
     first = rows.select(key.alias("key"), "vector").orderBy("key", "vector").limit(k)  # k rows, held in memory
     found = [[B._wide_floor(x, factor) for x in r["vector"]] for r in first.collect()]
-    out = np.array(found, object).reshape(len(found), -1)
+    out = np.array(found, object).reshape(len(found), dims)
     return out if B.largest(out) >= 2**31 else out.astype(np.int64)
 
 
@@ -135,7 +135,7 @@ def cluster(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", k:
     """The vectors of df that have `dims` components, times factor and rounded down, in k clusters after the given rounds."""
     rows = B.kept(df, ident, vector).where(F.size("vector") == dims)
     blocks = materialize(B.pack(B.integers(rows, factor)))
-    c = first_centroids(rows, k, factor, seed)
+    c = first_centroids(rows, k, dims, factor, seed)
     if not len(c):
         return Clustering(blocks, c, [], [])
     for _ in range(rounds):
