@@ -103,7 +103,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     w = docs.select("doc_id", words(F.col("text")).alias("w"))
     made = w.select("doc_id", F.size("w").cast("long").alias("n_words"), features(F.col("w"), buckets).cast("array<smallint>" if buckets <= 1 << 15 else "array<int>").alias("buckets"))
     featured = materialize(made.withColumn("row", F.monotonically_increasing_id()))
-    wanted = target.select(words(F.col("text")).alias("w")).select(features(F.col("w"), buckets).alias("buckets"))
+    # Written too: else Spark would push a test for empty arrays below the words, which are then split anew for each of them.
+    wanted = materialize(target.select(words(F.col("text")).alias("w")).select(features(F.col("w"), buckets).alias("buckets")))
     table = F.broadcast(gains(featured, wanted, buckets))  # `buckets` rows
     each = featured.select("row", "doc_id", "n_words", F.size("buckets").cast("long").alias("n_features"), F.explode_outer("buckets").alias("bucket"))
     summed = each.join(table, "bucket", "left").groupBy("row", "doc_id", "n_words", "n_features").agg(F.coalesce(F.sum("gain"), F.lit(0)).alias("weight"))
