@@ -96,10 +96,11 @@ def unique_identifier(a: Column, b: Column) -> Column:
     return S.any_of([_false((S.alnum_upper(_get(a, k)) == S.alnum_upper(_get(b, k))) & (S.alnum_upper(_get(a, k)) != "")) for k in UNIQUE_FIELDS])
 
 
-def prepare(props: Column) -> Column:
+def prepare(props: Column, label: Column | None = None) -> Column:
     """The properties with what the rules derive from them, so that it is worked out once for each node and not for each pair."""
-    derived = F.create_map(F.lit("~brand"), _brand(props), F.lit("~model"), _model(props), F.lit("~full_name"), _full_name(props))
-    return F.map_concat(props, derived)
+    own = F.coalesce(props, F.create_map().cast("map<string,string>"))
+    derived = [F.lit("~brand"), _brand(own), F.lit("~model"), _model(own), F.lit("~full_name"), _full_name(own)]
+    return F.map_concat(own, F.create_map(*derived, *([] if label is None else [F.lit("~label"), label])))
 
 
 def _or_prepared(key: str, derive: Callable[[Column], Column]) -> Callable[[Column], Column]:

@@ -20,13 +20,43 @@ def merge_maps(old: Column, new: Column) -> Column:
 # ---- Nodes: id, label, name, props ----------------------------------------------------------------
 
 
+def folded(batch: DataFrame, key: list[str], *single: str) -> DataFrame:
+    """One row for each key of a batch: of each property, and of each single column, the last value that is given.
+
+    The order is that of the column `at`, if there is one, and then of the values themselves; nulls
+    give nothing, but a property that is null in all rows stays null. Properties are counted one by
+    one before the shuffle, so a key that has many rows of the batch is no group in one task.
+    """
+    at = F.col("at") if "at" in batch.columns else F.lit(0)
+    rows = batch.select(*key, *single, at.alias("at"), "props")
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("at", c))).alias(c) for c in single]
+    heads = rows.groupBy(*key).agg(*last, F.max(F.col("props").isNotNull()).alias("has"))
+    each = rows.select(*key, "at", F.explode("props").alias("k", "v"))
+    each = each.groupBy(*key, "k").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.struct("at", "v"))).alias("v"))
+    maps = each.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))  # a row has these properties
+    out = heads.join(maps, key, "left")
+    none = F.create_map().cast("map<string,string>")
+    return out.select(*key, *single, F.coalesce("props", F.when(F.col("has"), none)).alias("props"))
+
+
 def upsert_nodes(nodes: DataFrame, batch: DataFrame) -> DataFrame:
-    """Insert by id, or update: new properties win, others stay. A batch with an id twice counts in order of name."""
-    b = batch.groupBy("id").agg(F.max(F.struct("name", "label")).alias("x"), F.max_by("props", F.coalesce("name", F.lit(""))).alias("p")).select("id", F.col("x.label").alias("l"), F.col("x.name").alias("m"), "p")
+    """Insert by id, or update: new properties win, others stay. An id that a batch has twice is folded first; a null id is left out."""
+    b = folded(batch.where("id is not null"), ["id"], "label", "name").withColumnsRenamed({"label": "l", "name": "m", "props": "p"})
     j = nodes.join(b, "id", "full_outer")
     return j.select("id", F.coalesce("l", "label").alias("label"), F.coalesce("m", "name").alias("name"), merge_maps(F.col("props"), F.col("p")).alias("props"))
 
 
+def upsert_by_key(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """key, k, props, created of objects (key, k: a sortable id, props) after a batch is upserted by the unique key.
+
+    An object of the batch goes into the stored one of its key: new properties win, the lowest stored id stays.
+    A key that is not stored is made under the lowest id of the batch. Rows of one key are folded on both sides; null keys are left out.
+    """
+    old, new = (folded(df.where("key is not null"), ["key"]).join(df.groupBy("key").agg(F.min("k").alias("k")), "key") for df in (stored, batch))
+    j = old.join(new.withColumnsRenamed({"k": "k_new", "props": "p_new"}), "key", "full_outer")
+    return j.select("key", F.coalesce("k", "k_new").alias("k"), merge_maps(F.col("props"), F.col("p_new")).alias("props"), F.col("k").isNull().alias("created"))
+
+
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the nodes of gone (id) and every edge at them."""
     left = edges
@@ -41,14 +71,17 @@ EDGE = ["src", "dst", "type"]
 
 
 def merge_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
-    """One edge for each (src, dst, type); properties of the batch win."""
-    b = batch.groupBy(*EDGE).agg(F.first("props").alias("p"))
+    """One edge for each (src, dst, type); properties of the batch win, folded where it has an edge twice."""
+    b = folded(batch, EDGE).withColumnRenamed("props", "p")
     return edges.join(b, EDGE, "full_outer").select(*EDGE, merge_maps(F.col("props"), F.col("p")).alias("props"))
 
 
 def insert_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
-    """New edges only; one that exists keeps its properties."""
-    return edges.unionByName(batch.dropDuplicates(EDGE).join(edges.select(*EDGE), EDGE, "left_anti").select(*edges.columns))
+    """New edges only; one that exists keeps its properties, and one that the batch has twice the first (by `at`, then as text)."""
+    at = F.col("at") if "at" in batch.columns else F.lit(0)
+    text = F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("props")))), F.lit(""))
+    first = batch.groupBy(*EDGE).agg(F.min_by("props", F.struct(at, text)).alias("props"))
+    return edges.unionByName(first.join(edges.select(*EDGE), EDGE, "left_anti").select(*edges.columns))
 
 
 def insert_stats(edges: DataFrame, batch: DataFrame) -> DataFrame:
@@ -87,19 +120,32 @@ def follow(merges: DataFrame) -> DataFrame:
 def merge_into(entities: DataFrame, statements: DataFrame, merges: DataFrame, followed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities, statements and audit rows after merges (source_id, target_id).
 
-    Statements move to the target and references follow. Of statements that are then alike (null-safe)
-    the one with the highest confidence stays, of equal ones the lowest id. Sources get the status merged.
+    A source's statement moves to the target, unless the target has an equal one (null-safe, with references as
+    they were before the merges): then it is folded into that, which keeps its id and takes the higher
+    confidence. Equal ones that move together are folded into the one of the lowest id. References to a source
+    follow it to the target. Nothing else changes: equal statements that an entity had itself stay, of a
+    target too. Sources get the status merged; the audit counts the statements that moved, not those that were folded.
     followed: the merges have no chains, so that no id map has to be followed.
     """
-    ids = merges if followed else follow(merges)
+    ids = cut(merges if followed else follow(merges))
     subject, other = ids.select(F.col("source_id").alias("entity_id"), F.col("target_id").alias("s_to")), ids.select(F.col("source_id").alias("object_entity_id"), F.col("target_id").alias("o_to"))
-    moved = statements.join(subject, "entity_id", "left").join(other, "object_entity_id", "left")
-    moved = moved.withColumn("touched", F.col("s_to").isNotNull()).withColumn("entity_id", F.coalesce("s_to", "entity_id")).withColumn("object_entity_id", F.coalesce("o_to", "object_entity_id"))
-    best = moved.groupBy(*STATEMENT_KEY).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "id", "text", "content_id")).alias("x"))
-    after = best.select(F.col("x.id").alias("id"), *STATEMENT_KEY, (-F.col("x.c")).alias("confidence"), F.col("x.text").alias("text"), F.col("x.content_id").alias("content_id"))
+    # The columns that a statement keeps when it moves; the rest is its key.
+    own = [c for c in statements.columns if c not in STATEMENT_KEY]
+    marked = statements.join(subject, "entity_id", "left").withColumn("moves", F.col("s_to").isNotNull())
+    stay = marked.where("not moves").select(*statements.columns)
+    goal = ids.select(F.col("target_id").alias("entity_id")).distinct()
+    met = marked.where("moves").withColumn("from", F.col("entity_id")).withColumn("entity_id", F.col("s_to")).unionByName(stay.join(goal, "entity_id", "left_semi").withColumn("moves", F.lit(False)), allowMissingColumns=True)
+    row = F.struct("moves", *[F.col(c) for c in ["id", "from", *[c for c in own if c != "id"]]])
+    kept = met.groupBy(*STATEMENT_KEY).agg(F.min_by(row, F.struct("moves", "id")).alias("k"), F.max(F.when(F.col("moves"), F.col("confidence"))).alias("most"), F.count_if("moves").alias("n")).where("n > 0")
+    kept = cut(kept.select(*[c for c in STATEMENT_KEY], "k.*", "most"))
+    raised = kept.where("not moves").select("id", "most")
+    stay = stay.join(raised, "id", "left").withColumn("confidence", F.greatest("confidence", "most")).select(*statements.columns)
+    moved = kept.where("moves").withColumn("confidence", F.greatest("confidence", "most"))
+    after = stay.unionByName(moved.select(*statements.columns)).join(other, "object_entity_id", "left")
+    after = after.withColumn("object_entity_id", F.coalesce("o_to", "object_entity_id")).select(*statements.columns)
     state = entities.join(ids.select(F.col("source_id").alias("id"), F.lit("merged").alias("to")), "id", "left")
     state = state.withColumn("verification_status", F.coalesce("to", "verification_status")).select(*entities.columns)
-    audit = ids.join(statements.groupBy(F.col("entity_id").alias("source_id")).agg(F.count(F.lit(1)).alias("n")), "source_id", "left")
+    audit = ids.join(moved.groupBy(F.col("from").alias("source_id")).agg(F.count(F.lit(1)).alias("n")), "source_id", "left")
     return state, after, audit.select("source_id", "target_id", F.coalesce("n", F.lit(0)).alias("transferred"))
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillgraph.functions import vector as V
+from quillgraph.lineage import scratch
 from quillgraph.operators import state as X
+from quillgraph.snapshots import Conflict, Store
 from quillgraph.sources import tables as T
 
 from .registry import query, with_views
@@ -15,40 +18,96 @@ ES, ND = with_views("entities", "statements"), with_views("nodes", "edges")
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Part nodes below key 150, and a batch over keys from 100 with a changed brand."""
+    """Two thirds of the part nodes, and a batch that has every second part twice, with other properties."""
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
     n = T.nodes(spark, d).where("label = 'Part'")
-    batch = n.where(k >= 100).withColumn("props", F.create_map(F.lit("p_brand"), F.lit("New"), F.lit("seen"), F.lit("yes")))
-    return n.where(k < 150), batch
+    half = n.where(k % 2 == 0)
+    lit = lambda *x: F.create_map(*[F.lit(v) for v in x])
+    one = half.withColumn("props", lit("p_brand", "New", "seen", "a"))
+    two = half.withColumn("props", F.create_map(F.lit("seen"), F.lit("b"), F.lit("more"), k.cast("string"))).withColumn("name", F.lit(None).cast("string"))
+    return n.where(k % 3 != 0), one.unionByName(two)
 
 
-@query("b9_create_nodes", "SELECT 'Part_' || p_partkey AS id, p_name AS name FROM part WHERE p_partkey >= 150 UNION ALL SELECT 'Part_' || p_partkey, p_name FROM part WHERE p_partkey < 150")
+@query("b9_create_nodes", "SELECT 'Part_' || p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0")
 def b9(spark: SparkSession, d: str) -> DataFrame:
     old, new = _parts(spark, d)
-    return old.unionByName(new.join(old.select("id"), "id", "left_anti").select(*old.columns)).select("id", "name")
+    made = X.upsert_nodes(old.limit(0), new)
+    return old.unionByName(made.join(old.select("id"), "id", "left_anti").select(*old.columns)).select("id", "name")
 
 
-@query("b10_update_props", "SELECT 'Part_' || p_partkey AS id, 'New' AS brand, p_type AS type, 'yes' AS seen FROM part WHERE p_partkey BETWEEN 100 AND 149")
+@query("b10_update_props", "SELECT 'Part_' || p_partkey AS id, 'New' AS brand, p_type AS type, 'b' AS seen, p_partkey::VARCHAR AS more FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 2 = 0")
 def b10(spark: SparkSession, d: str) -> DataFrame:
     old, new = _parts(spark, d)
-    j = old.join(new.select("id", F.col("props").alias("p")), "id")
-    m = X.merge_maps(F.col("props"), F.col("p"))
-    return j.select("id", m["p_brand"].alias("brand"), m["p_type"].alias("type"), m["seen"].alias("seen"))
+    m = F.col("props")
+    after = X.upsert_nodes(old, new.join(old.select("id"), "id", "left_semi")).join(new.select("id").distinct(), "id", "left_semi")
+    return after.select("id", m["p_brand"].alias("brand"), m["p_type"].alias("type"), m["seen"].alias("seen"), m["more"].alias("more"))
 
 
-@query("b11_upsert_nodes", "SELECT 'Part_' || p_partkey AS id, CASE WHEN p_partkey >= 100 THEN 'New' ELSE p_brand END AS brand, CASE WHEN p_partkey < 150 THEN p_type END AS type FROM part")
+_UPSERTED = "SELECT 'Part_' || p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'New' ELSE p_brand END AS brand, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS type, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS more FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0"
+
+
+@query("b11_upsert_nodes", _UPSERTED)
 def b11(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("props")
-    return X.upsert_nodes(*_parts(spark, d)).select("id", p["p_brand"].alias("brand"), p["p_type"].alias("type"))
+    return X.upsert_nodes(*_parts(spark, d)).select("id", "name", p["p_brand"].alias("brand"), p["p_type"].alias("type"), p["more"].alias("more"))
+
+
+@query("b11_upsert_versions", _UPSERTED)
+def b11b(spark: SparkSession, d: str) -> DataFrame:
+    """The same through versioned buckets: the nodes as version 0, the batch as version 1."""
+    old, new = _parts(spark, d)
+    store = Store(spark, scratch(spark))
+    for batch in (old, new):
+        tx = store.begin()
+        tx.create("nodes", StructType.fromDDL("id string, label string, name string, props map<string,string>"), ["id"])
+        tx.change("nodes", batch, X.upsert_nodes)
+        tx.commit()
+    p = F.col("props")
+    return store.read("nodes").select("id", "name", p["p_brand"].alias("brand"), p["p_type"].alias("type"), p["more"].alias("more"))
+
+
+@query("a15_transactions", "SELECT 'Part_' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'first' ELSE p_name END AS name, 1::BIGINT AS version, 'conflict' AS second, 0::BIGINT AS rolled_back FROM part")
+def a15(spark: SparkSession, d: str) -> DataFrame:
+    """Three transactions over all parts: one that renames every second part commits, one that began beside it and changes every third loses, one is rolled back."""
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    n = T.nodes(spark, d).where("label = 'Part'")
+    store = Store(spark, scratch(spark))
+    load = store.begin()
+    load.create("nodes", StructType.fromDDL("id string, label string, name string, props map<string,string>"), ["id"])
+    load.change("nodes", n, X.upsert_nodes)
+    load.commit()
+    first, second, third = store.begin(), store.begin(), store.begin()
+    first.change("nodes", n.where(k % 2 == 0).withColumn("name", F.lit("first")), X.upsert_nodes)
+    second.change("nodes", n.where(k % 3 == 0).withColumn("name", F.lit("second")), X.upsert_nodes)
+    third.change("nodes", n.withColumn("name", F.lit("third")), X.upsert_nodes)
+    third.rollback()
+    version = first.commit()
+    try:
+        second.commit()
+        said = "committed"
+    except Conflict:
+        said = "conflict"
+    seen = F.coalesce((F.col("name") == "third").cast("long"), F.lit(0))
+    return store.read("nodes").select("id", "name", F.lit(version).cast("long").alias("version"), F.lit(said).alias("second"), seen.alias("rolled_back"))
 
 
-@query("b12_upsert_by_unique_key", "SELECT p_name AS key, count(*) FILTER (WHERE p_partkey < 150) AS n_old, count(*) FILTER (WHERE p_partkey >= 100) AS n_new FROM part GROUP BY 1")
+@query(
+    "b12_upsert_by_unique_key",
+    """WITH base AS (SELECT p_name AS key, min(p_partkey) FILTER (WHERE p_partkey % 3 <> 0) AS old_id, max(p_brand) FILTER (WHERE p_partkey % 3 <> 0 AND p_partkey % 2 = 1) AS b1,
+      max(p_type) FILTER (WHERE p_partkey % 2 = 0) AS t2, min(p_partkey) FILTER (WHERE p_partkey % 2 = 0) AS new_id, max(p_brand) FILTER (WHERE p_partkey % 3 <> 0) AS b_old FROM part GROUP BY 1)
+    SELECT key, 'Part_' || coalesce(old_id, new_id) AS id, old_id IS NULL AS created, b_old AS brand, t2 AS type FROM base WHERE old_id IS NOT NULL OR new_id IS NOT NULL""",
+)
 def b12(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of the batch go into the stored one of the same unique key (for parts their name), which keeps its id; others are made under their lowest id."""
     from .relational import unique_key
 
-    old, new = (df.groupBy(unique_key(F.col("label"), F.col("name"), F.col("props")).alias("key")).agg(F.count(F.lit(1)).alias("n")) for df in _parts(spark, d))
-    j = old.withColumnRenamed("n", "n_old").join(new.withColumnRenamed("n", "n_new"), "key", "full_outer")
-    return j.select("key", F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    n = T.nodes(spark, d).where("label = 'Part'").withColumn("key", unique_key(F.col("label"), F.col("name"), F.col("props"))).withColumn("k", k)
+    old = n.where(k % 3 != 0).withColumn("props", F.map_filter("props", lambda p, _: p == "p_brand"))
+    new = n.where(k % 2 == 0).withColumn("props", F.map_filter("props", lambda p, _: p == "p_type"))
+    after = X.upsert_by_key(old, new)
+    p = F.col("props")
+    return after.select("key", F.concat(F.lit("Part_"), "k").alias("id"), "created", p["p_brand"].alias("brand"), p["p_type"].alias("type"))
 
 
 @query("b13_detach_delete", ND + "SELECT src, dst, type FROM edges WHERE src NOT IN ('Nation_1', 'Nation_2') AND dst NOT IN ('Nation_1', 'Nation_2')")
@@ -63,23 +122,24 @@ def b14(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Customers' edges with a property, and a batch of customers' and suppliers' edges, each twice."""
+    """Customers' edges with a property, and a batch of customers' and suppliers' edges, each twice with other properties."""
     e = T.edges(spark, d).where("type = 'LOCATED_IN'")
     old = e.where("src like 'Customer%'").withColumn("props", F.create_map(F.lit("w"), F.lit("1")))
-    new = e.withColumn("props", F.create_map(F.lit("v"), F.lit("2")))
-    return old, new.unionByName(new)
+    one, two = e.withColumn("props", F.create_map(F.lit("v"), F.lit("2"))), e.withColumn("props", F.create_map(F.lit("v"), F.lit("3"), F.lit("u"), F.col("dst")))
+    return old, one.unionByName(two)
 
 
-@query("b15_merge_edges", ND + "SELECT src, dst, CASE WHEN src LIKE 'Customer%' THEN '1' END AS w, '2' AS v FROM edges WHERE type = 'LOCATED_IN'")
+@query("b15_merge_edges", ND + "SELECT src, dst, CASE WHEN src LIKE 'Customer%' THEN '1' END AS w, '3' AS v, dst AS u FROM edges WHERE type = 'LOCATED_IN'")
 def b15(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("props")
-    return X.merge_edges(*_edges(spark, d)).select("src", "dst", p["w"].alias("w"), p["v"].alias("v"))
+    return X.merge_edges(*_edges(spark, d)).select("src", "dst", p["w"].alias("w"), p["v"].alias("v"), p["u"].alias("u"))
 
 
-@query("b16_insert_if_absent", ND + "SELECT src, dst, CASE WHEN src LIKE 'Customer%' THEN '1' END AS w, CASE WHEN src NOT LIKE 'Customer%' THEN '2' END AS v FROM edges WHERE type = 'LOCATED_IN'")
+@query("b16_insert_if_absent", ND + "SELECT src, dst, CASE WHEN src LIKE 'Customer%' THEN '1' END AS w, CASE WHEN src NOT LIKE 'Customer%' THEN '3' END AS v, CASE WHEN src NOT LIKE 'Customer%' THEN dst END AS u FROM edges WHERE type = 'LOCATED_IN'")
 def b16(spark: SparkSession, d: str) -> DataFrame:
+    """Of an edge that the batch has twice the first as text ({"u": ...} before {"v": ...}) is inserted, with its properties only."""
     p = F.col("props")
-    return X.insert_edges(*_edges(spark, d)).select("src", "dst", p["w"].alias("w"), p["v"].alias("v"))
+    return X.insert_edges(*_edges(spark, d)).select("src", "dst", p["w"].alias("w"), p["v"].alias("v"), p["u"].alias("u"))
 
 
 @query("b17_add_reference", ND + "SELECT src, dst, type FROM edges WHERE type = 'PART_OF'")
@@ -104,18 +164,34 @@ def _merges(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") - 1).alias("target_id"))
 
 
-_MOVED = """moved AS (SELECT id, CASE WHEN entity_id % 10 = 7 AND entity_id < 1000000000 THEN entity_id - 1 ELSE entity_id END AS entity_id, predicate, object, object_type, object_entity_id, confidence FROM statements)"""
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """All statements, and of every customer that it knows the next one: twice for some, once with more confidence."""
+    c = T.table(spark, d, "customer").withColumn("again", F.explode(F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    k = F.col("c_custkey")
+    confidence = F.when(F.col("again") == 1, F.lit(0.95)).otherwise((k % 90) / 100)
+    knows = c.select((F.lit(10_000_000_000) + k * 2 + F.col("again")).alias("id"), k.alias("entity_id"), (k - k % 10 + 17).alias("object_entity_id"), F.lit("knows").alias("predicate"), F.lit(None).cast("string").alias("object"), F.lit("entity").alias("object_type"), confidence.alias("confidence"), F.lit("knows").alias("text"), (k % 1000).alias("content_id"))
+    return T.statements(spark, d).unionByName(knows)
+
+
+_LINKED = """linked AS (SELECT id, entity_id, object_entity_id, predicate, object, object_type, confidence FROM statements
+  UNION ALL SELECT 10000000000 + c_custkey * 2 + again, c_custkey, c_custkey - c_custkey % 10 + 17, 'knows', NULL, 'entity', CASE WHEN again = 1 THEN 0.95 ELSE c_custkey % 90 / 100 END FROM customer, (VALUES (0), (1)) v(again) WHERE again = 0 OR c_custkey % 3 = 0),
+ goals AS (SELECT c_custkey AS source_id, c_custkey - 1 AS target_id FROM customer WHERE c_custkey % 10 = 7),
+ touched AS (SELECT l.*, source_id, coalesce(target_id, entity_id) AS owner FROM linked l LEFT JOIN goals ON source_id = entity_id WHERE source_id IS NOT NULL OR entity_id IN (SELECT target_id FROM goals)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY owner, predicate, object, object_type, object_entity_id ORDER BY source_id IS NOT NULL, id) AS r,
+   max(confidence) FILTER (WHERE source_id IS NOT NULL) OVER (PARTITION BY owner, predicate, object, object_type, object_entity_id) AS most FROM touched),
+ merged AS (SELECT id, owner AS entity_id, predicate, object, object_type, object_entity_id, CASE WHEN r = 1 THEN greatest(confidence, coalesce(most, confidence)) ELSE confidence END AS confidence, source_id FROM ranked WHERE r = 1 OR source_id IS NULL
+   UNION ALL SELECT id, entity_id, predicate, object, object_type, object_entity_id, confidence, NULL FROM linked WHERE id NOT IN (SELECT id FROM touched))"""
 
 
-@query("j5_merge_into", with_views("statements", also=_MOVED) + "SELECT entity_id, predicate, object, object_type, object_entity_id, max(confidence) AS confidence FROM moved GROUP BY 1, 2, 3, 4, 5")
+@query("j5_merge_into", with_views("statements", also=_LINKED) + "SELECT id, entity_id, predicate, object, object_type, coalesce(target_id, object_entity_id) AS object_entity_id, confidence FROM merged LEFT JOIN goals ON goals.source_id = object_entity_id")
 def j5(spark: SparkSession, d: str) -> DataFrame:
-    after = X.merge_into(T.entities(spark, d), T.statements(spark, d), _merges(spark, d), followed=True)[1]
-    return after.select(*X.STATEMENT_KEY, "confidence")
+    after = X.merge_into(T.entities(spark, d), _linked(spark, d), _merges(spark, d), followed=True)[1]
+    return after.select("id", *X.STATEMENT_KEY, "confidence")
 
 
-@query("j5_merge_audit", with_views("statements") + "SELECT c_custkey AS source_id, c_custkey - 1 AS target_id, count(s.id) AS transferred FROM customer LEFT JOIN statements s ON s.entity_id = c_custkey WHERE c_custkey % 10 = 7 GROUP BY 1, 2")
+@query("j5_merge_audit", with_views("statements", also=_LINKED) + "SELECT goals.source_id, goals.target_id, count(m.id) AS transferred FROM goals LEFT JOIN merged m ON m.source_id = goals.source_id GROUP BY 1, 2")
 def j5b(spark: SparkSession, d: str) -> DataFrame:
-    return X.merge_into(T.entities(spark, d), T.statements(spark, d), _merges(spark, d), followed=True)[2]
+    return X.merge_into(T.entities(spark, d), _linked(spark, d), _merges(spark, d), followed=True)[2]
 
 
 @query("j5_merge_chain", "SELECT c_custkey AS source_id, c_custkey - c_custkey % 50 AS target_id FROM customer WHERE c_custkey % 50 <> 0")

@@ -1,8 +1,8 @@
-"""Streaming ingestion: batches of a file source embedded, resolved by id and merged into snapshots.
+"""Streaming ingestion: batches of a file source embedded, resolved by id and merged into versions of a table.
 
-An extension: idempotent, as a batch is merged by key; a replayed batch changes nothing. Snapshots are
-Parquet folders named by the batch, and a pointer file names the current one, so a failure between the
-two leaves the last snapshot in force.
+An extension: idempotent, as a batch is merged by key and notes its number in the version that it makes; a
+replayed batch changes nothing. Only the buckets that a batch falls in are written (`snapshots`), and
+a version counts once its manifest is there: whatever a failure leaves behind, the last version stays in force.
 """
 
 from __future__ import annotations
@@ -14,25 +14,28 @@ from pyspark.sql.types import StructType
 
 from quillgraph.functions.vector import mock_embedding
 from quillgraph.operators import state
+from quillgraph.snapshots import Store
 
 NODE = "id string, label string, name string, props map<string,string>"
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The snapshot in force; empty before the first batch."""
-    try:
-        name = spark.read.text(f"{folder}/current").first()["value"]
-    except Exception as e:  # there is no pointer yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], NODE)
-    return spark.read.schema(NODE).parquet(f"{folder}/{name}")
+def current(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The nodes of the newest version, or of a given one; empty before the first batch."""
+    store = Store(spark, folder)
+    m = store.manifest(version)
+    return store.read("nodes", version) if "nodes" in m.tables else spark.createDataFrame([], NODE)
 
 
 def commit(batch: DataFrame, number: int, folder: str) -> None:
+    """Merge a batch, unless a version says that it was."""
     spark = batch.sparkSession
-    state.upsert_nodes(current(spark, folder), batch.select("id", "label", "name", "props")).write.mode("overwrite").parquet(f"{folder}/snapshot_{number}")
-    spark.createDataFrame([(f"snapshot_{number}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    tx = Store(spark, folder).begin()
+    if tx.tags.get("batch", -1) >= number:
+        return
+    tx.create("nodes", StructType.fromDDL(NODE), ["id"])
+    tx.change("nodes", batch.select("id", "label", "name", "props").where("id is not null"), state.upsert_nodes)
+    tx.tag("batch", number)
+    tx.commit()
 
 
 def ingest(spark: SparkSession, source: str, folder: str, schema: StructType | str, to_nodes, **trigger) -> StreamingQuery:

@@ -56,13 +56,23 @@ def test_merges(spark):
     state_after, after, audit = state.merge_into(ent, st, merges)
     assert rows(after.select("entity_id", "predicate", "object_entity_id", "confidence")) == [(3, "p", None, 0.9), (3, "q", 3, 0.4), (4, "r", 3, 0.2)]
     assert rows(state_after.select("id", "verification_status")) == [(1, "merged"), (2, "merged"), (3, "pending"), (4, "pending")]
-    assert rows(audit) == [(1, 3, 1), (2, 3, 3)]
+    assert rows(audit) == [(1, 3, 1), (2, 3, 1)]  # moved ones only: two were folded
     again = state.merge_into(state_after, after, merges)[1]
     assert rows(again.select("entity_id", "predicate", "confidence")) == rows(after.select("entity_id", "predicate", "confidence"))
     renamed, both = state.merge_copy(ent, st, spark.createDataFrame([(1, 3)], "source_id long, target_id long"))
     assert renamed.where("id = 1").first()["name"] == "e1 (merged into e3)" and both.count() == 6
 
 
+def test_merges_leave_equal_statements_of_others_alone(spark):
+    ent = spark.createDataFrame([(k, f"e{k}", "pending") for k in range(1, 5)], "id long, name string, verification_status string")
+    same = [(10, 3, 0.1), (11, 3, 0.2), (12, 2, 0.3), (13, 2, 0.2), (14, 1, 0.9), (15, 1, 0.4)]
+    st = spark.createDataFrame([(i, e, "p", "x", "literal", None, c, f"t{i}", 0) for i, e, c in same] + [(16, 1, "q", None, "entity", 1, 0.5, "t16", 0), (17, 1, "q", None, "entity", 1, 0.7, "t17", 0)], "id long, entity_id long, predicate string, object string, object_type string, object_entity_id long, confidence double, text string, content_id int")
+    _, after, audit = state.merge_into(ent, st, spark.createDataFrame([(1, 2)], "source_id long, target_id long"))
+    got = rows(after.select("id", "entity_id", "object_entity_id", "confidence", "text"))
+    assert got == [(10, 3, None, 0.1, "t10"), (11, 3, None, 0.2, "t11"), (12, 2, None, 0.9, "t12"), (13, 2, None, 0.2, "t13"), (16, 2, 2, 0.7, "t16")]
+    assert rows(audit) == [(1, 2, 1)]
+
+
 def test_cycle_of_merges(spark):
     m = spark.createDataFrame([(1, 2), (2, 1), (5, 5)], "source_id long, target_id long")
     assert rows(state.follow(m)) == [(2, 1)]
