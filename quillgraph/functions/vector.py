@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,10 @@ def top_k(items: DataFrame, vector: str, query: list[float], k: int, *, least: f
     return out.orderBy("distance", ident).limit(k)
 
 
-#: Bytes of query vectors that are sent to the executors in one pass over the items.
-SENT_BYTES = 64 << 20
+#: Bytes of vectors (as doubles) of one side of a tile.
+TILE_BYTES = 16 << 20
+#: Tiles of a query whose results are merged at once.
+FAN = 64
 #: Scores that a task works out at once.
 _SCORES = 4 << 20
 
@@ -86,118 +87,203 @@ class _Best:
         return q, i, s
 
 
-def _search(queries: dict, items: DataFrame, k: int, least: float, drop_self: bool) -> DataFrame:
-    """query_id, id, similarity: the k best of each task. queries: key -> (ids, unit vectors); items: id, vector, key."""
-    shared = items.sparkSession.sparkContext.broadcast(queries)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k)
-        for t in batches:
-            ident, vectors, keys = t.column(0).to_numpy(), t.column(1), t.column(2).dictionary_encode()
-            size = np.diff(np.asarray(vectors.offsets))
-            flat = np.asarray(vectors.flatten(), np.float64)
-            start = np.cumsum(size) - size
-            for code, key in enumerate(keys.dictionary.to_pylist()):
-                own = keys.indices.to_numpy() == code
-                for dims in np.unique(size[own]):
-                    if (key, int(dims)) not in shared.value:
-                        continue
-                    at = np.flatnonzero(own & (size == dims))
-                    x = _unit(flat[start[at][:, None] + np.arange(dims)])
-                    q_ids, q = shared.value[key, int(dims)]
-                    step = max(1, _SCORES // len(at))
-                    for a in range(0, len(q_ids), step):
-                        # Equal vectors have equal scores wherever they stand, so that ties go by id.
-                        s = np.round(q[a : a + step] @ x.T, 12)
-                        if drop_self:
-                            s[q_ids[a : a + step, None] == ident[at][None, :]] = -np.inf
-                        s[s < least] = -np.inf
-                        best.add(q_ids[a : a + step], ident[at], s)
-        yield pa.record_batch([pa.array(x) for x in best.settle()], ["query_id", "id", "similarity"])
-
-    return items.mapInArrow(apply, "query_id long, id long, similarity double")
-
-
-def _passes(queries: DataFrame) -> Iterator[pa.Table]:
-    """The queries (id, vector, key) in parts of about SENT_BYTES."""
-    queries = queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
-    total = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] * 8
-    parts = max(1, -(-total // SENT_BYTES))
-    for b in range(parts):
-        yield queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b).toArrow()
-
-
-def _by_key(t: pa.Table, keys: list[list]) -> dict:
-    """(key, dims) -> (ids, unit vectors) of queries, each of which may have several keys."""
-    ids, vectors = t["id"].to_numpy(), t["vector"].to_pylist()
-    rows: dict[tuple, list[int]] = {}
-    for r, (v, own) in enumerate(zip(vectors, keys)):
-        for key in own:
-            rows.setdefault((key, len(v)), []).append(r)
-    return {k: (ids[r], _unit(np.array([vectors[i] for i in r], np.float64))) for k, r in rows.items()}
-
-
-def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    found = reduce(DataFrame.unionByName, parts).distinct()
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _matrix(t: pa.Table) -> np.ndarray:
+    """The vectors of a table of rows of one length, of length 1 each."""
+    flat = t["vector"].combine_chunks().flatten()
+    return _unit(np.asarray(flat, np.float64).reshape(t.num_rows, -1))
+
+
+def _scores(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, least: float, drop_self: bool) -> np.ndarray:
+    # Equal vectors have equal scores wherever they stand, so that ties go by id.
+    s = np.round(q @ x.T, 12)
+    if drop_self:
+        s[q_ids[:, None] == ids[None, :]] = -np.inf
+    s[~(s >= least)] = -np.inf
+    return s
+
+
+def usable(df: DataFrame, key: Column) -> DataFrame:
+    """id, vector (doubles), key and d of the rows whose vector is there, has components, and all of them are finite."""
+    v = F.col("vector").cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.select("id", v.alias("vector"), key.alias("key"), F.size("vector").alias("d")).where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.col("d") > 0) & finite)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, id, similarity, rank of the k best of each query; part: where results come from, merged FAN at a time first."""
+    order = [F.desc("similarity"), F.asc("id")]
+    if "part" in found.columns:
+        some = Window.partitionBy("query_id", F.floor(F.col("part") / FAN)).orderBy(*order)
+        found = found.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k)
+    found = found.select("query_id", "id", "similarity").distinct()
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def _once(t: pa.Table, payload: str) -> pa.Table:
+    """Without rows that repeat an id and its vector: they count once."""
+    ids = t["id"].to_numpy()
+    if len(np.unique(ids)) == len(ids):
+        return t
+    seen: dict[tuple, int] = {}
+    for n, row in enumerate(zip(ids.tolist(), t[payload].to_pylist())):
+        seen.setdefault((row[0], row[1] if isinstance(row[1], bytes) else tuple(row[1])), n)
+    return t.take(pa.array(sorted(seen.values())))
+
+
+def _tiles(q: DataFrame, x: DataFrame, payload: str, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What meet() makes of each part of q (usable()) and each part of x (id, payload, key, d) of the same key and d.
+
+    Parts have some TILE_BYTES of vectors; how many there are of a key is counted within the job.
+    """
+    rows = F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (8 * F.col("d"))))
+    parts = lambda df, name: df.groupBy("key", "d").agg(F.count(F.lit(1)).alias("n")).select("key", "d", F.ceil(F.col("n") / rows).cast("int").alias(name))
+    sizes = parts(q, "pq").join(parts(x, "px"), ["key", "d"])  # a row for each label
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    tile = ["key", "d", "at", "part"]
+    # Columns are named anew on both sides, which may come from one table.
+    left = q.join(sizes, ["key", "d"]).select("id", "vector", "key", "d", own("pq").alias("at"), all_of("px").alias("part")).toDF("id", "vector", *tile)
+    right = x.join(sizes, ["key", "d"]).select("id", payload, "key", "d", all_of("pq").alias("at"), own("px").alias("part")).toDF("id", payload, *tile)
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(meet, schema)
+
+
+_FOUND = "query_id long, id long, similarity double, part int"
+
+
+def _found(best: _Best, items: pa.Table) -> pa.Table:
+    q, ident, score = best.settle()
+    part = items["part"][0].as_py() if items.num_rows else 0
+    return pa.table([pa.array(q), pa.array(ident), pa.array(score.astype(np.float64)), pa.array(np.full(len(q), part, np.int32))], ["query_id", "id", "similarity", "part"])
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, *, least: float = -1.0, same_label: bool = False, drop_self: bool = True) -> DataFrame:
     """query_id, id, similarity, rank: exact k nearest of every query among all items; ties by id.
 
     queries and items have id (long), vector and (for same_label) label, of any type. Null and empty
-    vectors take no part, and vectors of unequal length are no candidates for each other. Queries go
-    in passes of SENT_BYTES, by label; a task compares its items with the queries of their label only
-    and keeps the k best for each, so that the shuffle has tasks x queries x k rows at most.
+    vectors and those with null or non-finite components take no part, nor does a null label, and vectors of unequal length
+    are no candidates for each other. Both sides are cut by label and length into parts of some TILE_BYTES, and each part of
+    the queries meets each part of the items of its label in a task of its own, which keeps the k best; a label of a third of all rows
+    is many tiles. No vector goes through the driver, and it is one job.
     """
-    key = F.col("label") if same_label else F.lit(0)
-    rows = items.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("id", "vector", key.alias("key"))
-    parts = [_search(_by_key(t, [[x] for x in t["key"].to_pylist()]), rows, k, least, drop_self) for t in _passes(queries.select("id", "vector", key.alias("key")))]
-    return _ranked(parts, k)
+    key = (lambda: F.col("label")) if same_label else (lambda: F.lit(0))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        best, b = _Best(k), _once(b, "vector")
+        if a.num_rows and b.num_rows:
+            q_ids, ids, qv, xv = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a), _matrix(b)
+            step = max(1, _SCORES // len(ids))
+            for n in range(0, len(q_ids), step):
+                best.add(q_ids[n : n + step], ids, _scores(qv[n : n + step], xv, q_ids[n : n + step], ids, least, drop_self))
+        return _found(best, b)
+
+    return ranked(_tiles(usable(queries, key()), usable(items, key()), "vector", meet, _FOUND), k)
+
+
+def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """k centroids (as many as there are rows at most) of the rows of x."""
+    c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
+    for _ in range(rounds):
+        own = ((c * c).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1)
+        n = np.bincount(own, minlength=len(c))
+        for j in range(x.shape[1]):
+            c[n > 0, j] = np.bincount(own, weights=x[:, j], minlength=len(c))[n > 0] / n[n > 0]
+    return c
+
+
+class Quantiser:
+    """Unit vectors of one length as a list (the nearest of some centroids) and a byte for each few dimensions of the residual."""
+
+    #: Dimensions of a byte, and its values.
+    WIDTH, VALUES = 4, 256
+
+    def __init__(self, sample: np.ndarray, lists: int, rounds: int = 6):
+        x = sample.astype(np.float32)
+        self.d, self.lists = x.shape[1], _kmeans(x, lists, rounds)
+        rest = x - self.lists[self._near(x)]
+        self.books = [_kmeans(rest[:, a : a + self.WIDTH], self.VALUES, rounds) for a in range(0, self.d, self.WIDTH)]
+
+    def _near(self, x: np.ndarray) -> np.ndarray:
+        return ((self.lists * self.lists).sum(1)[None, :] - 2 * (x @ self.lists.T)).argmin(1)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """Bytes: two of the list, then one for each book."""
+        x = x.astype(np.float32)
+        near = self._near(x)
+        rest = x - self.lists[near]
+        codes = [((b * b).sum(1)[None, :] - 2 * (rest[:, n * self.WIDTH : n * self.WIDTH + b.shape[1]] @ b.T)).argmin(1).astype(np.uint8) for n, b in enumerate(self.books)]
+        return np.concatenate([near.astype("<u2").view(np.uint8).reshape(-1, 2), np.stack(codes, axis=1)], axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        near = np.ascontiguousarray(codes[:, :2]).view("<u2").ravel()
+        return self.lists[near] + np.concatenate([b[codes[:, 2 + n]] for n, b in enumerate(self.books)], axis=1)
 
 
 class IVF:
-    """An inverted-file index: centroids fitted on a bounded sample, every row in the lists of its `copies` nearest centroids.
+    """An index of lists and product-quantised residuals: a quarter byte a dimension stands for each vector, and only what looks nearest is read in full.
 
-    The rows lie in order of their list, so that a search reads the lists it probes; a large list
-    stands in several files and is searched by several tasks.
+    Lists and code books are fitted on a bounded sample (SAMPLE rows, SAMPLE_BYTES at most) for each of the SERVED most
+    common lengths; every row is encoded. A search compares all codes, keeps `wide` candidates a query (at most a TENTH of the rows) and
+    compares those exactly. Rows of other lengths are searched exactly. What nearest() leaves out is left out here too; an empty table finds nothing.
     """
 
-    SAMPLE = 20_000
-
-    def __init__(self, items: DataFrame, lists: int | None = None, rounds: int = 8, copies: int = 4):
-        n = max(1, items.count())
-        lists = lists or int(min(4096, max(16, 2 * n**0.5)))
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(min(1.0, self.SAMPLE / n) * (1 << 20)))).select("id", "vector").orderBy("id").limit(self.SAMPLE).toArrow()
-        x = _unit(np.array(rows["vector"].to_pylist(), np.float64))
-        c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)].copy()
-        for _ in range(rounds):
-            own = (x @ c.T).argmax(1)
-            for j in range(len(c)):
-                if (own == j).any():
-                    c[j] = x[own == j].mean(0)
-            c = _unit(c)
-        self.centroids = c
-        shared = items.sparkSession.sparkContext.broadcast(c)
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    SAMPLE, SAMPLE_BYTES, SERVED, TENTH = 20_000, 64 << 20, 8, 0.1
+    #: Candidates for each wanted result.
+    WIDE = 20
+
+    def __init__(self, items: DataFrame, lists: int | None = None):
+        rows = cut(usable(items, F.lit(0)))
+        self.books: dict[int, Quantiser] = {}
+        self.counts = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(self.SERVED).collect()}
+        for d, n in self.counts.items():
+            most = max(1, min(self.SAMPLE, self.SAMPLE_BYTES // (8 * d)))
+            some = rows.where((F.col("d") == d) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(min(1.0, 1.2 * most / n) * (1 << 20))))).select("id", "vector").limit(most).toArrow()
+            if some.num_rows:
+                self.books[d] = Quantiser(_matrix(some), lists or int(min(1024, max(16, n**0.5))))
+        books = items.sparkSession.sparkContext.broadcast(self.books)  # bounded by SERVED lengths, 1,024 lists and 256 values
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
-                x = _unit(np.asarray(t.column(1).flatten(), np.float64).reshape(t.num_rows, -1))
-                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :copies]
-                at = np.repeat(np.arange(t.num_rows), near.shape[1])
-                yield pa.record_batch([t.column(0).take(pa.array(at)), t.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], ["id", "vector", "key"])
-
-        placed = items.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, "id long, vector array<double>, key int")
-        self.items = cut(placed.repartitionByRange("key", "id").sortWithinPartitions("key", "id"))
-
-    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """query_id, id, similarity, rank: the k best in the `probes` nearest lists of each query (by default a quarter of all)."""
-        probes = probes or max(1, len(self.centroids) // 4)
-        parts = []
-        for t in _passes(queries.select("id", "vector")):
-            near = np.argsort(-(_unit(np.array(t["vector"].to_pylist(), np.float64).reshape(t.num_rows, -1)) @ self.centroids.T), axis=1, kind="stable")[:, :probes] if t.num_rows else np.empty((0, 0), int)
-            probed = np.unique(near).tolist()
-            rows = self.items.where(F.col("key").isin(probed)) if len(probed) < len(self.centroids) else self.items
-            parts.append(_search(_by_key(t, near.tolist()), rows, k, -1.0, True))
-        return _ranked(parts, k)
+                d = t.column(2).to_numpy()
+                for n in np.unique(d).tolist():
+                    own = pa.Table.from_batches([t.filter(pa.array(d == n))])
+                    if n in books.value:
+                        code = books.value[n].encode(_matrix(own))
+                        yield pa.record_batch([own["id"].combine_chunks(), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(np.full(len(code), n, np.int32))], ["id", "code", "d"])
+
+        self.vectors = rows
+        self.codes = cut(rows.select("id", "vector", "d").mapInArrow(encode, "id long, code binary, d int").withColumn("key", F.lit(0)))
+
+    def candidates(self, queries: DataFrame, wide: int) -> DataFrame:
+        """query_id, id of the `wide` items of each query whose codes look nearest."""
+        books = queries.sparkSession.sparkContext.broadcast(self.books)
+        most = {d: max(1, min(wide, int(self.TENTH * n))) for d, n in self.counts.items()}
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            best, b = _Best(wide), _once(b, "code")
+            if a.num_rows and b.num_rows:
+                book, q_ids, ids = books.value[a["d"][0].as_py()], a["id"].to_numpy(), b["id"].to_numpy()
+                best.k = most[book.d]
+                x = book.decode(np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(len(ids), -1))
+                q, step = _matrix(a).astype(np.float32), max(1, _SCORES // len(ids))
+                for n in range(0, len(q_ids), step):
+                    s = q[n : n + step] @ x.T
+                    s[q_ids[n : n + step, None] == ids[None, :]] = -np.inf
+                    best.add(q_ids[n : n + step], ids, s)
+            return _found(best, b)
+
+        asked = usable(queries, F.lit(0))
+        found = ranked(_tiles(asked, self.codes, "code", meet, _FOUND), wide)
+        limits = F.create_map(*[F.lit(v) for kv in most.items() for v in kv]) if most else F.lit(None).cast("map<int,int>")
+        sized = found.join(asked.select(F.col("id").alias("query_id"), "d").distinct(), "query_id")
+        return sized.where(F.col("rank") <= limits[F.col("d")]).select("query_id", "id").distinct()
+
+    def search(self, queries: DataFrame, k: int, wide: int | None = None) -> DataFrame:
+        """query_id, id, similarity, rank: the k best of each query among its candidates."""
+        pairs = self.candidates(queries, wide or self.WIDE * k)
+        q = usable(queries, F.lit(0)).select(F.col("id").alias("query_id"), F.col("vector").alias("q"), F.col("d").alias("dq"))
+        full = pairs.join(self.vectors.select("id", "vector", "d"), "id").join(q, "query_id").where("d = dq")
+        found = full.select("query_id", "id", F.round(cosine(F.col("q"), F.col("vector")), 12).alias("similarity"))
+        other = ~F.col("d").isin(list(self.books)) if self.books else F.lit(True)
+        rest = self.vectors.where(other).select("id", "vector")
+        exact = nearest(queries, rest, k).select("query_id", "id", "similarity")
+        return ranked(found.unionByName(exact), k)

@@ -150,27 +150,29 @@ def v15(spark: SparkSession, d: str) -> DataFrame:
     return text_items(spark, d).select("id", F.round(total, 6).alias("total"), F.size("vector").alias("dims"))
 
 
-def recall(spark: SparkSession, d: str, k: int, same_label: bool = False) -> DataFrame:
-    """Of how many of the k nearest of each query the index finds: lists, lists probed, recall."""
+def recall(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Of how many of the k nearest of each query the index finds, and what share of the rows it compares in full for a query."""
     x = items(spark, d)
     q = x.where("id % 20 = 0")
     index = V.IVF(x)
     exact, found = V.nearest(q, x, k).select("query_id", "id"), index.search(q, k).select("query_id", "id", F.lit(1).alias("hit"))
-    n = len(index.centroids)
-    return exact.join(found, ["query_id", "id"], "left").agg((F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("recall_held")).select("recall_held", F.lit(max(1, n // 4) * 4 <= n).alias("quarter_probed"))
+    hits = exact.join(found, ["query_id", "id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    read = index.candidates(q, index.WIDE * k).agg(F.count(F.lit(1)).alias("compared"))
+    size = q.agg(F.count(F.lit(1)).alias("n_q")).crossJoin(x.agg(F.count(F.lit(1)).alias("n")))  # one row each
+    return hits.crossJoin(read).crossJoin(size).select("recall", (F.col("compared") / (F.col("n_q") * F.col("n"))).alias("share"))
 
 
 @query("v16_inverted_file")
 def v16(spark: SparkSession, d: str) -> DataFrame:
-    """Ten nearest by the inverted-file index; every row is in the lists of its four nearest centroids, a quarter of the lists is probed."""
+    """Ten nearest by lists and product-quantised residuals; 200 rows a query, a tenth of all at most, are compared in full."""
     x = items(spark, d)
     return V.IVF(x).search(x.where("id % 20 = 0"), 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query("v17_vector_index", "SELECT true AS recall_held, true AS quarter_probed")
+@query("v17_vector_index", "SELECT true AS recall_held, true AS tenth_read")
 def v17(spark: SparkSession, d: str) -> DataFrame:
-    """The index against exact search: a recall of 0.9 at least, from a quarter of the lists."""
-    return recall(spark, d, 10)
+    """The index against exact search, as measured: a recall of 0.9 at least, from a tenth of the rows at most."""
+    return recall(spark, d, 10).select((F.col("recall") >= 0.9).alias("recall_held"), (F.col("share") <= 0.1).alias("tenth_read"))
 
 
 @query("v14_embedding_batches", "SELECT n_nationkey::BIGINT AS id, length(n_name)::DOUBLE AS first FROM nation")

@@ -128,22 +128,38 @@ def test_resolution_stages(spark):
     assert got == {"1": ("1", "constraint"), "a": ("2", "constraint"), "b": ("1", "fuzzy"), "c": ("3", "equality"), "d": ("d", "create"), "e": ("d", "batch")}
 
 
-def test_inverted_file_recall(spark):
-    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    q = x.where("id % 20 = 0")
-    exact = {(r["query_id"], r["id"]) for r in V.nearest(q, x, 10).collect()}
-    index = V.IVF(x)
-    found = {(r["query_id"], r["id"]) for r in index.search(q, 10, probes=len(index.centroids) // 4).collect()}
-    assert len(exact & found) / len(exact) >= 0.9 and len(found) == len(exact)
-    assert {r["id"] for r in index.items.select("id").distinct().collect()} == set(range(2000))
+def test_index_recall(spark):
+    from quillgraph.plans import vectors
+
+    for sf in ("sf0.01", "sf0.1"):
+        got = vectors.recall(spark, f"/root/testdata/{sf}", 10).first()
+        assert got["recall"] >= 0.9 and got["share"] <= 0.1, (sf, got)
+
+
+def test_index_of_odd_rows(spark):
+    """Nulls, several lengths, more of them than have code books, repeated rows, and nothing at all."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6 if i % 2 else 5).tolist()) for i in range(400)] + [(500 + n, [1.0] * n) for n in range(20, 40)] + [(500 + n + 100, [2.0] * n) for n in range(20, 40)]
+    rows += [(900, None), (901, []), (902, [None] * 5), (903, [float("nan")] * 5), (904, [0.0] * 5), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = V.IVF(df)
+    exact = {(r["query_id"], r["id"]) for r in V.nearest(df, df, 2).collect()}
+    found = [(r["query_id"], r["id"]) for r in index.search(df, 2).collect()]
+    assert len(found) == len(set(found)) == len(exact) and len(exact & set(found)) / len(exact) >= 0.9
+    assert (520, 620) in found and (539, 639) in found
+    none = df.where("false")
+    assert V.IVF(none).search(df, 2).isEmpty() and index.search(none, 2).isEmpty() and V.nearest(none, df, 2).isEmpty()
 
 
 def test_nearest_against_brute_force(spark, monkeypatch):
-    """Labels of any type, vectors of unequal length, ties, nulls, and queries in several passes."""
+    """Labels of any type, vectors of unequal length, ties, nulls, and labels of several tiles."""
     import numpy as np
 
     rng = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3 + i % 2)], "ab"[i % 3 == 0]) for i in range(80)] + [(80, None, "a"), (81, [], "a"), (82, [0.0, 0.0, 0.0], "a")]
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3 + i % 2)], "ab"[i % 3 == 0]) for i in range(80)] + [(80, None, "a"), (81, [], "a"), (82, [0.0, 0.0, 0.0], "a"), (83, [1.0, None, 2.0], "a"), (84, [1.0, float("nan"), 2.0], "a"), (85, [1.0, float("inf"), 2.0], "a"), (86, [1.0, 2.0, 3.0], None)]
+    usable = [r for r in rows if r[1] and r[2] and all(x is not None and math.isfinite(x) for x in r[1])]
     df = spark.createDataFrame(rows, "id long, vector array<double>, label string").repartition(5)
 
     def cosine(a, b):
@@ -151,11 +167,12 @@ def test_nearest_against_brute_force(spark, monkeypatch):
         return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
 
     want = []
-    for i, v, lab in rows:
-        near = sorted((-round(cosine(v, w), 9), j) for j, w, other in rows if v and w and j != i and lab == other and len(v) == len(w) and cosine(v, w) >= -0.5)
+    for i, v, lab in usable:
+        near = sorted((-round(cosine(v, w), 9), j) for j, w, other in usable if j != i and lab == other and len(v) == len(w) and cosine(v, w) >= -0.5)
         want += [(i, j, r + 1) for r, (_, j) in enumerate(near[:4])]
-    for size in (64 << 20, 500):
-        monkeypatch.setattr(V, "SENT_BYTES", size)
+    for size, fan in ((16 << 20, 64), (500, 2)):
+        monkeypatch.setattr(V, "TILE_BYTES", size)
+        monkeypatch.setattr(V, "FAN", fan)
         assert sorted((r["query_id"], r["id"], r["rank"]) for r in V.nearest(df, df, 4, least=-0.5, same_label=True).collect()) == sorted(want)
 
 
