@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import matchers as M
 from quillgraph.functions import strings as S
-from quillgraph.lineage import cut
-from quillgraph.operators import fuzzy, resolve
+from quillgraph.lineage import cut, scratch
+from quillgraph.operators import fuzzy, resolve, reviews
 from quillgraph.sources import tables as T
 
 from .registry import query, with_views
@@ -315,50 +315,120 @@ def h23(spark: SparkSession, d: str) -> DataFrame:
     return address_pairs(spark, d).select("id", S.street_number(s).alias("number"), S.street_name(s).alias("name"))
 
 
+def _bits(key: Column, n: int = 128) -> Column:
+    """A vector of n signs, from the MD5 of a key: those of different keys are far from each other."""
+    h = F.md5(key.cast("string"))
+    nibble = lambda i: F.instr(F.lit("0123456789abcdef"), F.substr(h, (F.floor(i / 4) + 1).cast("int"), F.lit(1))) - 1
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.floor(nibble(i) / F.pow(F.lit(2.0), i % 4)) % 2 * 2 - 1).cast("double"))
+
+
+def _props(*pairs) -> Column:
+    return F.map_filter(F.create_map(*[F.lit(x) if isinstance(x, str) else x for kv in pairs for x in kv]), lambda k, v: v.isNotNull())
+
+
 def incoming(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All parts as asset nodes, and a batch of one node for each: the same id, an old node's serial number, an old node's
-    bar code under another name, or nothing known. Names are hashes, far from each other."""
+    """All parts as nodes, and a batch of one node for each: by its key modulo 7 the same id, an old node's serial number,
+    an old node's bar code under another name, a name with a letter more, nothing known, an old node's
+    embedding under another name, or (of a label without rules) equal properties. Names are hashes, far from each other."""
     k = F.col("p_partkey")
+    kind = k % 7
     number = F.concat(F.lit("unit "), F.substring(F.md5(k.cast("string")), 1, 16))
-    old = F.create_map(F.lit("name"), number, F.lit("serial_number"), F.concat(F.lit("SN-"), k), F.lit("barcode"), F.concat(F.lit("b/"), k))
+    mark = _props(("kind", F.md5(k.cast("string"))))
+    old = _props(("name", number), ("serial_number", F.concat(F.lit("SN-"), k)), ("barcode", F.concat(F.lit("b/"), k)))
+    label = F.when(kind == 6, "Thing").otherwise("Asset").alias("label")
     p = T.table(spark, d, "part")
-    existing = p.select(F.concat(F.lit("Part_"), k).alias("id"), F.lit("Asset").alias("label"), number.alias("name"), old.alias("props"))
-    kind = k % 5
+    existing = p.select(F.concat(F.lit("Part_"), k).alias("id"), label, F.when(kind != 6, number).alias("name"), F.when(kind == 6, mark).otherwise(old).alias("props"), F.when(kind != 6, _bits(k)).alias("embedding"))
     name = F.concat(F.lit("thing "), F.substring(F.md5(F.concat(k, F.lit("new"))), 1, 16))
     serial, code = F.when(kind == 1, F.concat(F.lit(" sn-"), k)), F.when(kind == 2, F.concat(F.lit("B "), k))
-    props = F.create_map(F.lit("name"), F.when(kind == 3, F.concat(number, F.lit("x"))).otherwise(name), F.lit("serial_number"), serial, F.lit("barcode"), code)
+    props = _props(("name", F.when(kind == 3, F.concat(number, F.lit("x"))).otherwise(name)), ("serial_number", serial), ("barcode", code))
     ident = F.when(kind == 0, F.concat(F.lit("Part_"), k)).otherwise(F.concat(F.lit("New_"), k))
-    return p.select(ident.alias("id"), F.lit("Asset").alias("label"), props["name"].alias("name"), props.alias("props")), existing
+    new = p.select(ident.alias("id"), label, F.when(kind == 6, mark).otherwise(props).alias("props"), F.when(kind == 5, _bits(k)).alias("embedding"))
+    return new.withColumn("name", F.col("props")["name"]), existing
 
 
-_NEW = "CASE p_partkey % 5 WHEN 0 THEN 'Part_' ELSE 'New_' END || p_partkey"
-_CASE = "CASE p_partkey % 5 {} END"
+_NEW = "CASE p_partkey % 7 WHEN 0 THEN 'Part_' ELSE 'New_' END || p_partkey"
+_CASE = "CASE p_partkey % 7 {} END"
 
 
 @query(
     "h24_resolution_cascade",
-    f"SELECT {_NEW} AS new_id, " + _CASE.format("WHEN 0 THEN 'constraint' WHEN 4 THEN 'create' ELSE 'fuzzy'") + " AS stage, CASE p_partkey % 5 WHEN 4 THEN 'New_' ELSE 'Part_' END || p_partkey AS match_id, " + _CASE.format("WHEN 3 THEN 'human_review' WHEN 4 THEN 'create' ELSE 'auto_merge'") + " AS action FROM part",
+    f"SELECT {_NEW} AS new_id, " + _CASE.format("WHEN 0 THEN 'constraint' WHEN 4 THEN 'create' WHEN 5 THEN 'vector' WHEN 6 THEN 'equality' ELSE 'fuzzy'") + " AS stage, CASE p_partkey % 7 WHEN 4 THEN 'New_' ELSE 'Part_' END || p_partkey AS match_id, " + _CASE.format("WHEN 3 THEN 'human_review' WHEN 4 THEN 'create' ELSE 'auto_merge'") + " AS action FROM part",
 )
 def h24(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve(*incoming(spark, d), ["Asset"]).select("new_id", "stage", "match_id", "action")
+    """Every stage of the cascade over all parts, of all labels."""
+    return resolve.resolve(*incoming(spark, d), with_vectors=True).select("new_id", "stage", "match_id", "action")
 
 
-@query("e10_blocked_matching", f"SELECT {_NEW} AS new_id, 'Part_' || p_partkey AS match_id, " + _CASE.format("WHEN 3 THEN 'human_review' ELSE 'auto_merge'") + " AS action FROM part WHERE p_partkey % 5 IN (1, 2, 3)")
+@query("e10_blocked_matching", f"SELECT {_NEW} AS new_id, 'Part_' || p_partkey AS match_id, " + _CASE.format("WHEN 3 THEN 'human_review' ELSE 'auto_merge'") + " AS action FROM part WHERE p_partkey % 7 IN (1, 2, 3)")
 def e10(spark: SparkSession, d: str) -> DataFrame:
     new, old = incoming(spark, d)
-    return resolve.fuzzy_stage(new, old, ["Asset"]).select("new_id", "match_id", "action")
+    return resolve.fuzzy_stage(new, old).select("new_id", "match_id", "action")
 
 
 @query(
     "k10_import_stats",
-    "SELECT 'Asset' AS label, count(*) AS total, count(*) FILTER (WHERE p_partkey % 5 = 4) AS created, count(*) FILTER (WHERE p_partkey % 5 IN (1, 2)) AS updated, count(*) FILTER (WHERE p_partkey % 5 = 0) AS skipped, count(*) FILTER (WHERE p_partkey % 5 = 3) AS reviewed, 0::BIGINT AS duplicates, 0::BIGINT AS errors FROM part",
+    "SELECT CASE p_partkey % 7 WHEN 6 THEN 'Thing' ELSE 'Asset' END AS label, count(*) AS total, count(*) FILTER (WHERE p_partkey % 7 = 4) AS created, count(*) FILTER (WHERE p_partkey % 7 IN (1, 2, 5)) AS updated, count(*) FILTER (WHERE p_partkey % 7 IN (0, 6)) AS skipped, count(*) FILTER (WHERE p_partkey % 7 = 3) AS reviewed, 0::BIGINT AS duplicates, 0::BIGINT AS errors FROM part GROUP BY 1 "
+    "UNION ALL SELECT 'Copy', 2 * count(*), count(*), 0, 0, 0, count(*), 0 FROM part UNION ALL SELECT NULL, count(*), 0, 0, 0, 0, 0, count(*) FROM part WHERE p_partkey % 9 = 0",
 )
 def k10(spark: SparkSession, d: str) -> DataFrame:
-    """What became of a batch: nodes that change nothing are skipped, doubtful ones are counted as reviews."""
+    """What became of a batch: nodes that change nothing are skipped, doubtful ones are counted as reviews, copies within the batch as duplicates and nodes without a label as errors."""
     new, old = incoming(spark, d)
-    same = old.join(new.select("id"), "id", "left_semi").select("id", "label", "name", "props")
-    batch = new.join(same.select("id"), "id", "left_anti").unionByName(same)
-    return resolve.import_stats(resolve.resolve(batch, old, ["Asset"]), batch, old)
+    same = old.join(new.select("id"), "id", "left_semi")
+    k = F.col("p_partkey")
+    p = T.table(spark, d, "part")
+    twice = p.select(k, F.explode(F.array(F.lit("a"), F.lit("b"))).alias("c"))
+    copies = twice.select(F.concat(F.lit("Copy_"), k, F.lit("_"), "c").alias("id"), F.lit("Copy").alias("label"), _props(("tag", F.md5(F.concat(k, F.lit("copy"))))).alias("props"), F.lit(None).cast("array<double>").alias("embedding"), F.concat(F.when(F.col("c") == "a", "COPY ").otherwise("copy "), k).alias("name"))
+    wrong = p.where(k % 9 == 0).select(F.concat(F.lit("Wrong_"), k).alias("id"), F.lit(None).cast("string").alias("label"), _props(("name", F.concat(F.lit("w"), k))).alias("props"), F.lit(None).cast("array<double>").alias("embedding"), F.concat(F.lit("w"), k).alias("name"))
+    batch = new.join(same.select("id"), "id", "left_anti").unionByName(same).unionByName(copies).unionByName(wrong)
+    return resolve.import_stats(resolve.resolve(batch, old, with_vectors=True), batch, old)
+
+
+def chains(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of a node for each part: in blocks of ten each shares a serial number or a VIN with the next, and nothing with the one after."""
+    k, at = F.col("p_partkey"), F.col("p_partkey") % 10
+    block = F.floor(k / 10)
+    props = _props(("name", F.substring(F.md5(k.cast("string")), 1, 20)), ("serial_number", F.concat(F.lit("s"), block, F.lit("-"), F.floor(at / 2))), ("vin", F.concat(F.lit("v"), block, F.lit("-"), F.floor((at + 1) / 2))))
+    return T.table(spark, d, "part").select(F.concat(F.lit("New_"), F.lpad(k.cast("string"), 12, "0")).alias("id"), F.lit("Vehicle").alias("label"), props["name"].alias("name"), props.alias("props"))
+
+
+@query("h25_batch_closure", "SELECT 'New_' || lpad(p_partkey::VARCHAR, 12, '0') AS new_id, 'New_' || lpad((min(p_partkey) OVER (PARTITION BY p_partkey // 10))::VARCHAR, 12, '0') AS match_id, CASE WHEN p_partkey = min(p_partkey) OVER (PARTITION BY p_partkey // 10) THEN 'create' ELSE 'batch' END AS stage FROM part")
+def h25(spark: SparkSession, d: str) -> DataFrame:
+    """A batch into an empty graph: what chains by fuzzy matches becomes one node, whatever the order of the batch."""
+    new = chains(spark, d)
+    return resolve.resolve(new, new.limit(0)).select("new_id", "match_id", "stage")
+
+
+def _reviewed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The batch, the stored nodes, and a review queue: all doubtful pairs are in line, two of three are decided, some of them twice."""
+    new, old = (cut(x.drop("embedding")) for x in incoming(spark, d))
+    folder = scratch(spark)
+    reviews.ask(resolve.fuzzy_pairs(new, old), folder, "2024-01-01 00:00:00")
+    line = reviews.pending(reviews.queue(spark, folder)).withColumn("k", F.regexp_extract("new_id", r"(\d+)$", 1).cast("long"))
+    first = line.where("k % 3 < 2").withColumn("decision", F.when(F.col("k") % 3 == 0, "merge").otherwise("separate"))
+    reviews.decide(first, folder, "2024-01-02 00:00:00")
+    reviews.decide(first.where("k % 5 = 0").withColumn("decision", F.when(F.col("k") % 3 == 0, "separate").otherwise("merge")), folder, "2024-01-03 00:00:00")
+    return new, old, reviews.queue(spark, folder)
+
+
+_SAID = "CASE WHEN p_partkey % 3 = 2 THEN NULL WHEN (p_partkey % 3 = 0) = (p_partkey % 5 <> 0) THEN 'merge' ELSE 'separate' END"
+
+
+@query("i5_review_queue", f"SELECT 'New_' || p_partkey AS new_id, 'Part_' || p_partkey AS match_id, {_SAID} AS decision, {_SAID} IS NULL AS pending, CASE WHEN p_partkey % 3 = 2 THEN 1 WHEN p_partkey % 5 = 0 THEN 3 ELSE 2 END::BIGINT AS n_rows FROM part WHERE p_partkey % 7 = 3")
+def i5q(spark: SparkSession, d: str) -> DataFrame:
+    """The state of the queue: each pair in line, its newest decision, and whether it waits still."""
+    q = _reviewed(spark, d)[2]
+    of = ["new_id", "match_id"]
+    rows = q.groupBy(*of).agg(F.count(F.lit(1)).alias("n_rows"))
+    waits = reviews.pending(q).select(*of, F.lit(True).alias("waits"))
+    return rows.join(reviews.decisions(q), of, "left").join(waits, of, "left").select(*of, "decision", F.coalesce("waits", F.lit(False)).alias("pending"), "n_rows")
+
+
+@query("i6_reviewed_cascade", f"SELECT new_id, CASE WHEN said = 'separate' OR kind = 4 THEN new_id ELSE 'Part_' || k END AS match_id, CASE WHEN said = 'separate' OR kind = 4 THEN 'create' WHEN kind = 3 AND said IS NULL THEN 'human_review' ELSE 'auto_merge' END AS action FROM (SELECT {_NEW} AS new_id, p_partkey AS k, p_partkey % 7 AS kind, CASE p_partkey % 7 WHEN 3 THEN {_SAID} END AS said FROM part WHERE p_partkey % 7 <> 5)")
+def i6q(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade with the decisions of the queue: a pair that was merged is taken, one that was separated is not, one that waits stays in review."""
+    new, old, q = _reviewed(spark, d)
+    known = new.where(F.coalesce(F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 7 != 5, F.lit(True)))  # those are found by their embeddings alone
+    return resolve.resolve(known, old, reviews=reviews.decisions(q)).select("new_id", "match_id", "action")
 
 
 @query("h28_extended_thresholds", "SELECT * FROM (VALUES ('Event', 0.80::DOUBLE), ('Task', 0.82), ('Project', 0.83), ('Note', 0.80)) t(node_type, threshold)")
