@@ -6,7 +6,7 @@ rate of a source is target share x size of the result / documents of the source.
 then dealt out by a second hash and sorted by it: a global shuffle that any rerun repeats exactly.
 
 Defined cases: a null source is a source of its own; repeated rows of one id are repeated alike,
-each; a null id hashes as the text 'null'; a source without a target has the rate 0; empty in,
+each; a row of a null id is drawn and dealt by its text; a very long text goes as it is; a source without a target has the rate 0; empty in,
 empty out; a column of the input that is named copy or mix_key is replaced.
 """
 
@@ -72,7 +72,7 @@ def with_rates(rows: DataFrame, per: DataFrame, sent: int = SENT) -> DataFrame:
 def mix(docs: DataFrame, targets: DataFrame | None = None, epochs: float = EPOCHS, seed: int = SEED, sent: int = SENT) -> DataFrame:
     """The columns of docs, copy (from 0) and mix_key, by which the rows are shuffled."""
     own = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    ident = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
+    ident = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))))
     # The row goes as one struct, so that no column of it can clash with those added here.
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in own]).alias("row"), ident.alias("ident"), F.coalesce(docs["source"], F.lit("")).alias("mix_source"))
     u = uniform(F.concat_ws(":", F.lit("u"), F.lit(str(seed)), "ident"))
@@ -87,6 +87,7 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, epochs: float = EPOCH
     return out.repartition("mix_key").sortWithinPartitions("mix_key").select("row.*", "copy", "mix_key")
 
 
+_IDENT_SQL = "coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))"
 #: The same rows in DuckDB, for the default targets and parameters.
 ORACLE_SQL = f"""
 WITH per AS (SELECT coalesce(source, '') AS mix_source, count(*) AS n, pow(count(*)::DOUBLE, {TEMPERATURE}) AS w FROM documents GROUP BY 1),
@@ -95,9 +96,9 @@ probs AS (SELECT mix_source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p,
           WHERE k <= ceil(rate + 12 * sqrt(rate) + 20)),
 cdfs AS (SELECT mix_source, k, sum(p) OVER (PARTITION BY mix_source ORDER BY k) AS c FROM probs),
 lists AS (SELECT mix_source, list(c ORDER BY k) AS cdf FROM cdfs GROUP BY 1),
-drawn AS (SELECT d.*, ('0x' || substr(md5('u:{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / {_BITS}.0 AS u,
+drawn AS (SELECT d.*, ('0x' || substr(md5('u:{SEED}:' || {_IDENT_SQL}), 1, 13))::BIGINT::DOUBLE / {_BITS}.0 AS u,
                  cdf FROM documents d JOIN lists l ON coalesce(d.source, '') = l.mix_source),
 counted AS (SELECT * EXCLUDE (u, cdf), len(list_filter(cdf, lambda x: x <= u)) AS mix_n FROM drawn)
-SELECT * EXCLUDE (mix_n, c), c::INTEGER AS copy, md5('k:{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || c) AS mix_key
+SELECT * EXCLUDE (mix_n, c), c::INTEGER AS copy, md5('k:{SEED}:' || {_IDENT_SQL} || ':' || c) AS mix_key
 FROM (SELECT *, unnest(range(0, mix_n)) AS c FROM counted)
 """

@@ -233,6 +233,36 @@ def test_decontamination_on_odd_rows(spark, odd, none):
     assert decontam.clean(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_rows_of_a_null_id_are_drawn_one_by_one(spark):
+    import duckdb
+
+    docs = spark.createDataFrame([(None if i % 3 else i, None if i == 1 else f"text {i}", "a" if i % 2 else None) for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs)
+    frame = docs.toPandas().astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", frame)
+    want = con.execute(mixing.ORACLE_SQL).fetchall()
+    names = [c[0] for c in con.description]
+    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want))
+    keys = got.where("doc_id is null").select("mix_key").distinct().count()
+    assert keys == got.where("doc_id is null").count() > 1500
+    assert got.where("doc_id is null and copy = 0").count() < 1700  # some are not drawn
+
+
+def test_hits_do_not_depend_on_the_blocks(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 6, n))
+    items = [(i, word(int(rng.integers(2, 30)))) for i in range(40)]
+    items += [(100 + k, " ".join(f"u{j}" for j in range(k, k + 18 + k % 3))) for k in range(0, 24, 4)] + [(200, items[3][1])]
+    docs = [(i, word(60) + " " + items[i % 40][1] + " " + word(5)) for i in range(30)] + [(90, " ".join(f"u{j}" for j in range(40))), (91, None), (92, "")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1 << 20, 1500, 300):
+        found.append(sorted((r["doc_id"], r["n_words"], r["items"], [tuple(h) for h in r["hits"]]) for r in decontam.find(docs, bench, 5, size).collect()))
+    assert len(decontam.blocks(bench, 300)) > 5 and any(r[3] for r in found[0])
+    assert found[0] == found[1] == found[2]
+
+
 def test_mixing(spark, odd, none):
     docs = spark.createDataFrame([(i, "t", "a" if i % 4 else "b", i) for i in range(4000)], "doc_id long, text string, source string, copy int")
     want = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
