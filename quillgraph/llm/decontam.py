@@ -9,7 +9,9 @@ verbatim match is the one next to the document's suffix in the order of the test
 Window: `window` consecutive words of an item; an item of fewer words, but not none, is one window.
 
 Defined cases: null and empty texts and items have no words and match nothing; repeated item rows
-count once; repeated document rows are each reported; an empty test set hits nothing.
+count once; repeated document rows are each reported; an empty test set hits nothing, and of no documents nothing
+is reported. Of items that match alike the smallest id is named. A very long text is a shard of its own.
+Columns of documents beside doc_id and text are not read by find(), and pass through clean() whatever their names.
 """
 
 from __future__ import annotations
@@ -92,12 +94,16 @@ class TestSet:
     def longest(self, window: int, text: bytes) -> tuple[int, int, int]:
         """(item, its place, words) of the longest verbatim match of a suffix (numbers as bytes) among those that start with the window.
 
-        It is next to where the suffix stands in their order.
+        It is next to where the suffix stands in their order. Of items that match alike the smallest is named, and its first place.
         """
         a, b = int(self.first[window]), int(self.end[window])
         i = bisect_left(range(b), text, a, b, key=self.tail)
-        n, k = max((common(self.tail(k), text), -k) for k in range(max(a, i - 1), min(b, i + 1)))
-        return int(self.names[self.of[-k]]), int(self.place[-k]), n
+        n = max(common(self.tail(k), text) for k in range(max(a, i - 1), min(b, i + 1)))
+        low = bisect_left(range(b), text[: 4 * n], a, b, key=self.tail)
+        high = bisect_left(range(b), text[: 4 * n] + b"\xff" * 4, low, b, key=self.tail)
+        names, places = self.names[self.of[low:high]], self.place[low:high]
+        best = np.lexsort((places, names))[0]
+        return int(names[best]), int(places[best]), n
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -158,11 +164,12 @@ def pack(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
 
 
-def matches(test: TestSet, texts: list[bytes]) -> tuple[np.ndarray, list[list[int]], list[list[dict]]]:
+def matches(test: TestSet, texts: list[bytes], every: bool = False) -> tuple[np.ndarray, list[list[int]], list[list[dict]]]:
     """Words of each text, the items of which it has a window, and its longest verbatim matches, which cover all windows.
 
     From the first place of a window on, the longest match is taken; the next starts with the first
-    window that is not inside it. Where several items match alike, one of them is named.
+    window that is not inside it. every: the longest match of each place of a window instead, with the
+    length of its longest window, from which merged() makes the same of several blocks.
     """
     get = test.number.get
     lists = [[get(w, 0) for w in words(t)] for t in texts]
@@ -183,14 +190,29 @@ def matches(test: TestSet, texts: list[bytes]) -> tuple[np.ndarray, list[list[in
         items[d] = sorted({i for w in np.unique(which[x:y]).tolist() for i in test.items(w)})
         raw, base, end = np.array(lists[d], ">u4").tobytes(), int(offs[d]), 0
         stops = (at[x:y] - base + test.length[which[x:y]]).tolist()
+        last = -1
         for p, w, stop in zip((at[x:y] - base).tolist(), which[x:y].tolist(), stops):
-            if stop > end:
+            if stop > end if not every else p != last:
                 item, place, n = test.longest(w, raw[4 * p :])
-                hits[d].append({"item_id": item, "doc_start": p, "item_start": place, "n_words": n})
-                end = p + n
+                hits[d].append({"item_id": item, "doc_start": p, "item_start": place, "n_words": n} | ({"window": stop - p} if every else {}))
+                end, last = p + n, p
     return n_words, items, hits
 
 
+def merged(hits: list[dict]) -> list[dict]:
+    """The matches that matches() gives for all blocks as one, from those at every place in each of them."""
+    at: dict[int, list[dict]] = {}
+    for h in hits:
+        at.setdefault(h["doc_start"], []).append(h)
+    out, end = [], 0
+    for p in sorted(at):
+        if p + max(h["window"] for h in at[p]) > end:
+            best = min(at[p], key=lambda h: (-h["n_words"], h["item_id"], h["item_start"]))
+            out.append({k: best[k] for k in ("item_id", "doc_start", "item_start", "n_words")})
+            end = p + best["n_words"]
+    return out
+
+
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
     """The test set in parts of about block_bytes, each small enough to send to every task."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -204,29 +226,39 @@ def load(block: DataFrame, window: int = WINDOW) -> TestSet:
     return TestSet(list(zip(rows["item_id"].to_pylist(), byte_list(rows["text"].combine_chunks()))), window)
 
 
-def search(rows: DataFrame, part: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row_no, doc_id, n_words, items and hits in one block of the test set, of rows (row_no, doc_id, text)."""
+def search(rows: DataFrame, part: DataFrame, window: int = WINDOW, every: bool = False) -> DataFrame:
+    """row_no, doc_id, n_words, items and hits (every: as of matches()) in one block of the test set, of rows (row_no, doc_id, text)."""
     shared = rows.sparkSession.sparkContext.broadcast(load(part, window))
+    hit = HIT.replace(">", ",window:int>") if every else HIT
+    kind = pa.list_(pa.struct([*_HIT_ARROW.value_type, pa.field("window", pa.int32())])) if every else _HIT_ARROW
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, size=SHARD_BYTES):
-            n, items, hits = matches(shared.value, byte_list(column(b, "text")))
-            yield pa.record_batch([column(b, "row_no"), column(b, "doc_id"), pa.array(n), pa.array(items, pa.list_(pa.int64())), pa.array(hits, _HIT_ARROW)], ["row_no", "doc_id", "n_words", "items", "hits"])
+            n, items, hits = matches(shared.value, byte_list(column(b, "text")), every)
+            yield pa.record_batch([column(b, "row_no"), column(b, "doc_id"), pa.array(n), pa.array(items, pa.list_(pa.int64())), pa.array(hits, kind)], ["row_no", "doc_id", "n_words", "items", "hits"])
 
-    return rows.mapInArrow(apply, f"row_no string, doc_id long, n_words long, items array<long>, hits array<{HIT}>")
+    return rows.mapInArrow(apply, f"row_no string, doc_id long, n_words long, items array<long>, hits array<{hit}>")
 
 
 def search_all(rows: DataFrame, parts: list[DataFrame], window: int = WINDOW) -> DataFrame:
-    """The same over all blocks, a pass for each; rows are written out, as row_no must not change."""
-    passes = [materialize(search(rows, p, window)) for p in parts]
-    return reduce(DataFrame.unionByName, passes).groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
+    """The same over all blocks, a pass for each, as if they were one; rows are written out, as row_no must not change."""
+    passes = [materialize(search(rows, p, window, every=True)) for p in parts]
+    by_row = reduce(DataFrame.unionByName, passes).groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = pa.array([merged(h) for h in column(b, "hits").to_pylist()], _HIT_ARROW)
+            yield pa.record_batch([*b.columns[:4], hits], ["row_no", "doc_id", "n_words", "items", "hits"])
+
+    return by_row.mapInArrow(apply, f"row_no string, doc_id long, n_words long, items array<long>, hits array<{HIT}>")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, items (that it has a window of) and hits (longest matches) of every document row.
 
     A test set of one block is searched in a single pass. A larger one takes a pass for each
-    block, so that a task never holds more than one; their hits are then put together by row.
+    block, so that a task never holds more than one; their hits are then put together by row, so that
+    the result does not depend on the blocks.
     """
     parts = blocks(benchmark, block_bytes)
     if len(parts) == 1:
