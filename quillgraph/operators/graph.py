@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,35 +16,78 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
 
 
+#: Neighbours in a block of an adjacency, on average at most.
+BLOCK = 1024
+
+
+class Adjacency:
+    """Neighbours of each node in blocks of some BLOCK; a hub has many blocks, which lie in different tasks.
+
+    steps: (a, b). blocks: a, block, to (sorted neighbours); pieces: a, n (blocks) of the nodes that have more than one.
+    """
+
+    def __init__(self, steps: DataFrame):
+        steps = cut(steps.select("a", "b").distinct())
+        many = steps.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > BLOCK)
+        self.pieces = cut(many.select("a", F.ceil(F.col("degree") / BLOCK).cast("int").alias("n")))
+        dealt = steps.join(self.pieces, "a", "left").withColumn("block", F.pmod(F.xxhash64("b"), F.coalesce("n", F.lit(1))).cast("int"))
+        self.blocks = cut(dealt.groupBy("a", "block").agg(F.array_sort(F.collect_list("b")).alias("to")))
+
+    def step(self, front: DataFrame) -> DataFrame:
+        """start, node: the neighbours of a frontier (start, node); a hub's meets each of its blocks by itself."""
+        asked = front.select("start", F.col("node").alias("a")).join(self.pieces, "a", "left")
+        asked = asked.select("start", "a", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("block"))
+        return asked.join(self.blocks, ["a", "block"]).select("start", F.explode("to").alias("node")).distinct()
+
+
+class _Seen:
+    """What was reached so far, in tables whose sizes differ by powers of two: of n rounds each row is rewritten some log n times."""
+
+    def __init__(self):
+        self.parts: list[tuple[int, DataFrame]] = []
+
+    def add(self, df: DataFrame) -> None:
+        level = 0
+        while self.parts and self.parts[-1][0] == level:
+            df = cut(df.unionByName(self.parts.pop()[1]))
+            level += 1
+        self.parts.append((level, df))
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p for _, p in self.parts])
+
+
+def _traverse(steps: DataFrame, starts: DataFrame, depth: int | None, from_start: bool) -> DataFrame:
+    """start, node, hop by breadth: from_start says whether the start counts as seen."""
+    graph = Adjacency(steps)
+    begin = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
+    seen, front, k = _Seen(), cut(begin), 0
+    if from_start:
+        seen.add(front.withColumn("hop", F.lit(0)))
+    while depth is None or k < depth:
+        k += 1
+        reached = graph.step(front)
+        if seen.parts:
+            reached = reached.join(seen.all().select("start", "node"), ["start", "node"], "left_anti")
+        front = cut(reached)
+        if front.isEmpty():
+            break
+        seen.add(front.withColumn("hop", F.lit(k)))
+    return seen.all() if seen.parts else begin.withColumn("hop", F.lit(0)).where("false")
+
+
 def hops(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """start, node, hop: every node within `depth` undirected hops of each start (id), at its least hop; not the start itself.
 
-    Only the frontier is joined on; a node is expanded once for each start. From the third hop on
-    each frontier is written out, so that plans stay short however deep it goes.
+    Only the frontier is joined on, with the blocks of its nodes' neighbours; a node is expanded once for each
+    start. Every round is written out, so that plans stay short however deep it goes.
     """
-    steps = undirected(edges) if depth < 2 else cut(undirected(edges))  # each hop reads it again
-    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hop"))
-    front = seen
-    for k in range(1, max(0, depth) + 1):
-        reached = front.select("start", F.col("node").alias("a")).join(steps, "a").select("start", F.col("b").alias("node")).distinct()
-        front = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(k))
-        if k > 2:
-            front = cut(front)
-            if front.isEmpty():
-                break
-        seen = seen.unionByName(front)
-    return seen.where("hop > 0")
+    return _traverse(undirected(edges), starts, max(0, depth), True).where("hop > 0")
 
 
 def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node: every node that directed edges lead to from each start (id). Each round goes on from new nodes only, so cycles end it."""
-    steps = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
-    seen = front = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("a")).join(steps, "a").select("start", F.col("b").alias("node")).distinct())
-    while not front.isEmpty():
-        next_ = front.select("start", F.col("node").alias("a")).join(steps, "a").select("start", F.col("b").alias("node")).distinct()
-        front = cut(next_.join(seen, ["start", "node"], "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen
+    return _traverse(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), starts, None, False).select("start", "node")
 
 
 def ego_network(edges: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:

@@ -59,9 +59,11 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, "update Part id 5 note x y").nodes.where("id = 'Part_5'").select("id", F.col("props")["note"].alias("note"))
 
 
-@query("r7_answer", "SELECT 'done' AS first_line")
+@query("r7_answer", "SELECT 0::BIGINT AS at, 'done' AS line UNION ALL SELECT row_number() OVER (ORDER BY id), 'PART_OF ' || id || ' ' || name FROM (SELECT 'Nation_' || n_nationkey AS id, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' ORDER BY 1 LIMIT 10) UNION ALL SELECT least(10, count(*)) + 1, 'Ask: show <Type> id <id>' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def r7(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(C.answer(_run(spark, d, "show Region id 1")).splitlines()[0],)], "first_line string")
+    """The answer to a question over the graph, line by line: ten rows at most, with their ids, and what to ask next."""
+    said = C.answer(_run(spark, d, "who PART_OF Region ASIA?"))
+    return spark.createDataFrame([(n, t) for n, t in enumerate(said.splitlines())], "at long, line string")
 
 
 @query("r8_engine_query", ND + "SELECT id, name FROM nodes WHERE id = 'Region_1'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,14 @@ def o1(spark: SparkSession, d: str) -> DataFrame:
     return G.hops(T.edges(spark, d), _start(spark), 2).select("node", "hop")
 
 
+@query("o1_many_starts", with_views("edges", also=_STEPS) + """, starts AS (SELECT 'Nation_' || n_nationkey AS start FROM nation), h1 AS (SELECT DISTINCT start, b AS node FROM starts JOIN steps ON a = start),
+ h2 AS (SELECT DISTINCT start, s.b AS node FROM h1 JOIN steps s ON s.a = h1.node WHERE s.b <> start AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.start = h1.start AND x.node = s.b))
+ SELECT start, node, 1 AS hop FROM h1 UNION ALL SELECT start, node, 2 FROM h2""")
+def o1m(spark: SparkSession, d: str) -> DataFrame:
+    """Two hops around every nation at once; nations are hubs, whose neighbours are dealt to several tasks."""
+    return G.hops(T.edges(spark, d), T.table(spark, d, "nation").select(F.concat(F.lit("Nation_"), "n_nationkey").alias("id")), 2).select("start", "node", "hop")
+
+
 @query("o1_reach_recursive", "WITH RECURSIVE" + D.removeprefix("WITH").rstrip() + """, up(node) AS (SELECT dst FROM edges WHERE src = 'Supplier_3' AND type <> 'SUPPLIED_BY'
  UNION SELECT e.dst FROM up JOIN edges e ON e.src = up.node AND e.type <> 'SUPPLIED_BY') SELECT node FROM up""")
 def o1r(spark: SparkSession, d: str) -> DataFrame:
@@ -101,19 +111,26 @@ def o9(spark: SparkSession, d: str) -> DataFrame:
     return G.with_inverses(e)
 
 
-@query("o10_ancestors", "SELECT * FROM (VALUES ('Vehicle', 'Item'), ('Car', 'Vehicle'), ('Car', 'Item')) t(type, ancestor)")
+@query("o10_ancestors", "WITH t AS (SELECT 'Customer_' || c_custkey AS type, 'Nation_' || c_nationkey AS parent FROM customer UNION ALL SELECT 'Supplier_' || s_suppkey, 'Nation_' || s_nationkey FROM supplier UNION ALL SELECT 'Nation_' || n_nationkey, 'Region_' || n_regionkey FROM nation) SELECT DISTINCT type, parent AS ancestor FROM t UNION SELECT a.type, b.parent FROM t a JOIN t b ON a.parent = b.type")
 def o10(spark: SparkSession, d: str) -> DataFrame:
-    return G.ancestors(spark.createDataFrame([("Item", None), ("Vehicle", "Item"), ("Car", "Vehicle")], "type string, parent string"))
+    """The chain upwards of every node: what it is part of or located in, and what that is part of."""
+    up = T.edges(spark, d).where(F.col("type").isin("LOCATED_IN", "PART_OF"))
+    return G.ancestors(up.select(F.col("src").alias("type"), F.col("dst").alias("parent")))
 
 
 @query("o11_schema_dump")
 def o11(spark: SparkSession, d: str) -> DataFrame:
-    """Every class with its properties, their types, and the class that a property refers to: the one whose key it is."""
+    """Every class with its properties, their types, the class that a property refers to (the one whose key it is), and how many objects have the property."""
     fields = [(t, f.name, f.dataType.simpleString()) for t in TABLES for f in T.table(spark, d, t).schema.fields]
     keys = {n.split("_", 1)[-1]: t for t, n, _ in fields if n.split("_", 1)[-1] in (f"{t}key", {"supplier": "suppkey", "customer": "custkey"}.get(t))}
     keys |= {n: t for t, n, _ in reversed(fields) if n in ("doc_id", "item_id", "page_id", "vec_id", "event_id", "conv_id")}
-    rows = [(t, n, k, r if (r := keys.get(n, keys.get(n.split("_", 1)[-1]))) != t else None) for t, n, k in fields]
-    return spark.createDataFrame(rows, "class string, property string, type string, refers_to string")
+    out = []
+    for t in TABLES:
+        own = [(n, k, r if (r := keys.get(n, keys.get(n.split("_", 1)[-1]))) != t else None) for c, n, k in fields if c == t]
+        counted = T.table(spark, d, t).agg(*[F.count(n).alias(n) for n, _, _ in own])
+        rows = F.array(*[F.struct(F.lit(n).alias("property"), F.lit(k).alias("type"), F.lit(r).cast("string").alias("refers_to"), F.col(n).alias("n_objects")) for n, k, r in own])
+        out.append(counted.select(F.lit(t).alias("class"), F.inline(rows)))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("k8_degree", with_views("edges") + "SELECT id, count(*) AS connections FROM (SELECT src AS id FROM (SELECT DISTINCT * FROM edges) UNION ALL SELECT dst FROM (SELECT DISTINCT * FROM edges)) GROUP BY 1")
@@ -141,14 +158,31 @@ def k9(spark: SparkSession, d: str) -> DataFrame:
 # ---- Taxonomy ------------------------------------------------------------------------------------
 
 
-@query("p10_relations_of_type", "SELECT * FROM (VALUES ('KNOWS'), ('LIVES_AT'), ('WORKS_AT'), ('OWNS'), ('PARTICIPATES_IN')) t(relation)")
+#: Labels of the graph as types of the taxonomy.
+_TYPES = {"Customer": "Person", "Supplier": "Person", "Part": "Item", "Nation": "Location", "Region": "Location"}
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes with their type in the taxonomy."""
+    kind = F.create_map(*[F.lit(x) for kv in _TYPES.items() for x in kv])
+    return T.nodes(spark, d).select("id", kind[F.col("label")].alias("type"))
+
+
+_TYPED = "typed AS (SELECT id, CASE label WHEN 'Customer' THEN 'Person' WHEN 'Supplier' THEN 'Person' WHEN 'Part' THEN 'Item' ELSE 'Location' END AS type FROM nodes)"
+
+
+@query("p10_relations_of_type", with_views("nodes", also=_TYPED) + "SELECT id, relation FROM typed JOIN (VALUES ('Person', 'KNOWS'), ('Person', 'LIVES_AT'), ('Person', 'WORKS_AT'), ('Person', 'OWNS'), ('Person', 'PARTICIPATES_IN'), ('Location', 'CONTAINS'), ('Location', 'NEAR'), ('Location', 'HOSTS'), ('Item', 'OWNED_BY'), ('Item', 'LOCATED_AT'), ('Item', 'RELATED_TO'), ('Item', 'USED_IN'), ('Item', 'PART_OF'), ('Item', 'DOCUMENTED_BY')) t(type, relation) USING (type)")
 def p10(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.frames(spark)["rels"].where("src_type = 'Person'").select(F.col("rel").alias("relation")).distinct()
+    """The relations that every node may have, by its type."""
+    rels = taxonomy.frames(spark)["rels"].select(F.col("src_type").alias("type"), F.col("rel").alias("relation")).distinct()
+    return _typed(spark, d).join(rels, "type").select("id", "relation")
 
 
-@query("p13_relations_targeting", "SELECT * FROM (VALUES ('Item', 'OWNED_BY'), ('DigitalItem', 'CREATED_BY'), ('DigitalItem', 'OWNED_BY'), ('Activity', 'ASSIGNED_TO'), ('Activity', 'INVOLVES'), ('Collection', 'OWNED_BY'), ('Information', 'CREATED_BY'), ('Person', 'KNOWS'), ('Information', 'ABOUT'), ('DigitalItem', 'DOCUMENTS')) t(type, relation)")
+@query("p13_relations_targeting", with_views("nodes", also=_TYPED) + "SELECT id, src AS from_type, relation FROM typed JOIN (VALUES ('Item', 'Person', 'OWNED_BY'), ('DigitalItem', 'Person', 'CREATED_BY'), ('DigitalItem', 'Person', 'OWNED_BY'), ('Activity', 'Person', 'ASSIGNED_TO'), ('Activity', 'Person', 'INVOLVES'), ('Collection', 'Person', 'OWNED_BY'), ('Information', 'Person', 'CREATED_BY'), ('Person', 'Person', 'KNOWS'), ('Information', 'Person', 'ABOUT'), ('DigitalItem', 'Person', 'DOCUMENTS')) t(src, type, relation) USING (type)")
 def p13(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.frames(spark)["rels"].where("dst_type = 'Person'").select(F.col("src_type").alias("type"), F.col("rel").alias("relation")).distinct()
+    """The relations that may point at every node that is a person, and the types that they come from."""
+    rels = taxonomy.frames(spark)["rels"].select(F.col("dst_type").alias("type"), F.col("src_type").alias("from_type"), F.col("rel").alias("relation")).distinct()
+    return _typed(spark, d).where("type = 'Person'").join(rels, "type").select("id", "from_type", "relation")
 
 
 @query("p12_validate_entities", "SELECT 'Customer_' || c_custkey AS id, 'missing_required' AS problem, 'email' AS property FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'Customer_' || c_custkey, 'not_allowed', 'status' FROM customer WHERE c_custkey % 4 = 0")
@@ -161,14 +195,26 @@ def p12(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.violations(nodes, types, rules)
 
 
-@query("p14_relation_suggestion", "SELECT r AS relation, CASE WHEN upper(r) IN ('KNOWS', 'OWNS') THEN upper(r) END AS suggestion, r IN ('KNOWS', 'OWNS') AS valid FROM (SELECT unnest(['KNOWS', 'owns', 'Likes']) AS r)")
+@query("p14_relation_suggestion", with_views("edges") + ", asked AS (SELECT CASE WHEN src LIKE '%1' THEN lower(type) ELSE type END AS relation FROM edges) SELECT relation, CASE WHEN upper(relation) = 'PART_OF' THEN 'PART_OF' END AS suggestion, relation = 'PART_OF' AS valid, count(*) AS n FROM asked GROUP BY 1, 2, 3")
 def p14(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([("KNOWS",), ("owns",), ("Likes",)], "relation string")
-    return taxonomy.suggest(asked, taxonomy.frames(spark)["rels"])
+    """The relations of all edges, some in lower case, held against the taxonomy."""
+    asked = T.edges(spark, d).select(F.when(F.col("src").like("%1"), F.lower("type")).otherwise(F.col("type")).alias("relation"))
+    return taxonomy.suggest(asked, taxonomy.frames(spark)["rels"]).groupBy("relation", "suggestion", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p11_value_types", "SELECT * FROM (VALUES ('Text', 'x', true), ('Integer', '12', true), ('Integer', '1.5', false), ('Float', '1.5', true), ('Boolean', 'true', true), ('Boolean', 'yes', false), ('Date', '2024-02-30', false), ('Date', '2024-02-29', true), ('DateTime', '2024-02-29T10:00:00Z', true), ('Email', 'a@b.c', true), ('Email', 'nope', false)) t(kind, value, valid)")
+@query("p11_value_types", """WITH v AS (SELECT o_orderkey AS id, unnest([{'kind': 'Integer', 'value': o_orderkey::VARCHAR, 'valid': true}, {'kind': 'Integer', 'value': o_orderkey || '.5', 'valid': false}, {'kind': 'Float', 'value': o_orderkey || '.5', 'valid': true},
+  {'kind': 'Boolean', 'value': CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE o_orderstatus END, 'valid': o_orderkey % 2 = 0}, {'kind': 'Date', 'value': strftime(o_orderdate, '%Y-%m-%d'), 'valid': true},
+  {'kind': 'Date', 'value': year(o_orderdate) || '-02-30', 'valid': false}, {'kind': 'Date', 'value': year(o_orderdate) || '-02-29', 'valid': year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)},
+  {'kind': 'Email', 'value': 'c' || o_custkey || '@x.org', 'valid': true}, {'kind': 'Email', 'value': o_orderpriority, 'valid': false}, {'kind': 'Text', 'value': o_orderpriority, 'valid': true}]) AS x FROM orders)
+  SELECT id, x.kind AS kind, x.value AS value, x.valid AS valid FROM v""")
 def p11(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("Text", "x"), ("Integer", "12"), ("Integer", "1.5"), ("Float", "1.5"), ("Boolean", "true"), ("Boolean", "yes"), ("Date", "2024-02-30"), ("Date", "2024-02-29"), ("DateTime", "2024-02-29T10:00:00Z"), ("Email", "a@b.c"), ("Email", "nope")]
-    df = spark.createDataFrame(rows, "kind string, value string")
-    return df.select("kind", "value", taxonomy.valid_value(F.col("kind"), F.col("value")).alias("valid"))
+    """Values of all orders held against types."""
+    k, year = F.col("o_orderkey").cast("string"), F.year("o_orderdate").cast("string")
+    values = [
+        ("Integer", k), ("Integer", F.concat(k, F.lit(".5"))), ("Float", F.concat(k, F.lit(".5"))), ("Boolean", F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise(F.col("o_orderstatus"))),
+        ("Date", F.date_format("o_orderdate", "yyyy-MM-dd")), ("Date", F.concat(year, F.lit("-02-30"))), ("Date", F.concat(year, F.lit("-02-29"))),
+        ("Email", F.concat(F.lit("c"), "o_custkey", F.lit("@x.org"))), ("Email", F.col("o_orderpriority")), ("Text", F.col("o_orderpriority")),
+    ]
+    each = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.inline(F.array(*[F.struct(F.lit(t).alias("kind"), v.alias("value")) for t, v in values])))
+    return each.select("id", "kind", "value", taxonomy.valid_value(F.col("kind"), F.col("value")).alias("valid"))
+

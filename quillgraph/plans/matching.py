@@ -431,9 +431,12 @@ def i6q(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(known, old, reviews=reviews.decisions(q)).select("new_id", "match_id", "action")
 
 
-@query("h28_extended_thresholds", "SELECT * FROM (VALUES ('Event', 0.80::DOUBLE), ('Task', 0.82), ('Project', 0.83), ('Note', 0.80)) t(node_type, threshold)")
+@query("h28_extended_thresholds", with_views("nodes") + "SELECT id, CASE label WHEN 'Customer' THEN 0.80 WHEN 'Supplier' THEN 0.82 WHEN 'Part' THEN 0.83 WHEN 'Nation' THEN 0.80 ELSE 0.8 END::DOUBLE AS threshold FROM nodes")
 def h28(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in M.EXTENDED_THRESHOLDS], "node_type string").select("node_type", M.threshold(F.col("node_type")).alias("threshold"))
+    """The threshold of every node, its label taken as one of the further types."""
+    kinds = dict(zip(["Customer", "Supplier", "Part", "Nation"], M.EXTENDED_THRESHOLDS))
+    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    return T.nodes(spark, d).select("id", M.threshold(kind[F.col("label")]).alias("threshold"))
 
 
 # ---- I: confidence -------------------------------------------------------------------------------
