@@ -7,90 +7,137 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Properties of each type (those required are marked with *), and relations as NAME: targets (cardinality[, symmetric]).
-CORE = """
-Person: name String*, created_at DateTime*, updated_at DateTime*
-Location: name String*, created_at DateTime*, updated_at DateTime*
-Item: name String*, item_type String*, created_at DateTime*, updated_at DateTime*
-DigitalItem: name String*, content_type String*, created_at DateTime*, updated_at DateTime*
-Activity: name String*, activity_type String*, created_at DateTime*, updated_at DateTime*
-Collection: name String*, collection_type String*, created_at DateTime*, updated_at DateTime*
-Information: title String*, content Text*, created_at DateTime*, updated_at DateTime*
-"""
-STANDARD = """
-Person: first_name String, last_name String, email Email, phone String, relationship String, notes Text
-Location: address String, city String, state String, country String, postal_code String, location_type String, coordinates String
-Item: description Text, value Number, purchase_date Date, purchase_price Number, condition String, status String, physical_location String
-DigitalItem: description Text, file_path String, file_size Number, url String, mime_type String, date_created DateTime, source String
-Activity: description Text, start_date DateTime, end_date DateTime, status String, priority String, completion_percentage Number
-Collection: description Text, item_count Number, is_ordered Boolean, is_public Boolean
-Information: content_type String, source String, tags Array, importance String, is_private Boolean
-"""
-RELATIONS = """
-Person KNOWS: Person (many, symmetric)
-Person LIVES_AT: Location (many)
-Person WORKS_AT: Location (many)
-Person OWNS: Item DigitalItem (many)
-Person PARTICIPATES_IN: Activity (many)
-Location CONTAINS: Location (many)
-Location NEAR: Location (many, symmetric)
-Location HOSTS: Activity (many)
-Item OWNED_BY: Person (many)
-Item LOCATED_AT: Location (one)
-Item RELATED_TO: Item DigitalItem (many, symmetric)
-Item USED_IN: Activity (many)
-Item PART_OF: Collection (many)
-Item DOCUMENTED_BY: DigitalItem (many)
-DigitalItem CREATED_BY: Person (one)
-DigitalItem OWNED_BY: Person (many)
-DigitalItem STORED_AT: Location (many)
-DigitalItem DOCUMENTS: Item Person Location Activity (many)
-DigitalItem RELATED_TO: DigitalItem Item (many, symmetric)
-DigitalItem PART_OF: Collection (many)
-DigitalItem VERSION_OF: DigitalItem (one)
-Activity ASSIGNED_TO: Person (many)
-Activity INVOLVES: Person (many)
-Activity TAKES_PLACE_AT: Location (one)
-Activity USES: Item DigitalItem (many)
-Activity DEPENDS_ON: Activity (many)
-Activity PART_OF: Activity (one)
-Collection CONTAINS: Item DigitalItem Activity Information (many)
-Collection OWNED_BY: Person (many)
-Collection RELATED_TO: Collection (many, symmetric)
-Information CREATED_BY: Person (one)
-Information ABOUT: Person Location Item DigitalItem Activity (many)
-Information REFERENCES: Information (many)
-Information TAGGED_WITH: Collection (many)
-"""
+# Properties of each type (type, property, tier, type of the value, required, enumeration).
+PROPERTIES = [
+    ("Person", "name", "core", "String", True, None),
+    ("Person", "created_at", "core", "DateTime", True, None),
+    ("Person", "updated_at", "core", "DateTime", True, None),
+    ("Location", "name", "core", "String", True, None),
+    ("Location", "created_at", "core", "DateTime", True, None),
+    ("Location", "updated_at", "core", "DateTime", True, None),
+    ("Item", "name", "core", "String", True, None),
+    ("Item", "item_type", "core", "String", True, None),
+    ("Item", "created_at", "core", "DateTime", True, None),
+    ("Item", "updated_at", "core", "DateTime", True, None),
+    ("DigitalItem", "name", "core", "String", True, None),
+    ("DigitalItem", "content_type", "core", "String", True, None),
+    ("DigitalItem", "created_at", "core", "DateTime", True, None),
+    ("DigitalItem", "updated_at", "core", "DateTime", True, None),
+    ("Activity", "name", "core", "String", True, None),
+    ("Activity", "activity_type", "core", "String", True, None),
+    ("Activity", "created_at", "core", "DateTime", True, None),
+    ("Activity", "updated_at", "core", "DateTime", True, None),
+    ("Collection", "name", "core", "String", True, None),
+    ("Collection", "collection_type", "core", "String", True, None),
+    ("Collection", "created_at", "core", "DateTime", True, None),
+    ("Collection", "updated_at", "core", "DateTime", True, None),
+    ("Information", "title", "core", "String", True, None),
+    ("Information", "content", "core", "Text", True, None),
+    ("Information", "created_at", "core", "DateTime", True, None),
+    ("Information", "updated_at", "core", "DateTime", True, None),
+    ("Person", "first_name", "standard", "String", False, None),
+    ("Person", "last_name", "standard", "String", False, None),
+    ("Person", "email", "standard", "Email", False, None),
+    ("Person", "phone", "standard", "String", False, None),
+    ("Person", "relationship", "standard", "String", False, None),
+    ("Person", "notes", "standard", "Text", False, None),
+    ("Location", "address", "standard", "String", False, None),
+    ("Location", "city", "standard", "String", False, None),
+    ("Location", "state", "standard", "String", False, None),
+    ("Location", "country", "standard", "String", False, None),
+    ("Location", "postal_code", "standard", "String", False, None),
+    ("Location", "location_type", "standard", "String", False, None),
+    ("Location", "coordinates", "standard", "String", False, None),
+    ("Item", "description", "standard", "Text", False, None),
+    ("Item", "value", "standard", "Number", False, None),
+    ("Item", "purchase_date", "standard", "Date", False, None),
+    ("Item", "purchase_price", "standard", "Number", False, None),
+    ("Item", "condition", "standard", "String", False, None),
+    ("Item", "status", "standard", "String", False, None),
+    ("Item", "physical_location", "standard", "String", False, None),
+    ("DigitalItem", "description", "standard", "Text", False, None),
+    ("DigitalItem", "file_path", "standard", "String", False, None),
+    ("DigitalItem", "file_size", "standard", "Number", False, None),
+    ("DigitalItem", "url", "standard", "String", False, None),
+    ("DigitalItem", "mime_type", "standard", "String", False, None),
+    ("DigitalItem", "date_created", "standard", "DateTime", False, None),
+    ("DigitalItem", "source", "standard", "String", False, None),
+    ("Activity", "description", "standard", "Text", False, None),
+    ("Activity", "start_date", "standard", "DateTime", False, None),
+    ("Activity", "end_date", "standard", "DateTime", False, None),
+    ("Activity", "status", "standard", "String", False, None),
+    ("Activity", "priority", "standard", "String", False, None),
+    ("Activity", "completion_percentage", "standard", "Number", False, None),
+    ("Collection", "description", "standard", "Text", False, None),
+    ("Collection", "item_count", "standard", "Number", False, None),
+    ("Collection", "is_ordered", "standard", "Boolean", False, None),
+    ("Collection", "is_public", "standard", "Boolean", False, None),
+    ("Information", "content_type", "standard", "String", False, None),
+    ("Information", "source", "standard", "String", False, None),
+    ("Information", "tags", "standard", "Array", False, None),
+    ("Information", "importance", "standard", "String", False, None),
+    ("Information", "is_private", "standard", "Boolean", False, None),
+]
+# Relations (type, relation, target type, cardinality, symmetric).
+RELATIONS = [
+    ("Person", "KNOWS", "Person", "many", True),
+    ("Person", "LIVES_AT", "Location", "many", False),
+    ("Person", "WORKS_AT", "Location", "many", False),
+    ("Person", "OWNS", "Item", "many", False),
+    ("Person", "OWNS", "DigitalItem", "many", False),
+    ("Person", "PARTICIPATES_IN", "Activity", "many", False),
+    ("Location", "CONTAINS", "Location", "many", False),
+    ("Location", "NEAR", "Location", "many", True),
+    ("Location", "HOSTS", "Activity", "many", False),
+    ("Item", "OWNED_BY", "Person", "many", False),
+    ("Item", "LOCATED_AT", "Location", "one", False),
+    ("Item", "RELATED_TO", "Item", "many", True),
+    ("Item", "RELATED_TO", "DigitalItem", "many", True),
+    ("Item", "USED_IN", "Activity", "many", False),
+    ("Item", "PART_OF", "Collection", "many", False),
+    ("Item", "DOCUMENTED_BY", "DigitalItem", "many", False),
+    ("DigitalItem", "CREATED_BY", "Person", "one", False),
+    ("DigitalItem", "OWNED_BY", "Person", "many", False),
+    ("DigitalItem", "STORED_AT", "Location", "many", False),
+    ("DigitalItem", "DOCUMENTS", "Item", "many", False),
+    ("DigitalItem", "DOCUMENTS", "Person", "many", False),
+    ("DigitalItem", "DOCUMENTS", "Location", "many", False),
+    ("DigitalItem", "DOCUMENTS", "Activity", "many", False),
+    ("DigitalItem", "RELATED_TO", "DigitalItem", "many", True),
+    ("DigitalItem", "RELATED_TO", "Item", "many", True),
+    ("DigitalItem", "PART_OF", "Collection", "many", False),
+    ("DigitalItem", "VERSION_OF", "DigitalItem", "one", False),
+    ("Activity", "ASSIGNED_TO", "Person", "many", False),
+    ("Activity", "INVOLVES", "Person", "many", False),
+    ("Activity", "TAKES_PLACE_AT", "Location", "one", False),
+    ("Activity", "USES", "Item", "many", False),
+    ("Activity", "USES", "DigitalItem", "many", False),
+    ("Activity", "DEPENDS_ON", "Activity", "many", False),
+    ("Activity", "PART_OF", "Activity", "one", False),
+    ("Collection", "CONTAINS", "Item", "many", False),
+    ("Collection", "CONTAINS", "DigitalItem", "many", False),
+    ("Collection", "CONTAINS", "Activity", "many", False),
+    ("Collection", "CONTAINS", "Information", "many", False),
+    ("Collection", "OWNED_BY", "Person", "many", False),
+    ("Collection", "RELATED_TO", "Collection", "many", True),
+    ("Information", "CREATED_BY", "Person", "one", False),
+    ("Information", "ABOUT", "Person", "many", False),
+    ("Information", "ABOUT", "Location", "many", False),
+    ("Information", "ABOUT", "Item", "many", False),
+    ("Information", "ABOUT", "DigitalItem", "many", False),
+    ("Information", "ABOUT", "Activity", "many", False),
+    ("Information", "REFERENCES", "Information", "many", False),
+    ("Information", "TAGGED_WITH", "Collection", "many", False),
+]
 
 PROPS = "type string, prop string, tier string, prop_type string, required boolean, enum array<string>"
 RELS = "src_type string, rel string, dst_type string, cardinality string, symmetric boolean"
 
 
-def _props() -> list[tuple]:
-    rows = []
-    for tier, block in (("core", CORE), ("standard", STANDARD)):
-        for line in block.strip().splitlines():
-            kind, rest = line.split(": ")
-            rows += [(kind, p.split()[0], tier, p.split()[1].rstrip("*"), p.endswith("*"), None) for p in rest.split(", ")]
-    return rows
-
-
-def _rels() -> list[tuple]:
-    rows = []
-    for line in RELATIONS.strip().splitlines():
-        head, rest = line.split(": ")
-        targets, traits = rest.rstrip(")").split(" (")
-        src, rel = head.split()
-        rows += [(src, rel, t, traits.split(", ")[0], "symmetric" in traits) for t in targets.split()]
-    return rows
-
-
 def frames(spark: SparkSession) -> dict[str, DataFrame]:
     """types, props and rels of the built-in taxonomy; a few dozen rows each."""
-    props = _props()
-    types = sorted({(p[0], None) for p in props})
-    return {"types": spark.createDataFrame(types, "type string, parent string"), "props": spark.createDataFrame(props, PROPS), "rels": spark.createDataFrame(_rels(), RELS)}
+    types = sorted({(p[0], None) for p in PROPERTIES})
+    return {"types": spark.createDataFrame(types, "type string, parent string"), "props": spark.createDataFrame(PROPERTIES, PROPS), "rels": spark.createDataFrame(RELATIONS, RELS)}
 
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

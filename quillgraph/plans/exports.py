@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.lineage import scratch
+from quillgraph.operators import ddl
 from quillgraph.operators import export as O
 from quillgraph.sources import tables as T
 
@@ -88,6 +90,36 @@ def b20(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "customer").agg(F.count_if(F.col("c_name").isNull() | F.col("c_acctbal").isNull()).alias("n"))
 
 
+#: A schema over the graph's labels: what is required, unique, typed, enumerated and indexed.
+SCHEMA = {
+    "Part": {"properties": [{"name": "p_type", "type": "integer"}, {"name": "p_brand", "type": "string", "required": True, "unique": True}]},
+    "Customer": {"properties": [{"name": "c_name", "unique": True}, {"name": "c_mktsegment", "enum": ["BUILDING", "MACHINERY"]}, {"name": "email", "required": True}]},
+    "indexes": [{"label": "Part", "properties": ["p_type", "p_brand"]}],
+}
+
+
+@query(
+    "b20_violations",
+    """SELECT 'Part_' || p_partkey AS id, 'p_brand' AS property, 'not_unique' AS problem, p_brand AS value FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'Part_' || p_partkey, 'p_type', 'wrong_type', p_type FROM part UNION ALL SELECT 'Customer_' || c_custkey, 'email', 'missing', NULL FROM customer
+    UNION ALL SELECT 'Customer_' || c_custkey, 'c_mktsegment', 'not_allowed', c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+    UNION ALL SELECT 'Customer_' || c_custkey, 'c_name', 'not_unique', c_name FROM customer WHERE c_name IN (SELECT c_name FROM customer GROUP BY 1 HAVING count(*) > 1)""",
+)
+def b20v(spark: SparkSession, d: str) -> DataFrame:
+    """Every violation of a declared schema, over all nodes."""
+    return ddl.violations(T.nodes(spark, d), ddl.declared(SCHEMA)[0]).select("id", "property", "problem", "value")
+
+
+@query("b20_index_lookup", "SELECT 'Part_' || p_partkey AS id, p_name AS name, 'brand' AS by FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) UNION ALL SELECT 'Part_' || p_partkey, p_name, 'type, brand' FROM part WHERE p_type = (SELECT max(p_type) FROM part) AND p_brand = (SELECT min(p_brand) FROM part)")
+def b20x(spark: SparkSession, d: str) -> DataFrame:
+    """The indexes of the schema written as sorted tables, and looked up: by one property, and by a composite one."""
+    indexes, folder = ddl.declared(SCHEMA)[1], scratch(spark)
+    ddl.build(T.nodes(spark, d), indexes, folder)
+    ends = T.table(spark, d, "part").agg(F.min("p_brand").alias("brand"), F.max("p_type").alias("type")).first()
+    one = ddl.lookup(spark, indexes, folder, "Part", p_brand=ends["brand"]).withColumn("by", F.lit("brand"))
+    return one.unionByName(ddl.lookup(spark, indexes, folder, "Part", p_type=ends["type"], p_brand=ends["brand"]).withColumn("by", F.lit("type, brand")))
+
+
 @query("b22_seed_references", "SELECT 'Nation_' || n_nationkey AS src, 'Region_' || n_regionkey AS dst, 'region' AS type FROM nation")
 def b22(spark: SparkSession, d: str) -> DataFrame:
     """Objects with nested references become typed edges."""
