@@ -32,6 +32,19 @@ def mock_embedding(text: Column, dims: int = 1536) -> Column:
     return F.when(F.trim(text) != "", out)
 
 
+def ngram_embedding(text: Column, n: int = 3, dims: int = 256) -> Column:
+    """How often each of `dims` buckets has an n-gram of the text (lower case, with a space on either side): names that look alike are near. Null for blank text.
+
+    The bucket of an n-gram is its MD5's first eight hex digits, modulo dims.
+    """
+    t = F.concat(F.lit(" "), F.lower(F.trim(text)), F.lit(" "))
+    bucket = lambda i: F.conv(F.substring(F.md5(F.substr(t, i, F.lit(n)).cast("binary")), 1, 8), 16, 10).cast("long") % dims
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), bucket)
+    # As the one element of an array the n-grams are made once, and not again for each bucket.
+    counted = F.transform(F.array(grams), lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(own, lambda g: g == b)).cast("double")))
+    return F.when(F.trim(text) != "", counted[0])
+
+
 def top_k(items: DataFrame, vector: str, query: list[float], k: int, *, least: float | None = None, ident: str = "id") -> DataFrame:
     """items with similarity and distance to one query, the k nearest; ties by id. Plans as TakeOrderedAndProject."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillgraph.functions import vector as V
-from quillgraph.lineage import scratch
+from quillgraph.lineage import cut, scratch
 from quillgraph.operators import state as X
 from quillgraph.snapshots import Conflict, Store
 from quillgraph.sources import tables as T
@@ -258,19 +258,25 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return X.decide(_requests(spark, d), _decisions(spark, d))[1].select("id", "name")
 
 
-_MOCK = "list_transform(range(0, 64), lambda i: sin((i + (list_sum(list_transform(string_split({0}, ''), lambda c: ascii(c)))::BIGINT % 65536))::DOUBLE) * 0.1)"
-_SIMILAR = f"""asked AS (SELECT s_suppkey AS request_id, CASE s_suppkey % 2 WHEN 0 THEN s_name ELSE 'Q' || s_name END AS name FROM supplier),
- own AS (SELECT id, name, {_MOCK.format('name')} AS v FROM entities WHERE kind <> 'Customer'), q AS (SELECT *, {_MOCK.format('name')} AS v FROM asked),
+_GRAMS = "list_transform(range(1, length(trim({0})) + 1), lambda i: ('0x' || substr(md5(substr(' ' || lower(trim({0})) || ' ', i, 3)), 1, 8))::BIGINT % 256)"
+_NGRAM = "list_transform(range(0, 256), lambda b: len(list_filter({0}, lambda g: g = b))::DOUBLE)"
+_SIMILAR = f"""asked AS (SELECT s_suppkey AS request_id, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN s_name || ' Ltd' WHEN 2 THEN 'Q' || md5(s_name) ELSE 'The ' || s_name END AS name FROM supplier),
+ stored AS (SELECT id, {_GRAMS.format('name')} AS g FROM entities), wanted AS (SELECT *, {_GRAMS.format('name')} AS g FROM asked),
+ own AS MATERIALIZED (SELECT id, {_NGRAM.format('g')} AS v FROM stored), q AS MATERIALIZED (SELECT request_id, name, {_NGRAM.format('g')} AS v FROM wanted),
  near AS (SELECT request_id, q.name, own.id, round(list_cosine_similarity(q.v, own.v), 10) AS s FROM q, own),
- similar_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, id) AS r FROM near WHERE s >= 0.999999) WHERE r <= 5)"""
+ similar_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, id) AS r FROM near WHERE s >= 0.8) WHERE r <= 5)"""
 
 
 def similars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Entities that are asked for (all suppliers' names, half of them changed), and the five stored ones most similar to each by embedded name."""
-    name = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.concat(F.lit("Q"), "s_name"))
+    """Entities that are asked for (all suppliers' names: as they are, with an addition, or quite other ones), and the five
+    stored ones of any kind most similar to each by the embedding of the name, 0.8 at least."""
+    k, own = F.col("s_suppkey"), F.col("s_name")
+    name = F.when(k % 4 == 0, own).when(k % 4 == 1, F.concat(own, F.lit(" Ltd"))).when(k % 4 == 2, F.concat(F.lit("Q"), F.md5(own))).otherwise(F.concat(F.lit("The "), own))
     asked = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), name.alias("name"))
-    stored = T.entities(spark, d).where("kind <> 'Customer'").select("id", V.mock_embedding(F.col("name"), 64).alias("vector"))
-    near = V.nearest(asked.select(F.col("request_id").alias("id"), V.mock_embedding(F.col("name"), 64).alias("vector")), stored, 5, least=0.999999, drop_self=False)
+    # Embeddings are written out: a plan that reads them again would make them again.
+    stored = cut(T.entities(spark, d).select("id", V.ngram_embedding(F.col("name")).alias("vector")))
+    wanted = cut(asked.select(F.col("request_id").alias("id"), V.ngram_embedding(F.col("name")).alias("vector")))
+    near = V.nearest(wanted, stored, 5, least=0.8, drop_self=False)
     return asked, near.select(F.col("query_id").alias("request_id"), "id", "similarity", "rank")
 
 
