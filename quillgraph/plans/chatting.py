@@ -71,3 +71,29 @@ def r8(spark: SparkSession, d: str) -> DataFrame:
     from quillgraph.engine import Engine
 
     return Engine.over(spark, d).query("show Region id 1").select("id", "name")
+
+
+def _stand_in(prompt: str) -> str:
+    """Offline: says whether a text asks something. Of texts of odd length it forgets the kind at first, and never gets those of a length divisible by ten right."""
+    import json
+
+    text = json.loads(prompt.rsplit("\nText: ", 1)[1].split("\nAnswer:", 1)[0])
+    answer = {"length": len(text), "kind": "question" if "?" in text else "statement"}
+    if len(text) % 10 == 0:
+        return "I would rather not say."
+    if len(text) % 2 and "Problems:" not in prompt:
+        del answer["kind"]
+    return f"```json\n{json.dumps(answer)}\n```"
+
+
+@query("r13_structured_output", "SELECT conv_id, turn, CASE WHEN length(text) % 10 <> 0 THEN CASE WHEN contains(text, '?') THEN 'question' ELSE 'statement' END END AS kind, CASE WHEN length(text) % 10 <> 0 THEN length(text) END::INTEGER AS length, CASE WHEN length(text) % 10 = 0 THEN 3 WHEN length(text) % 2 = 1 THEN 2 ELSE 1 END::INTEGER AS asked, (length(text) % 10 = 0)::BOOLEAN AS failed FROM conversations")
+def r13(spark: SparkSession, d: str) -> DataFrame:
+    """All turns through a model whose answers are checked, sent back and kept: equal texts are asked once."""
+    from quillgraph.lineage import scratch
+    from quillgraph.operators import structured
+
+    schema = {"type": "object", "required": ["kind", "length"], "properties": {"kind": {"type": "string", "enum": ["question", "statement"]}, "length": {"type": "integer", "minimum": 0}}, "additionalProperties": False}
+    request = structured.Request("Does the text ask something?", schema, [("Who is it?", {"kind": "question", "length": 10})])
+    said = structured.answers(T.table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", request, _stand_in, scratch(spark))
+    answer = F.from_json("answer", "kind string, length int")
+    return said.select("conv_id", "turn", answer["kind"].alias("kind"), answer["length"].alias("length"), "asked", (F.size("problems") > 0).alias("failed"))
