@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, column, from_planes, materialize, mix, planes, steps
+from .common import U, buffers, column, from_planes, materialize, mix, planes, setting, steps
 
 LENGTH = 50
 GRAM = 16
@@ -44,7 +44,8 @@ HOT = 1024
 #: Bytes of text of a block, and of the segments of which a bucket holds the keys.
 BLOCK_BYTES = 6 << 20
 _STEP = 1 << 20
-_EMIT = 4 << 20
+#: Bytes of text whose segments, or which themselves, a task sends at once: each bucket or block gets one packed row of them.
+_EMIT = 16 << 20
 
 _BYTE = mix(np.arange(1001, 1257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _P = 0x9E3779B97F4A7C15 | 1
@@ -101,8 +102,14 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[at], first, last, anchor[at], h
 
 
+def short(g: np.ndarray) -> np.ndarray:
+    """32 bits of an anchor, as it is sent: with its bucket they tell anchors apart, and of two that they take for one
+    the segments still differ by their 64-bit hashes, or are compared byte by byte."""
+    return mix(g).astype(np.uint32)
+
+
 def identity(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return mix(g) + mix(h + U(0x632BE59BD9B4E019))
+    return mix(g.astype(np.uint64)) + mix(h + U(0x632BE59BD9B4E019))
 
 
 def copies(g: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,11 +161,53 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 def unpack(t: pa.Table, kind: int) -> dict[str, np.ndarray]:
     """The columns of all rows of a kind, end to end."""
     t = t.filter(pa.array(t["kind"].to_numpy() == kind))
-    types = {"g": np.uint64, "h": np.uint64, "doc": np.int64, "row": np.int64, "a": np.int32, "b": np.int32, "text": np.uint8}
+    types = {"g": np.uint32, "h": np.uint64, "doc": np.int64, "row": np.int64, "a": np.int32, "b": np.int32, "text": np.uint8}
     read = {"doc": lambda x: from_planes(x).tobytes()}
     return {k: np.frombuffer(b"".join(read.get(k, bytes)(x) for x in t[k].to_pylist() if x is not None), v) for k, v in types.items()}
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """block, size, rows: what a task has for a block as one Arrow stream, compressed: texts shrink far more so than among the rows of a shuffle."""
+
+    def send(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        to = t["block"].to_numpy()
+        order = np.argsort(to, kind="stable")
+        t, to = t.take(pa.array(order)).combine_chunks(), to[order]
+        at = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist()
+        zstd, out = pa.Codec("zstd", compression_level=3), []
+        for a, b in zip(at, at[1:] + [len(to)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as stream:
+                stream.write_table(t.slice(a, b - a))
+            raw = sink.getvalue()
+            out.append((int(to[a]), raw.size, zstd.compress(raw, asbytes=True)))
+        pa.default_memory_pool().release_unused()
+        return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["block", "size", "rows"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.nbytes
+            if size > _EMIT:
+                yield send(held)
+                held, size = [], 0
+        if held:
+            yield send(held)
+
+    return rows.mapInArrow(apply, "block int, size long, rows binary")
+
+
+def rows_of(sent: pa.Table) -> pa.Table | None:
+    """The rows of a block, from blocks()."""
+    zstd = pa.Codec("zstd")
+    parts = [pa.ipc.open_stream(zstd.decompress(r.as_buffer(), decompressed_size=n.as_py())).read_all() for r, n in zip(sent["rows"], sent["size"])]
+    return pa.concat_tables(parts) if parts else None
+
+
 # ---- 1 and 2: segments --------------------------------------------------------------------------
 
 
@@ -171,9 +220,9 @@ def keys(docs: DataFrame, n_buckets: int, n_blocks: int) -> DataFrame:
         g, h, doc = g[order], h[order], doc[order]
         at = np.flatnonzero(new)
         low = np.repeat(doc[at], np.diff(np.append(at, len(doc))))
-        rows = pack(KEY, bucket_of(g[new], n_buckets), g=g[new], h=h[new], doc=doc[new])
+        rows = pack(KEY, bucket_of(g[new], n_buckets), g=short(g[new]), h=h[new], doc=doc[new])
         own = doc != low
-        answers = pack(ANSWER, block_of(doc[own], n_blocks), g=g[own], h=h[own], doc=low[own], a=np.zeros(own.sum(), np.int32))
+        answers = pack(ANSWER, block_of(doc[own], n_blocks), g=short(g[own]), h=h[own], doc=low[own], a=np.zeros(own.sum(), np.int32))
         rows += [(r[0] % n_buckets, *r[1:7], np.int32(r[0]).tobytes(), None) for r in answers]
         return batch(rows)
 
@@ -258,11 +307,12 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
     """SPAN rows of the settled segments, for the blocks, and SEGMENT rows of those called for, for the buckets."""
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+        rows = rows_of(left)
+        if rows is None:
             return pa.Table.from_batches([batch([])])
-        block = left["block"][0].as_py()
+        block = rows["block"][0].as_py()
         datas, parts, base = [], [], 0
-        for b in steps(iter(left.combine_chunks().to_batches()), size=_STEP):
+        for b in steps(iter(rows.combine_chunks().to_batches()), size=_STEP):
             data, offs = buffers(column(b, "text"))
             ids = column(b, "doc_id")
             text, first, last, g, h = segments(data, offs)
@@ -276,7 +326,8 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
         doc, row, first, last, place, g, h = (np.concatenate(x) for x in zip(*parts))
         if not len(doc):
             return pa.Table.from_batches([batch([])])
-        ident = identity(g, h)
+        sent = short(g)
+        ident = identity(sent, h)
         low = doc.copy()
         called = np.zeros(len(doc), np.int32)
         # the earliest document within the block
@@ -292,7 +343,7 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
             other, flag = other[at], np.maximum.reduceat(flag, at)
             found = np.minimum(np.searchsorted(known, ident), len(known) - 1)
             while True:  # past other segments of the same identity
-                differ = (known_g[found] != g) | (known_h[found] != h)
+                differ = (known_g[found] != sent) | (known_h[found] != h)
                 past = np.flatnonzero(differ & (known[found] == ident) & (found < len(known) - 1))
                 past = past[known[found[past] + 1] == ident[past]]
                 if not len(past):
@@ -328,7 +379,7 @@ def cut(rows: DataFrame, said: DataFrame, n_buckets: int) -> DataFrame:
                 out.append((*r[:8], bytes_.tobytes()))
         return pa.Table.from_batches([batch(out)])
 
-    return rows.groupBy("block").cogroup(said.groupBy("to")).applyInArrow(apply, PACKED)
+    return blocks(rows).groupBy("block").cogroup(said.groupBy("to")).applyInArrow(apply, PACKED)
 
 
 # ---- 4: deep-shallow sorting --------------------------------------------------------------------
@@ -482,7 +533,8 @@ def repeats(docs: DataFrame, output: Callable[[pa.Table, list[list[tuple[int, in
     row = F.coalesce(F.xxhash64("text"), F.lit(0))
     block = F.pmod(F.hash(F.coalesce(F.col("doc_id").cast("long"), row)), F.lit(n)).cast("int")
     slim = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
-    cuts = materialize(cut(slim, answers(keys(docs, n, n), n), n))
+    with setting(docs.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+        cuts = materialize(cut(slim, answers(keys(docs, n, n), n), n))
     spans = cuts.where(F.col("kind") == SPAN).unionByName(compare(cuts, n))
     own = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), block.alias("block"), row.alias("row"))
@@ -492,11 +544,13 @@ def repeats(docs: DataFrame, output: Callable[[pa.Table, list[list[tuple[int, in
         by: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for d, r, a, b in zip(*(k[c].tolist() for c in ("doc", "row", "a", "b"))):
             by.setdefault((d, r), []).append((a, b))
-        own_ = left["own"].combine_chunks()
-        t = pa.Table.from_arrays(own_.flatten(), own)
-        return output(t, [by.get(x, []) for x in zip(t["doc_id"].to_pylist(), left["row"].to_pylist())])
+        rows = rows_of(left)
+        if rows is None:
+            return pa.table({})
+        t = pa.Table.from_arrays(rows["own"].combine_chunks().flatten(), own)
+        return output(t, [by.get(x, []) for x in zip(t["doc_id"].to_pylist(), rows["row"].to_pylist())])
 
-    return whole.groupBy("block").cogroup(spans.groupBy("to")).applyInArrow(apply, schema)
+    return blocks(whole).groupBy("block").cogroup(spans.groupBy("to")).applyInArrow(apply, schema)
 
 
 def _bytes(t: pa.Table) -> list[bytes]:

@@ -126,6 +126,19 @@ def test_suffix_dedup_on_odd_rows(spark, odd, none):
     assert first["text"] == "" and first["n_chars"] == 0 and first["copy"] == "c"
 
 
+def test_suffix_dedup_sends_little(spark):
+    """Texts go to their blocks compressed, in one row for each task and block, and come back whole; anchors take four bytes."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words, 80)), i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block int").repartition(2)
+    sent = suffix_dedup.blocks(df).toArrow()
+    assert sent.num_rows <= 6 and sum(len(x) for x in sent["rows"].to_pylist()) < 0.6 * sum(len(r[1]) for r in rows)
+    assert sorted(tuple(r.values()) for r in suffix_dedup.rows_of(sent).to_pylist()) == rows
+    keys = suffix_dedup.keys(df, 4, 4).where(F.col("kind") == suffix_dedup.KEY)
+    assert keys.where("2 * octet_length(g) <> octet_length(h) or octet_length(h) <> octet_length(doc)").isEmpty() and not keys.isEmpty()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=40), min_size=1, max_size=6))
 def test_deep_shallow_order(tails):
