@@ -200,6 +200,15 @@ def rule_pairs(rng, label):
     return p
 
 
+def test_candidates_are_written_out_one_by_one(spark):
+    """The plan of all candidates holds no joins, and settings that hold while something is written are put back."""
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    x = spark.createDataFrame([("a", {"name": "Truck 1", "vin": "V1"}), ("b", {"name": "Truck 2", "vin": "v-1"})], "id string, p map<string,string>")
+    met = blocking.candidates("Asset", x, x)
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert ("a", "b") in {tuple(r) for r in met.collect()} and spark.conf.get("spark.sql.maxPlanStringLength") == before
+
+
 @pytest.mark.parametrize("label", ["Person", "Asset", "Address", "Event"])
 def test_candidates_hold_every_pair_a_rule_holds_for(spark, label):
     import numpy as np
