@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.lineage import scratch
 from quillgraph.functions import taxonomy
 from quillgraph.operators import export, graph, state
 from quillgraph.plans import chat
@@ -197,3 +198,34 @@ def test_models(spark, small):
     e = Engine(*small)
     assert e.query("show P id a").count() == 1 and e.query("delete P id a") is None
     assert e.run("delete P id a").startswith("done") and e.query("show P id a").isEmpty() and "who" in e.run("who")
+
+
+def test_document_of_any_size_is_one_json_text(spark, tmp_path):
+    """No limit on the size of the graph; the lines of the document, as saved, are one JSON text."""
+    import json
+
+    from quillgraph.operators import export
+
+    ids = spark.range(3).selectExpr("concat('n', id) AS id", "concat('a \"b\" ', id) AS name", "'C' AS label", "map() AS props")
+    links = spark.createDataFrame([("n0", "n1", "T"), ("n1", "n2", "T"), ("n0", "n9", "T")], "src string, dst string, type string")
+    export.save(export.document(*export.graph(ids, links)), str(tmp_path / "doc"))
+    doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*"))))
+    assert [(x["id"], x["name"], x["connections"]) for x in doc["nodes"]] == [("n0", 'a "b" 0', 1), ("n1", 'a "b" 1', 2), ("n2", 'a "b" 2', 1)]
+    assert [(x["source"], x["target"]) for x in doc["links"]] == [("n0", "n1"), ("n1", "n2")] and not hasattr(export, "DOCUMENT_SIZE")
+    none = export.document(*export.graph(ids.limit(0), links.limit(0))).orderBy("part").collect()
+    assert json.loads("".join(r["line"] for r in none)) == {"nodes": [], "links": []}
+
+
+def test_hundredths_and_serials_are_those_of_the_sql(spark):
+    """Prices halfway between two hundredths of 500,000, and part keys of more than six digits."""
+    import duckdb
+
+    from quillgraph.plans import matching
+    from quillgraph.sources.tables import hundredths
+
+    want = duckdb.sql("SELECT x, round(x / 500000, 2) AS y FROM (SELECT (2500.0 + 5000 * r)::DOUBLE AS x FROM range(100) t(r))").fetchall()
+    got = spark.createDataFrame([(x,) for x, _ in want], "x double").select("x", hundredths(F.col("x") / 500000)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    path = f"{scratch(spark)}"
+    spark.range(1_199_990, 1_200_000).union(spark.range(119_995, 120_005)).selectExpr("id AS p_partkey").write.parquet(f"{path}/part.parquet")
+    assert all(r["new_id"] == r["id"] for r in matching.f7(spark, path).collect()) and matching.f7(spark, path).count() == 20
