@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from quillgraph.lineage import cut
 
-#: Nodes and links that one document holds at most; larger graphs are exported line by line.
-DOCUMENT_SIZE = 1_000_000
-
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """A dense number from 0 in the given order: the rows before each range partition plus the place in it.
@@ -63,20 +60,23 @@ def _link_key() -> F.Column:
 
 
 def to_json(n: DataFrame, e: DataFrame) -> DataFrame:
-    """One JSON object a line: {"node": ...} and {"link": ...}; `document` puts small graphs in one."""
+    """One JSON object a line: {"node": ...} and {"link": ...}; `document` has all in one."""
     nodes = n.select(F.col("id").alias("key"), F.to_json(F.struct(F.struct("id", "name", "class", "connections").alias("node"))).alias("line"))
     links = e.select(_link_key().alias("key"), F.to_json(F.struct(F.struct("source", "target", "type").alias("link"))).alias("line"))
     return _lines(n.sparkSession, [], nodes, [], links, [])
 
 
 def document(n: DataFrame, e: DataFrame) -> DataFrame:
-    """A single {nodes, links} document (one row), for graphs that are small enough to be shown: the size is checked first."""
-    size = n.count() + e.count()
-    if size > DOCUMENT_SIZE:
-        raise ValueError(f"{size} nodes and links do not go into one document: export the lines of to_json")
-    nodes = n.agg(F.sort_array(F.collect_list(F.struct("id", "name", "class", "connections"))).alias("nodes"))
-    links = e.agg(F.sort_array(F.collect_list(F.struct("source", "target", "type"))).alias("links"))
-    return nodes.join(links).select(F.to_json(F.struct("nodes", "links")).alias("document"))
+    """A single {nodes, links} document, as its lines (part, key, line): in order they are one JSON text of any size, which `save` writes."""
+
+    def items(df: DataFrame, key: F.Column, *fields: str) -> DataFrame:
+        own = cut(df.select(key.alias("key"), F.to_json(F.struct(*fields)).alias("item")))
+        first = own.agg(F.min("key").alias("first"))  # one row
+        comma = F.when(F.col("key") == F.col("first"), "").otherwise(",")
+        return own.crossJoin(F.broadcast(first)).select("key", F.concat(comma, "item").alias("line"))
+
+    nodes, links = items(n, F.col("id"), "id", "name", "class", "connections"), items(e, _link_key(), "source", "target", "type")
+    return _lines(n.sparkSession, ['{"nodes":['], nodes, ['],"links":['], links, ["]}"])
 
 
 def to_cytoscape(n: DataFrame, e: DataFrame) -> DataFrame:

@@ -44,9 +44,11 @@ def b3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b3_graph_document", SQL + "SELECT (SELECT count(*) FROM own)::INTEGER AS n_nodes, (SELECT count(*) FROM links)::INTEGER AS n_links")
 def b3b(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and links of the one document, which is read back item by item."""
     doc = O.document(*O.graph(*whole(spark, d)))
-    x = F.from_json("document", "nodes array<struct<id:string>>, links array<struct<source:string>>")
-    return doc.select(x.alias("x")).select(F.size("x.nodes").alias("n_nodes"), F.size("x.links").alias("n_links"))
+    x = F.from_json(F.ltrim(F.col("line"), F.lit(",")), "id string, source string")
+    n_nodes, n_links = (F.count_if((F.col("part") == part) & F.col(f"x.{k}").isNotNull()).cast("int") for part, k in ((1, "id"), (3, "source")))
+    return doc.withColumn("x", x).agg(n_nodes.alias("n_nodes"), n_links.alias("n_links"))
 
 
 @query("b4_graphml", SQL + ", num AS (SELECT *, row_number() OVER (ORDER BY src || '|' || dst || '|' || type) - 1 AS i FROM links) SELECT '<edge id=\"e' || i || '\" source=\"' || src || '\" target=\"' || dst || '\"><data key=\"type\">' || type || '</data></edge>' AS line FROM num")
