@@ -273,10 +273,7 @@ def similars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k, own = F.col("s_suppkey"), F.col("s_name")
     name = F.when(k % 4 == 0, own).when(k % 4 == 1, F.concat(own, F.lit(" Ltd"))).when(k % 4 == 2, F.concat(F.lit("Q"), F.md5(own))).otherwise(F.concat(F.lit("The "), own))
     asked = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), name.alias("name"))
-    # Embeddings are written out: a plan that reads them again would make them again.
-    stored = cut(T.entities(spark, d).select("id", V.ngram_embedding(F.col("name")).alias("vector")))
-    wanted = cut(asked.select(F.col("request_id").alias("id"), V.ngram_embedding(F.col("name")).alias("vector")))
-    near = V.nearest(wanted, stored, 5, least=0.8, drop_self=False)
+    near = V.nearest_names(asked.select(F.col("request_id").alias("id"), "name"), T.entities(spark, d).select("id", "name"), 5, least=0.8)
     return asked, near.select(F.col("query_id").alias("request_id"), "id", "similarity", "rank")
 
 

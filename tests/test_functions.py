@@ -244,3 +244,29 @@ def test_texts(spark):
     assert values(spark, lambda t: X.parse_response(t)["description"], [('```json\n{"description":"d"}\n```',), ("{",), (None,)], "t string") == ["d", None, None]
     mime, data = X.data_url(F.col("t"))
     assert [tuple(r) for r in spark.createDataFrame([("data:image/png;base64,QUI=",), ("http://x",)], "t string").select(mime, data.cast("string")).collect()] == [("image/png", "AB"), (None, None)]
+
+
+def test_names_are_compared_once_and_travel_as_bytes(spark, monkeypatch):
+    """nearest_names() finds what nearest() finds among dense embeddings; of the copies of a name one goes to the tiles, as a byte for each n-gram."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("ab1é"), rng.integers(1, 9)))
+    some = [f"{word()} {word()}" for _ in range(40)] + ["Zürich Ltd", "x"]
+    form = [str.upper, str.lower, lambda t: f" {t} ", str.title]
+    rows = [(i, form[i % 4](some[int(rng.integers(42))])) for i in range(300)] + [(300 + i, "Many Copies") for i in range(500)] + [(900, None), (901, ""), (902, "  ")]
+    items = spark.createDataFrame(rows, "id long, name string").repartition(3)
+    asked = spark.createDataFrame([(i, n) for i, n in rows[:120]] + [(500, "the many copies"), (501, "many copies"), (502, None), (503, " ")], "id long, name string")
+    dense = lambda df: df.select("id", V.ngram_embedding(F.col("name")).alias("vector"))
+    got = items.select(V.ngram_embedding(F.col("name")).alias("v"), V.ngram_bytes(F.col("name")).alias("b")).collect()
+    assert all((r["b"] is None) == (r["v"] is None) and (r["b"] is None or np.bincount(list(r["b"]), minlength=256).tolist() == r["v"]) for r in got)
+    sent, tiles = [], V._tiles
+    for least, size in ((0.8, 16 << 20), (0.3, 16 << 10)):
+        monkeypatch.setattr(V, "TILE_BYTES", size)
+        want = sorted(V.nearest(dense(asked), dense(items), 5, least=least, drop_self=False).collect())
+        monkeypatch.setattr(V, "_tiles", lambda q, x, *rest: sent.append((q.count(), x.count(), dict(x.dtypes)["vector"])) or tiles(q, x, *rest))
+        assert sorted(V.nearest_names(asked, items, 5, least=least).collect()) == want and len(want) > 300
+        monkeypatch.setattr(V, "_tiles", tiles)
+    names = {n.strip().lower() for _, n in rows if n and n.strip()}
+    assert all(q <= 44 and x == len(names) and kind == "binary" for q, x, kind in sent) and len(sent) == 2
+    assert V.nearest_names(asked.where("false"), items, 2).isEmpty() and V.nearest_names(asked, items.where("false"), 2).isEmpty()
