@@ -270,3 +270,12 @@ def test_names_are_compared_once_and_travel_as_bytes(spark, monkeypatch):
     names = {n.strip().lower() for _, n in rows if n and n.strip()}
     assert all(q <= 44 and x == len(names) and kind == "binary" for q, x, kind in sent) and len(sent) == 2
     assert V.nearest_names(asked.where("false"), items, 2).isEmpty() and V.nearest_names(asked, items.where("false"), 2).isEmpty()
+
+
+def test_verification_requests_make_no_dense_vectors(spark, monkeypatch):
+    """J1 and J2 at 60 times sf0.1 lost an executor: 2,160,000 vectors of 2 KB, each sent to eight tasks."""
+    from quillgraph.plans import state
+
+    monkeypatch.setattr(V, "ngram_embedding", None)
+    asked, near = state.similars(spark, "/root/testdata/sf0.001")
+    assert near.select("request_id").distinct().count() > asked.count() / 2
