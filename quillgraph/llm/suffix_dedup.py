@@ -9,7 +9,9 @@ only segments of one anchor can share a window.
    document of the same task has) it does not send there, so that an anchor of very many documents
    arrives once for each task.
 2. A bucket finds the earliest document of every segment. Copies of a segment are settled by that;
-   segments whose anchor also occurs in other segments are called for.
+   segments that can share a window with another one are called for: those of one anchor that also agree in the
+   SIDE bytes before its string or after it, as a window holds one of these. In a large table nearly all short
+   strings occur again, so that by their anchors alone nearly all segments would be called for.
 3. The texts meet the answers in blocks by document; the segments called for are cut out and go
    to their anchor's bucket. Those of a hot anchor go window by window to the bucket of each window's
    own string, after a block has settled what it can.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, column, from_planes, materialize, mix, planes, setting, steps
+from .common import U, buffers, column, discard, from_planes, materialize, mix, planes, setting, steps
 
 LENGTH = 50
 GRAM = 16
@@ -44,6 +46,10 @@ HOT = 1024
 #: Bytes of text of a block, and of the segments of which a bucket holds the keys.
 BLOCK_BYTES = 6 << 20
 _STEP = 1 << 20
+#: Bytes before or after an anchor's string: a window that holds fewer on the one side holds as many on the other.
+SIDE = (LENGTH - GRAM) // 2
+#: In 16 bits for a side: no window of the segment has all of it; and the string occurs again in the segment, which may then share a window with any of its anchor.
+_NONE, _ANY = 0, 0xFFFF
 #: Bytes of text whose segments, or which themselves, a task sends at once: each bucket or block gets one packed row of them.
 _EMIT = 16 << 20
 
@@ -68,10 +74,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, anchor, hash of the bytes) of each segment; windows as places in data."""
+def segments(data: np.ndarray, offs: np.ndarray, with_sides: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, anchor, hash of the bytes) of each segment, and if asked for its two sides; windows as places in data."""
     n = len(data)
     none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    none += (np.empty((0, 2), np.uint16),) * with_sides
     if n < LENGTH:
         return none
     code = _BYTE[data]
@@ -99,7 +106,23 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(code * p[:n], out=run[1:])
     h = mix((run[last + LENGTH] - run[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return text[at], first, last, anchor[at], h
+    out = text[at], first, last, anchor[at], h
+    return (*out, sides(g, run, inverse, *out[1:4])) if with_sides else out
+
+
+def sides(g: np.ndarray, run: np.ndarray, inverse: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """16 bits for the SIDE bytes before and after the anchor's string of each segment; like its hash they depend on its bytes alone."""
+    grams = np.lib.stride_tricks.sliding_window_view(g.astype(np.uint32), LENGTH - GRAM + 1)
+    own = anchor.astype(np.uint32)[:, None]
+    low = first + (grams[first] == own).argmax(axis=1)
+    high = last + LENGTH - GRAM - (grams[last][:, ::-1] == own).argmax(axis=1)
+    out = np.empty((len(first), 2), np.uint16)
+    for k, (a, there) in enumerate(((low - SIDE, low - SIDE >= first), (low + GRAM, low + GRAM + SIDE <= last + LENGTH))):
+        a = np.where(there, a, first)
+        h = mix((run[a + SIDE] - run[a]) * inverse[a]) % U(_ANY - 1) + U(1)
+        out[:, k] = np.where(there, h, _NONE)
+    out[low != high] = _ANY
+    return out
 
 
 def short(g: np.ndarray) -> np.ndarray:
@@ -166,6 +189,29 @@ def unpack(t: pa.Table, kind: int) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(b"".join(read.get(k, bytes)(x) for x in t[k].to_pylist() if x is not None), v) for k, v in types.items()}
 
 
+def called_for(g: np.ndarray, side: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """1 for each of distinct segments (short anchor, sides, first and last document) that can share a window with another one of another document, 2 if its anchor is hot, else 0."""
+    out = np.zeros(len(g), np.int32)
+
+    def groups(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = at[np.argsort(key[at], kind="stable")]
+        start = np.flatnonzero(np.append(True, np.diff(key[at]) != 0)) if len(at) else np.empty(0, np.int64)
+        return at, start, np.diff(np.append(start, len(at)))
+
+    def call(at: np.ndarray, start: np.ndarray, count: np.ndarray, some: np.ndarray | bool = True) -> None:
+        if len(at):
+            spread = np.minimum.reduceat(low[at], start) < np.maximum.reduceat(high[at], start)
+            out[at[np.repeat((count > 1) & spread & some, count)]] = 1
+
+    for s in side.T:
+        call(*groups(np.flatnonzero((s != _NONE) & (s != _ANY)), g.astype(np.int64) << 16 | s))
+    again = np.isin(g, g[side[:, 0] == _ANY])
+    call(*groups(np.flatnonzero(again), g))
+    at, _, count = groups(np.flatnonzero(out), g)
+    out[at] += np.repeat((count > HOT).astype(np.int32), count)
+    return out
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """block, size, rows: what a task has for a block as one Arrow stream, compressed: texts shrink far more so than among the rows of a shuffle."""
 
@@ -215,12 +261,12 @@ def keys(docs: DataFrame, n_buckets: int, n_blocks: int) -> DataFrame:
     """Packed KEY rows for the buckets, and ANSWER rows (with their block in column b) that pass them."""
 
     def settle(parts: list[tuple]) -> pa.RecordBatch:
-        g, h, doc = (np.concatenate(x) for x in zip(*parts))
+        g, h, side, doc = (np.concatenate(x) for x in zip(*parts))
         order, _, new = copies(g, h, doc)
-        g, h, doc = g[order], h[order], doc[order]
+        g, h, side, doc = g[order], h[order], side[order], doc[order]
         at = np.flatnonzero(new)
         low = np.repeat(doc[at], np.diff(np.append(at, len(doc))))
-        rows = pack(KEY, bucket_of(g[new], n_buckets), g=short(g[new]), h=h[new], doc=doc[new])
+        rows = pack(KEY, bucket_of(g[new], n_buckets), g=short(g[new]), h=h[new], doc=doc[new], text=side[new])
         own = doc != low
         answers = pack(ANSWER, block_of(doc[own], n_blocks), g=short(g[own]), h=h[own], doc=low[own], a=np.zeros(own.sum(), np.int32))
         rows += [(r[0] % n_buckets, *r[1:7], np.int32(r[0]).tobytes(), None) for r in answers]
@@ -230,8 +276,8 @@ def keys(docs: DataFrame, n_buckets: int, n_blocks: int) -> DataFrame:
         parts, size = [], 0
         for b in steps(batches, size=_STEP):
             data, offs = buffers(column(b, "text"))
-            text, _, _, g, h = segments(data, offs)
-            parts.append((g, h, column(b, "doc_id").to_numpy()[text]))
+            text, _, _, g, h, side = segments(data, offs, with_sides=True)
+            parts.append((g, h, side, column(b, "doc_id").to_numpy()[text]))
             size += len(data)
             if size > _EMIT:
                 yield settle(parts)
@@ -250,19 +296,14 @@ def answers(packed: DataFrame, n_blocks: int) -> DataFrame:
         for r in t.filter(pa.array(t["kind"].to_numpy() == ANSWER)).to_pylist():
             out.append((int(np.frombuffer(r["b"], np.int32)[0]), ANSWER, r["g"], r["h"], r["doc"], None, r["a"], None, None))
         k = unpack(t, KEY)
-        g, h, doc = k["g"], k["h"], k["doc"]
+        g, h, doc, side = k["g"], k["h"], k["doc"], k["text"].view(np.uint16).reshape(-1, 2)
         if len(g):
             order, _, new = copies(g, h, doc)
-            g, h, doc = g[order], h[order], doc[order]
+            g, h, doc, side = g[order], h[order], doc[order], side[order]
             at = np.flatnonzero(new)
             group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(g))))
             low, high = doc[at], doc[np.append(at[1:], len(g)) - 1]
-            by = np.argsort(g[at], kind="stable")
-            start = np.flatnonzero(np.append(True, np.diff(g[at][by]) != 0))
-            count = np.diff(np.append(start, len(by)))
-            spread = np.minimum.reduceat(low[by], start) < np.maximum.reduceat(high[by], start)
-            called = np.empty(len(at), np.int32)
-            called[by] = np.repeat(((count > 1) & spread).astype(np.int32) * (1 + (count > HOT)), count)
+            called = called_for(g[at], side[at], low, high)
             earliest = doc == low[group]
             say = ~earliest | (called[group] > 0)
             flag = np.where(earliest, called[group], 0).astype(np.int32)
@@ -534,7 +575,9 @@ def repeats(docs: DataFrame, output: Callable[[pa.Table, list[list[tuple[int, in
     block = F.pmod(F.hash(F.coalesce(F.col("doc_id").cast("long"), row)), F.lit(n)).cast("int")
     slim = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
     with setting(docs.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
-        cuts = materialize(cut(slim, answers(keys(docs, n, n), n), n))
+        said = materialize(answers(keys(docs, n, n), n))  # by itself: the keys leave the disk before the texts are sent
+        cuts = materialize(cut(slim, said, n))
+        discard(said)
     spans = cuts.where(F.col("kind") == SPAN).unionByName(compare(cuts, n))
     own = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), block.alias("block"), row.alias("row"))

@@ -374,6 +374,38 @@ def test_suffix_dedup_with_ids_that_are_multiples(spark, monkeypatch):
     assert suffix_dedup.dedup(docs).columns == docs.columns
 
 
+def test_suffix_dedup_calls_for_few(spark):
+    """Texts that share phrases shorter than a window are not sent to be compared; those that share a window are."""
+    rng = np.random.default_rng(4)
+    any_ = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    phrase, passage = any_(30), any_(50)
+
+    def called(rows):
+        packed = suffix_dedup.answers(suffix_dedup.keys(spark.createDataFrame(rows, "doc_id long, text string"), 3, 3), 3)
+        return sum(int(np.count_nonzero(np.frombuffer(r["a"], np.int32))) for r in packed.select("a").collect())
+
+    assert called([(i, any_(60) + phrase + any_(60)) for i in range(40)]) == 0
+    assert called([(i, any_(60) + passage + any_(60)) for i in range(5)]) >= 5
+
+
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_suffix_dedup_of_windows_at_any_place(spark, monkeypatch, hot):
+    """Shared strings of 49 to 60 bytes at the start, amid and at the end of texts, whose short strings occur more than once within a window."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(8)
+    any_ = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    short = [any_(16), any_(18), any_(7) * 3]
+    shared = [any_(n) for n in (49, 50, 51, 60)] + [(s + any_(k)) * 4 for s in short for k in (1, 3)] + [any_(15) + s + any_(3) + s for s in short]
+    rows = []
+    for k, x in enumerate(shared):
+        a = int(rng.integers(0, max(1, len(x) - 50)))
+        for n, text in enumerate((x + any_(40), any_(40) + x + any_(40), any_(40) + x, x, any_(30) + x[a : a + 50] + any_(30), short[k % 3] + any_(2) + x + any_(2) + short[k % 3])):
+            rows.append((int(rng.integers(0, 1000)) * 100 + 10 * n + k, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert report(df) == brute_removal(rows)
+
+
 def test_copies_with_one_identity(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "identity", lambda g, h: np.zeros(len(g), np.uint64))
     g, h, doc = np.array([5, 7, 5, 7, 5], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64), np.arange(5)
