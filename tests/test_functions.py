@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,21 @@ def test_verification_requests_make_no_dense_vectors(spark, monkeypatch):
     monkeypatch.setattr(V, "ngram_embedding", None)
     asked, near = state.similars(spark, "/root/testdata/sf0.001")
     assert near.select("request_id").distinct().count() > asked.count() / 2
+
+
+def test_nearest_by_bytes_is_exact(spark, monkeypatch):
+    """Of bytes as of doubles: the same pairs, ranks and similarities, with copies, ties, other lengths, zeros and nulls, whatever the tiles; and a vector takes a byte a component on its way."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 24))
+    rows = [(i, (base[i % 12] + rng.normal(size=24) * (0, 0.002, 0.3)[i % 3]).tolist(), "a" if i % 5 else "b") for i in range(180)]
+    rows += [(i, rng.choice([-1.0, 1.0], 24).tolist(), "a") for i in range(200, 230)] + [(i, [1.0, float(i)], "a") for i in range(300, 320)]
+    rows += [(400, [0.0] * 24, "a"), (401, None, "a"), (402, [], "a"), (403, [1.0] * 24, None), (404, [float("nan")] * 24, "a")]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label string")
+    q = df.where("id % 3 <> 1")
+    want = sorted(tuple(r) for r in V.nearest(q, df, 5, least=0.75, same_label=True, drop_self=False).collect())
+    for size in (V.TILE_BYTES, 3000):
+        monkeypatch.setattr(V, "TILE_BYTES", size)
+        got = sorted(tuple(r) for r in V.nearest_coded(q, df, 5, least=0.75).collect())
+        assert got == want and len(got) > 300
+    sent = V._coded(V.usable(df, F.col("label")))
+    assert sent.where("octet_length(vector) <> split(key, ':')[1] + 8").isEmpty() and not sent.isEmpty()
