@@ -282,6 +282,32 @@ def test_verification_requests_make_no_dense_vectors(spark, monkeypatch):
     assert near.select("request_id").distinct().count() > asked.count() / 2
 
 
+def test_numbered_names_meet_in_packed_parts(spark, monkeypatch, tmp_path):
+    """J2 at 60 times sf0.1, where one task read all names to deal them out: numbered names in parts, each sent as one row, find what dense vectors find."""
+    asked = spark.createDataFrame([(k, f"Supplier#{k:09d}" + ("", " Ltd", "x")[k % 3]) for k in range(0, 900, 9)] + [(2000, "customer#000000007"), (2001, "Q" * 400)], "id long, name string")
+    rows = [(k, f"Supplier#{k:09d}") for k in range(900)] + [(5000 + k, f"Customer#{k:09d}") for k in range(900)] + [(9000 + k, "Supplier#000000001") for k in range(9)] + [(9999, "q" * 300)]
+    items = spark.createDataFrame(rows, "id long, name string").repartition(3)
+    dense = lambda df: df.select("id", V.ngram_embedding(F.col("name")).alias("vector"))
+    packed = V._packed_tiles
+
+    def watched(q, x, meet, schema):
+        def noted(a, b):
+            with open(tmp_path / str(size), "a") as to:
+                to.write(f"{a.num_rows} {b.num_rows}\n")
+            return meet(a, b)
+
+        return packed(q, x, noted, schema)
+
+    monkeypatch.setattr(V, "_packed_tiles", watched)
+    for least, size in ((0.8, 128 << 10), (0.0, 16 << 20)):
+        monkeypatch.setattr(V, "TILE_BYTES", 16 << 20)
+        want = sorted(V.nearest(dense(asked), dense(items), 5, least=least, drop_self=False).collect())
+        monkeypatch.setattr(V, "TILE_BYTES", size)
+        assert sorted(V.nearest_names(asked, items, 5, least=least).collect()) == want and len(want) > 300
+    met = [tuple(map(int, x.split())) for x in (tmp_path / str(128 << 10)).read_text().splitlines()]
+    assert len(met) == 2 * 4 and sum(n for n, _ in met) == 4 * 102 and sum(n for _, n in met) == 2 * 1801
+
+
 def test_nearest_by_bytes_is_exact(spark, monkeypatch):
     """Of bytes as of doubles: the same pairs, ranks and similarities, with copies, ties, other lengths, zeros and nulls, whatever the tiles; and a vector takes a byte a component on its way."""
     rng = np.random.default_rng(6)
